@@ -9,6 +9,8 @@ segments before it. All other groups keep the plain window. Both ways give the
 same rows, so the sketch only decides speed, never the result.
 """
 
+from collections.abc import Callable
+from functools import reduce
 from math import ceil
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +27,7 @@ ROWS_PER_TASK = 5_000_000
 TRACKED_GROUPS = 10_000
 
 _SEGMENT = "_segment"
+_SO_FAR = (W.unboundedPreceding, W.currentRow)
 
 
 def _names(columns: list[str]) -> str:
@@ -41,14 +44,20 @@ def hot_groups(df: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TAS
     One pass over the key columns. Tasks send sketches, not rows; they are merged
     in two steps, and at most ``TRACKED_GROUPS`` numbers reach the driver.
     """
+    part = (F.spark_partition_id() % 256).alias("part")
+    accumulate = F.expr(f"approx_top_k_accumulate(xxhash64({_names(keys)}), {TRACKED_GROUPS})")
+    combine = F.expr(f"approx_top_k_combine(sketch, {TRACKED_GROUPS})")
     top = (
-        df.groupBy((F.spark_partition_id() % 256).alias("part"))
-        .agg(F.expr(f"approx_top_k_accumulate(xxhash64({_names(keys)}), {TRACKED_GROUPS})").alias("sketch"))
-        .agg(F.expr(f"approx_top_k_combine(sketch, {TRACKED_GROUPS})").alias("sketch"))
-        .select(F.expr(f"approx_top_k_estimate(sketch, {TRACKED_GROUPS})").alias("top"))
-        .first()["top"]
+        df.groupBy(part)
+        .agg(accumulate.alias("sketch"))
+        .groupBy(F.lit("all"))  # unlike a plain agg, no row for an empty table
+        .agg(combine.alias("sketch"))
+        .select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {TRACKED_GROUPS})")).alias("top"))
+        .filter(F.col("top.count") > rows_per_task)
+        .select("top.item", "top.count")
+        .collect()
     )
-    return {row["item"]: row["count"] for row in top or [] if row["count"] > rows_per_task}
+    return dict(map(tuple, top))
 
 
 def in_groups(keys: list[str], hot: dict[int, int]) -> Column:
@@ -59,7 +68,8 @@ class Ordered:
     """Rows of ``df`` grouped by ``keys`` and ordered by ``order`` (ascending).
 
     Each method adds one column; ``frame()`` returns all rows. ``order`` should
-    tell rows of a group apart. Pass ``hot`` when the sketch was taken already.
+    tell rows of a group apart. A caller that knows the huge groups already, and
+    has kept only their rows, passes them as ``hot``.
     """
 
     def __init__(
@@ -71,23 +81,33 @@ class Ordered:
         hot: dict[int, int] | None = None,
     ):
         self.keys, self.order = keys, order
-        hot = hot_groups(df, keys, rows_per_task) if hot is None else hot
-        self.cold, self.hot = df, None
-        if hot:
-            self.cold = df.filter(~in_groups(keys, hot))
+        self.cold, self.hot = (df, None) if hot is None else (None, df)
+        if hot is None:
+            hot = hot_groups(df, keys, rows_per_task)
+            if hot:
+                self.cold, self.hot = df.filter(~in_groups(keys, hot)), df.filter(in_groups(keys, hot))
+        if self.hot is not None:
             segments = ceil(sum(hot.values()) / rows_per_task) + 1
             # The segment number is written out with the row: range boundaries are
             # sampled, so a second computation could draw them elsewhere.
             self.hot = checkpointed(
-                df.filter(in_groups(keys, hot))
-                .repartitionByRange(segments, *keys, *order)
-                .withColumn(_SEGMENT, F.spark_partition_id())
+                self.hot.repartitionByRange(segments, *keys, *order).withColumn(
+                    _SEGMENT, F.spark_partition_id()
+                )
             )
 
+    def _add(self, name: str, plain: Callable, segmented: Callable) -> "Ordered":
+        """New column from a window over whole groups, or over segments with a carry."""
+        if self.cold is not None:
+            self.cold = self.cold.withColumn(name, plain(self._window(False)))
+        if self.hot is not None:
+            self.hot = segmented(self._window(True)).drop("_carry")
+        return self
+
     def _window(self, hot: bool):
         return W.partitionBy(*([_SEGMENT] if hot else []), *self.keys).orderBy(*self.order)
 
-    def _with_carry(self, summary: Column, take: Column | None, backwards: bool = False) -> DataFrame:
+    def _with_carry(self, summary: Column, take: Column, backwards: bool = False) -> DataFrame:
         """Hot rows joined with ``_carry``: the summary of the segments before.
 
         The carry table has at most one row per segment plus one per hot group
@@ -104,29 +124,23 @@ class Ordered:
 
     def running_sum(self, name: str, value: Column) -> "Ordered":
         total = F.sum(value)
-        rows = (W.unboundedPreceding, W.currentRow)
-        self.cold = self.cold.withColumn(name, total.over(self._window(False).rowsBetween(*rows)))
-        if self.hot is not None:
-            here = total.over(self._window(True).rowsBetween(*rows))
-            self.hot = (
-                self._with_carry(total, F.sum("_carry"))
-                .withColumn(name, here + F.coalesce("_carry", F.lit(0)))
-                .drop("_carry")
-            )
-        return self
+
+        def segmented(window):
+            here = total.over(window.rowsBetween(*_SO_FAR))
+            carried = self._with_carry(total, F.sum("_carry"))
+            return carried.withColumn(name, here + F.coalesce("_carry", F.lit(0)))
+
+        return self._add(name, lambda window: total.over(window.rowsBetween(*_SO_FAR)), segmented)
 
     def running_max(self, name: str, value: Column) -> "Ordered":
         top = F.max(value)
-        rows = (W.unboundedPreceding, W.currentRow)
-        self.cold = self.cold.withColumn(name, top.over(self._window(False).rowsBetween(*rows)))
-        if self.hot is not None:
-            here = top.over(self._window(True).rowsBetween(*rows))
-            self.hot = (
-                self._with_carry(top, F.max("_carry"))
-                .withColumn(name, F.greatest(here, "_carry"))
-                .drop("_carry")
-            )
-        return self
+
+        def segmented(window):
+            here = top.over(window.rowsBetween(*_SO_FAR))
+            carried = self._with_carry(top, F.max("_carry"))
+            return carried.withColumn(name, F.greatest(here, "_carry"))
+
+        return self._add(name, lambda window: top.over(window.rowsBetween(*_SO_FAR)), segmented)
 
     def row_number(self, name: str) -> "Ordered":
         return self.running_sum(name, F.lit(1).cast("bigint"))
@@ -140,20 +154,17 @@ class Ordered:
         return self._neighbour(name, value, F.lead, F.min_by, backwards=True)
 
     def _neighbour(self, name, value, shift, edge_by, backwards) -> "Ordered":
-        self.cold = self.cold.withColumn(name, shift(value).over(self._window(False)))
-        if self.hot is not None:
+        def segmented(window):
             # Wrapped in a struct, so that "no neighbour here" and "the neighbour
             # holds NULL" stay apart.
             boxed = F.struct(value.alias("value"))
             edge = edge_by(boxed, F.struct(*self.order))
-            self.hot = (
-                self._with_carry(edge, F.last("_carry"), backwards)
-                .withColumn(name, F.coalesce(shift(boxed).over(self._window(True)), "_carry")["value"])
-                .drop("_carry")
-            )
-        return self
+            carried = self._with_carry(edge, F.last("_carry"), backwards)
+            return carried.withColumn(name, F.coalesce(shift(boxed).over(window), "_carry")["value"])
+
+        return self._add(name, lambda window: shift(value).over(window), segmented)
 
     def frame(self) -> DataFrame:
-        if self.hot is None:
-            return self.cold
-        return self.cold.unionByName(self.hot.drop(_SEGMENT))
+        parts = [self.cold] if self.cold is not None else []
+        parts += [self.hot.drop(_SEGMENT)] if self.hot is not None else []
+        return reduce(DataFrame.unionByName, parts)

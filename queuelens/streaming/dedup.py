@@ -6,14 +6,19 @@ from pyspark.sql import functions as F
 from queuelens.operators.lifecycle import MESSAGE
 
 
-def dedup_messages(stream: DataFrame, within: str, ts: str = "received_at") -> DataFrame:
+def dedup_messages(
+    stream: DataFrame, within: str, ts: str = "received_at", spread: int = 1
+) -> DataFrame:
     """The first delivery of every message; later ones within the delay are dropped.
 
     State holds one entry per message and goes once the watermark has passed.
+    Where single messages come in floods, ``spread`` above 1 first drops repeats
+    in that many parts of a message, so its deliveries meet in several tasks.
     """
-    return (
-        stream.withColumn("_at", F.col(ts).cast("timestamp"))
-        .withWatermark("_at", within)
-        .dropDuplicatesWithinWatermark(MESSAGE)
-        .drop("_at")
-    )
+    timed = stream.withColumn("_at", F.col(ts).cast("timestamp")).withWatermark("_at", within)
+    if spread > 1:
+        part = F.pmod(F.xxhash64("receipt_handle"), F.lit(spread))
+        timed = (
+            timed.withColumn("_part", part).dropDuplicatesWithinWatermark([*MESSAGE, "_part"]).drop("_part")
+        )
+    return timed.dropDuplicatesWithinWatermark(MESSAGE).drop("_at")

@@ -50,7 +50,7 @@ def depth_series(
     visibility_s: int,
     max_receive_count: int = MAX_RECEIVE_COUNT,
     include_in_flight: bool = False,
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """Messages waiting per queue at every tick; (queue, tick, depth).
 

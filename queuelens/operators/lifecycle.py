@@ -13,12 +13,12 @@ DELIVERY = [*MESSAGE, "receipt_handle"]
 IN_TIME_ORDER = ["received_at", "receipt_handle"]
 
 
-def attempt_number(receives: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def attempt_number(receives: DataFrame, rows_per_task: int | None = ROWS_PER_TASK) -> DataFrame:
     """Adds ``attempt``: the how-manieth receive of its message this is."""
     return Ordered(receives, MESSAGE, IN_TIME_ORDER, rows_per_task).row_number("attempt").frame()
 
 
-def ack_join(receives: DataFrame, acks: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def ack_join(receives: DataFrame, acks: DataFrame, rows_per_task: int | None = ROWS_PER_TASK) -> DataFrame:
     """Each receive with its acknowledgement, if any.
 
     Adds ``acked_at`` (first ack of that receipt handle), ``next_received_at``

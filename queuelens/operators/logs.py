@@ -23,7 +23,10 @@ STARTED = "Processing message"
 RECEIVED = "Received message: "
 SUCCEEDED = "Message processed successfully"
 FAILED = "Message processing failed"
+DELETED = "Message deleted from queue"
 KEPT = "Message not deleted — will retry or go to DLQ"
+NOTHING_RECEIVED = "No messages received (queue may be empty)"
+POLL_FAILED = "SQS API error during receive"
 
 
 def log_threshold(df: DataFrame, level: str = DEFAULT_LEVEL) -> DataFrame:
@@ -47,46 +50,78 @@ def log_query(df: DataFrame, level: str = "ERROR", limit: int | None = None) ->
     return found if limit is None else found.limit(limit)
 
 
+def _record(levelname: Column, message: Column, **extras: Column) -> Column:
+    """One log record without time and name; fields it does not carry are NULL."""
+    values = {"levelname": levelname, "message": message, **extras}
+    return F.struct(
+        *[
+            values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in LOG_RECORD
+            if f.name not in ("asctime", "name")
+        ]
+    )
+
+
 def message_log(df: DataFrame, at: Column, duration_ms: Column, name: str = "queue") -> DataFrame:
-    """The log records a consumer writes for each processed message.
+    """The four log records a consumer writes for each processed message.
 
-    ``df`` comes out of ``process_messages``. Every message gives three records,
-    a failed one a fourth; fields a record does not carry are NULL.
+    ``df`` comes out of ``process_messages``.
     """
     ok = F.col("outcome.success")
-
-    def record(levelname, message, **extras):
-        values = {"levelname": levelname, "message": message, "message_id": F.col("message_id"), **extras}
-        return F.struct(
-            *[
-                values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
-                for f in LOG_RECORD
-                if f.name not in ("asctime", "name")
-            ]
-        )
+    message_id = F.col("message_id")
 
     def only_if_failed(value):
         return F.when(~ok, value)
 
-    started = record(
+    started = _record(
         F.lit("INFO"),
         F.lit(STARTED),
+        message_id=message_id,
         receive_count=F.col("receive_count"),
         body_length=F.col("body_length"),
     )
-    received = record(F.lit("INFO"), F.concat(F.lit(RECEIVED), "body"), body=F.col("body"))
-    finished = record(
+    received = _record(
+        F.lit("INFO"), F.concat(F.lit(RECEIVED), "body"), message_id=message_id, body=F.col("body")
+    )
+    finished = _record(
         F.when(ok, "INFO").otherwise("ERROR"),
         F.when(ok, SUCCEEDED).otherwise(FAILED),
+        message_id=message_id,
         receive_count=only_if_failed(F.col("receive_count")),
         duration_ms=duration_ms,
         error=only_if_failed(F.col("outcome.error")),
         error_type=only_if_failed(F.col("outcome.error_type")),
     )
-    kept = only_if_failed(record(F.lit("WARNING"), F.lit(KEPT)))
-    records = F.array_compact(F.array(started, received, finished, kept))
+    settled = _record(
+        F.when(ok, "DEBUG").otherwise("WARNING"),
+        F.when(ok, DELETED).otherwise(KEPT),
+        message_id=message_id,
+    )
+    records = F.explode(F.array(started, received, finished, settled))
     return (
-        df.select(at.cast("timestamp_ntz").alias("asctime"), F.explode(records).alias("r"))
+        df.select(at.cast("timestamp_ntz").alias("asctime"), records.alias("r"))
         .select("asctime", F.lit(name).alias("name"), "r.*")
         .select(*LOG_RECORD.names)
     )
+
+
+def poll_log(streaks: DataFrame, name: str = "queue") -> DataFrame:
+    """The log records of polls that brought nothing or failed.
+
+    ``streaks`` comes out of ``empty_poll_streak`` and may have columns
+    ``error_code`` and ``error``.
+    """
+    empty = F.col("kind") == "empty"
+    extras = {c: F.when(~empty, F.col(c)) for c in ("error_code", "error") if c in streaks.columns}
+    record = _record(
+        F.when(empty, "DEBUG").otherwise("ERROR"),
+        F.when(empty, NOTHING_RECEIVED).otherwise(POLL_FAILED),
+        empty_poll_count=F.when(empty, F.col("streak")),
+        **extras,
+    )
+    return (
+        streaks.filter(F.col("kind").isin("empty", "api_error"))
+        .select(F.col("polled_at").alias("asctime"), F.lit(name).alias("name"), record.alias("r"))
+        .select("asctime", "name", "r.*")
+        .select(*LOG_RECORD.names)
+    )

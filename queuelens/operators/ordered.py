@@ -38,12 +38,18 @@ def group_hash(keys: list[str]) -> Column:
     return F.xxhash64(*keys)
 
 
-def hot_groups(df: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK) -> dict[int, int]:
+def hot_groups(
+    df: DataFrame, keys: list[str], rows_per_task: int | None = ROWS_PER_TASK
+) -> dict[int, int]:
     """Hash and estimated size of the groups too large for one task.
 
+    ``rows_per_task=None``: the caller knows that there are none.
+
     One pass over the key columns. Tasks send sketches, not rows; they are merged
     in two steps, and at most ``TRACKED_GROUPS`` numbers reach the driver.
     """
+    if rows_per_task is None:
+        return {}
     part = (F.spark_partition_id() % 256).alias("part")
     accumulate = F.expr(f"approx_top_k_accumulate(xxhash64({_names(keys)}), {TRACKED_GROUPS})")
     combine = F.expr(f"approx_top_k_combine(sketch, {TRACKED_GROUPS})")
@@ -77,7 +83,7 @@ class Ordered:
         df: DataFrame,
         keys: list[str],
         order: list[str],
-        rows_per_task: int = ROWS_PER_TASK,
+        rows_per_task: int | None = ROWS_PER_TASK,
         hot: dict[int, int] | None = None,
     ):
         self.keys, self.order = keys, order

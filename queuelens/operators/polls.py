@@ -16,7 +16,7 @@ def poll_profile(polls: DataFrame) -> DataFrame:
     )
 
 
-def empty_poll_streak(polls: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def empty_poll_streak(polls: DataFrame, rows_per_task: int | None = ROWS_PER_TASK) -> DataFrame:
     """Adds ``streak``: empty polls of the consumer since its last non-empty one.
 
     An API error leaves the count as it is. The streak is the number of empty

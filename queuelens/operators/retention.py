@@ -55,10 +55,11 @@ def expire_by_age(
 ) -> DataFrame:
     """Adds ``expire``: rows (that satisfy ``predicate``) older than the retention."""
     limit = plus_seconds(F.lit(as_of).cast("timestamp_ntz"), -retention_s)
-    expired = F.col(ts) < limit
+    # Never NULL, yet a plain comparison: a filter on it still reaches the scan.
+    expired = F.col(ts).isNotNull() & (F.col(ts) < limit)
     if predicate is not None:
-        expired = expired & predicate
-    return df.withColumn("expire", F.coalesce(expired, F.lit(False)))
+        expired = expired & F.coalesce(predicate, F.lit(False))
+    return df.withColumn("expire", expired)
 
 
 def detect_changes(
@@ -66,7 +67,7 @@ def detect_changes(
     key: list[str],
     order: list[str],
     cols: list[str],
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """Adds ``fingerprint`` of ``cols`` and ``changed``: differs from the version before.
 

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queuelens.functions.scalars import int_div
+from queuelens.functions.scalars import desired_replicas, int_div
 from queuelens.operators.ordered import ROWS_PER_TASK, Ordered
 
 
@@ -18,8 +18,16 @@ def send_summary(results: DataFrame) -> DataFrame:
     )
 
 
+def predict_replicas(results: DataFrame, queue_length: int = 5, max_replicas: int = 5) -> DataFrame:
+    """One row: entries sent and rejected, and the workers the sent ones will call for."""
+    return results.agg(
+        F.count_if(F.col("status") == "sent").alias("sent"),
+        F.count_if(F.col("status") == "failed").alias("failed"),
+    ).withColumn("replicas", desired_replicas(F.col("sent"), queue_length, 0, max_replicas))
+
+
 def assign_batches(
-    df: DataFrame, n: int, key: list[str], order: list[str], rows_per_task: int = ROWS_PER_TASK
+    df: DataFrame, n: int, key: list[str], order: list[str], rows_per_task: int | None = ROWS_PER_TASK
 ) -> DataFrame:
     """Adds ``batch``: per key, rows in order are cut into batches of ``n``."""
     numbered = Ordered(df, key, order, rows_per_task).row_number("_row").frame()

@@ -109,6 +109,8 @@ def log_row(level: str, message: str, where: str = "TRUE", **extras: str) -> str
         "duration_ms": "DOUBLE",
         "error": "VARCHAR",
         "error_type": "VARCHAR",
+        "error_code": "VARCHAR",
+        "empty_poll_count": "BIGINT",
     }
     rest = ", ".join(f"CAST({extras.get(c, 'NULL')} AS {kind}) AS {c}" for c, kind in kinds.items())
     return (
@@ -131,6 +133,7 @@ LOG = NORMAL + ",\nlog AS (\n" + "\nUNION ALL\n".join(
             error="error",
             error_type="error_type",
         ),
+        log_row("DEBUG", "'Message deleted from queue'", "success"),
         log_row("WARNING", "'Message not deleted — will retry or go to DLQ'", "NOT success"),
     ]
 ) + ")"
@@ -160,6 +163,12 @@ polls AS (
          CASE WHEN event_type IN ('error', 'view', 'click') THEN 0 ELSE 1 + event_id % 10 END AS n_messages
   FROM events)"""
 
+STREAKS = """
+islands AS (SELECT *, count(*) FILTER (kind = 'got')
+              OVER (PARTITION BY consumer ORDER BY polled_at, kind, n_messages) AS island FROM polls),
+streaks AS (SELECT *, count(*) FILTER (kind = 'empty')
+              OVER (PARTITION BY consumer, island ORDER BY polled_at, kind, n_messages) AS streak FROM islands)"""
+
 VERSIONS = """
 versions AS (
   SELECT o_orderpriority AS repo, o_orderkey AS id, o_orderdate AS pushed_at,
@@ -286,6 +295,19 @@ ORACLES = {
         FROM results GROUP BY batch
         UNION ALL
         SELECT NULL, count(*) FILTER (NOT bad), count(*) FILTER (bad), count(DISTINCT batch) FROM results""",
+    "send_prediction": """
+        SELECT count(*) FILTER (event_id % 37 <> 0) AS sent, count(*) FILTER (event_id % 37 = 0) AS failed,
+               CAST(least(ceil(count(*) FILTER (event_id % 37 <> 0) / 5), 5) AS BIGINT) AS replicas
+        FROM events""",
+    "poll_log": f"""WITH {POLLS}, {STREAKS}
+        SELECT polled_at AS asctime, 'queue' AS name, CASE kind WHEN 'empty' THEN 'DEBUG' ELSE 'ERROR' END AS levelname,
+               CASE kind WHEN 'empty' THEN 'No messages received (queue may be empty)'
+                         ELSE 'SQS API error during receive' END AS message,
+               CAST(NULL AS VARCHAR) AS message_id, CAST(NULL AS INTEGER) AS receive_count,
+               CAST(NULL AS INTEGER) AS body_length, CAST(NULL AS VARCHAR) AS body, CAST(NULL AS DOUBLE) AS duration_ms,
+               CAST(NULL AS VARCHAR) AS error, CAST(NULL AS VARCHAR) AS error_type, CAST(NULL AS VARCHAR) AS error_code,
+               CASE kind WHEN 'empty' THEN streak END AS empty_poll_count
+        FROM streaks WHERE kind <> 'got'""",
     "outcome_summary": f"""WITH {NORMAL}
         SELECT queue, count(*) FILTER (success) AS processed, count(*) FILTER (NOT success) AS failed,
                CAST(sum(work_ms) * 100 AS BIGINT) / (count(*) * 100) AS avg_duration_ms,
@@ -318,12 +340,7 @@ ORACLES = {
         FROM states""",
     "depth_series": f"WITH {DEPTH} SELECT queue, tick, depth FROM depth",
     "depth_series_in_flight": f"WITH {PRESENT}, {GRID} {COUNTED} SELECT queue, tick, depth FROM depth",
-    "empty_poll_streak": f"""WITH {POLLS},
-        islands AS (SELECT *, count(*) FILTER (kind = 'got')
-                      OVER (PARTITION BY consumer ORDER BY polled_at, kind, n_messages) AS island FROM polls)
-        SELECT consumer, polled_at, kind, n_messages, count(*) FILTER (kind = 'empty')
-                 OVER (PARTITION BY consumer, island ORDER BY polled_at, kind, n_messages) AS streak
-        FROM islands""",
+    "empty_poll_streak": f"WITH {POLLS}, {STREAKS} SELECT consumer, polled_at, kind, n_messages, streak FROM streaks",
     "replica_recommendation": f"""WITH {DEPTH},
         wanted AS (SELECT *, CAST(least(ceil(depth / 5), 5) AS BIGINT) AS desired FROM depth),
         recent AS (

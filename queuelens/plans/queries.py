@@ -199,6 +199,11 @@ def message_log(spark, sf_dir):
     return _consumer_log(spark, sf_dir)
 
 
+@query
+def poll_log(spark, sf_dir):
+    return logs.poll_log(polls.empty_poll_streak(t.polls(spark, sf_dir)))
+
+
 @query
 def constraint_check(spark, sf_dir):
     customers = t.table(spark, sf_dir, "customer").withColumn("name_parts", F.split("c_name", "#"))
@@ -287,6 +292,11 @@ def send_summary(spark, sf_dir):
     return sending.send_summary(t.send_results(spark, sf_dir))
 
 
+@query
+def send_prediction(spark, sf_dir):
+    return sending.predict_replicas(t.send_results(spark, sf_dir))
+
+
 @query
 def outcome_summary(spark, sf_dir):
     return sending.outcome_summary(_processed(spark, sf_dir).withColumn("duration_ms", t.work_duration()))

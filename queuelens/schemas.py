@@ -78,6 +78,8 @@ LOG_RECORD = _schema(
     duration_ms=DoubleType(),
     error=StringType(),
     error_type=StringType(),
+    error_code=StringType(),
+    empty_poll_count=LongType(),
 )
 
 SEND_RESULT = _schema(batch=LongType(), entry_id=StringType(), status=StringType())

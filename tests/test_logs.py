@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from queuelens.functions.handlers import outcome
 from queuelens.operators import logs
 from queuelens.operators.messages import RECEIVE_COUNT, normalize_messages, process_messages
-from queuelens.schemas import ENVELOPE, LOG_RECORD
+from queuelens.operators.polls import empty_poll_streak
+from queuelens.schemas import ENVELOPE, LOG_RECORD, POLL_LOG
 from queuelens.session import scratch
 from queuelens.sources.messages import read_log
 from queuelens.sources.sinks import write_log
@@ -51,6 +52,7 @@ def test_records_of_a_consumer(records):
         {"levelname": "INFO", "message": "Processing message", "message_id": "1", "receive_count": 1, "body_length": 8},
         {"levelname": "INFO", "message": 'Received message: say "hi"', "message_id": "1", "body": 'say "hi"'},
         {"levelname": "INFO", "message": "Message processed successfully", "message_id": "1", "duration_ms": 12.5},
+        {"levelname": "DEBUG", "message": "Message deleted from queue", "message_id": "1"},
         {"levelname": "INFO", "message": "Processing message", "message_id": "2", "receive_count": 2, "body_length": 3},
         {"levelname": "INFO", "message": "Received message: bad", "message_id": "2", "body": "bad"},
         {
@@ -74,7 +76,7 @@ def test_sink_and_source(spark, records):
     path = scratch(spark, "test-log")
     write_log(records, path)
     lines = [json.loads(row[0]) for row in spark.read.text(path).collect()]
-    assert len(lines) == 7
+    assert len(lines) == 8
     assert all(list(line)[:4] == ["asctime", "name", "levelname", "message"] for line in lines)
     assert all(None not in line.values() and line["asctime"] == "2024-01-01T10:00:00" for line in lines)
     back = read_log(spark, path)
@@ -92,3 +94,25 @@ def test_query_is_newest_first(spark):
     assert [row["message_id"] for row in logs.log_query(df).collect()] == ["1", "3", "0", "4"]
     assert [row["message_id"] for row in logs.log_query(df, limit=2).collect()] == ["1", "3"]
     assert [row["message_id"] for row in logs.log_query(df, "INFO").collect()] == ["2"]
+
+
+def test_poll_log(spark):
+    rows = [(1, datetime(2024, 1, 1), "empty", 0), (1, datetime(2024, 1, 2), "api_error", 0), (1, datetime(2024, 1, 3), "got", 1)]
+    streaks = empty_poll_streak(spark.createDataFrame(rows, POLL_LOG)).withColumn("error_code", F.lit("Throttled"))
+    got = [{k: v for k, v in row.asDict().items() if v is not None} for row in logs.poll_log(streaks).collect()]
+    assert got == [
+        {
+            "asctime": datetime(2024, 1, 1),
+            "name": "queue",
+            "levelname": "DEBUG",
+            "message": "No messages received (queue may be empty)",
+            "empty_poll_count": 1,
+        },
+        {
+            "asctime": datetime(2024, 1, 2),
+            "name": "queue",
+            "levelname": "ERROR",
+            "message": "SQS API error during receive",
+            "error_code": "Throttled",
+        },
+    ]

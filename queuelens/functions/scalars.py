@@ -25,7 +25,7 @@ def tick_at_or_after(ts: Column, tick_s: int) -> Column:
 
 
 def tick_time(tick: Column, tick_s: int) -> Column:
-    return F.timestamp_micros(tick * F.lit(tick_s * 1_000_000)).cast("timestamp_ntz")
+    return F.timestamp_micros(tick.cast("bigint") * F.lit(tick_s * 1_000_000)).cast("timestamp_ntz")
 
 
 def desired_replicas(

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from queuelens.functions.scalars import plus_seconds, tick_at_or_after
+from queuelens.functions.scalars import plus_seconds, tick_at_or_after, tick_time
 from queuelens.operators.lifecycle import ack_join
 from queuelens.operators.messages import MAX_RECEIVE_COUNT
 from queuelens.operators.ordered import ROWS_PER_TASK
@@ -58,6 +58,12 @@ def depth_series(
     counting while a receive hides it and after it is deleted or dead. With
     ``include_in_flight`` hidden messages count too.
     """
+    # What was logged after the last tick cannot count; the filter reaches the scans.
+    ends_at = tick_time(F.lit(end), tick_s)
+    sends = sends.filter(F.col("sent_at") <= ends_at)
+    receives = receives.filter(F.col("received_at") <= ends_at)
+    acks = acks.filter(F.col("acked_at") <= ends_at)
+
     received = F.col("received_at")
     hidden_until = plus_seconds(received, visibility_s)
     last_allowed = (F.col("receive_count") >= max_receive_count) & F.col("next_received_at").isNull()

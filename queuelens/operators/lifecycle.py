@@ -8,7 +8,9 @@ from queuelens.functions.scalars import dead_letter_name, plus_seconds
 from queuelens.operators.messages import MAX_RECEIVE_COUNT
 from queuelens.operators.ordered import ROWS_PER_TASK, Ordered, hot_groups, in_groups
 
-MESSAGE = ["queue", "message_id"]
+# The id comes first: sorts compare the first column first, and ids tell rows
+# apart where a handful of queue names do not.
+MESSAGE = ["message_id", "queue"]
 DELIVERY = [*MESSAGE, "receipt_handle"]
 IN_TIME_ORDER = ["received_at", "receipt_handle"]
 

@@ -15,6 +15,7 @@ from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from queuelens.session import checkpointed
@@ -22,11 +23,16 @@ from queuelens.session import checkpointed
 # A group with more rows than this is cut into segments.
 ROWS_PER_TASK = 5_000_000
 
+# The sketch is taken from a sample in which a group of that size still has this
+# many rows. Smaller limits use every row.
+ROWS_SAMPLED = 100_000
+
 # Size of the sketch: any group above roughly 0.1 % of all rows is found, and
 # never more than this many groups are reported.
 TRACKED_GROUPS = 10_000
 
 _SEGMENT = "_segment"
+_POSITION = "_position"
 _SO_FAR = (W.unboundedPreceding, W.currentRow)
 
 
@@ -46,21 +52,24 @@ def hot_groups(
     ``rows_per_task=None``: the caller knows that there are none.
 
     One pass over the key columns. Tasks send sketches, not rows; they are merged
-    in two steps, and at most ``TRACKED_GROUPS`` numbers reach the driver.
+    in two steps, and at most ``TRACKED_GROUPS`` numbers reach the driver. A wrong
+    estimate would only choose the slower way for a group.
     """
     if rows_per_task is None:
         return {}
+    fraction = min(1.0, ROWS_SAMPLED / rows_per_task)
+    keys_only = df.select(*keys) if fraction == 1.0 else df.select(*keys).sample(fraction, seed=1)
     part = (F.spark_partition_id() % 256).alias("part")
     accumulate = F.expr(f"approx_top_k_accumulate(xxhash64({_names(keys)}), {TRACKED_GROUPS})")
     combine = F.expr(f"approx_top_k_combine(sketch, {TRACKED_GROUPS})")
     top = (
-        df.groupBy(part)
+        keys_only.groupBy(part)
         .agg(accumulate.alias("sketch"))
         .groupBy(F.lit("all"))  # unlike a plain agg, no row for an empty table
         .agg(combine.alias("sketch"))
         .select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {TRACKED_GROUPS})")).alias("top"))
-        .filter(F.col("top.count") > rows_per_task)
-        .select("top.item", "top.count")
+        .select("top.item", (F.col("top.count") / fraction).cast("bigint").alias("rows"))
+        .filter(F.col("rows") > rows_per_task)
         .collect()
     )
     return dict(map(tuple, top))
@@ -94,12 +103,12 @@ class Ordered:
                 self.cold, self.hot = df.filter(~in_groups(keys, hot)), df.filter(in_groups(keys, hot))
         if self.hot is not None:
             segments = ceil(sum(hot.values()) / rows_per_task) + 1
-            # The segment number is written out with the row: range boundaries are
-            # sampled, so a second computation could draw them elsewhere.
+            # Segment and position are written out with the row: range boundaries
+            # are sampled, so a second computation could draw them elsewhere.
             self.hot = checkpointed(
-                self.hot.repartitionByRange(segments, *keys, *order).withColumn(
-                    _SEGMENT, F.spark_partition_id()
-                )
+                self.hot.repartitionByRange(segments, *keys, *order)
+                .sortWithinPartitions(*keys, *order)
+                .withColumns({_SEGMENT: F.spark_partition_id(), _POSITION: F.monotonically_increasing_id()})
             )
 
     def _add(self, name: str, plain: Callable, segmented: Callable) -> "Ordered":
@@ -113,8 +122,10 @@ class Ordered:
     def _window(self, hot: bool):
         return W.partitionBy(*([_SEGMENT] if hot else []), *self.keys).orderBy(*self.order)
 
-    def _with_carry(self, summary: Column, take: Column, backwards: bool = False) -> DataFrame:
-        """Hot rows joined with ``_carry``: the summary of the segments before.
+    def _with_carry(
+        self, summary: Column, take: Callable[[WindowSpec], Column], backwards: bool = False
+    ) -> DataFrame:
+        """Hot rows joined with ``_carry``, taken from the summaries of the segments before.
 
         The carry table has at most one row per segment plus one per hot group
         (both bounded above), so broadcasting it is safe.
@@ -122,18 +133,33 @@ class Ordered:
         order = F.desc(_SEGMENT) if backwards else F.asc(_SEGMENT)
         before = W.partitionBy(*self.keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
         carry = self.hot.groupBy(_SEGMENT, *self.keys).agg(summary.alias("_carry"))
-        carry = carry.withColumn("_carry", take.over(before))
+        carry = carry.withColumn("_carry", take(before))
         renamed = carry.select([F.col(c).alias(c if c == "_carry" else f"_c_{c}") for c in carry.columns])
         same = [F.col(c).eqNullSafe(F.col(f"_c_{c}")) for c in [_SEGMENT, *self.keys]]
         joined = self.hot.join(F.broadcast(renamed), same, "left")
         return joined.drop(*[f"_c_{c}" for c in [_SEGMENT, *self.keys]])
 
+    def row_number(self, name: str) -> "Ordered":
+        """Number of the row in its group, from 1.
+
+        Segments are stored in order, so their rows need no further shuffle.
+        """
+        def segmented(window):
+            summary = F.struct(F.count("*").alias("rows"), F.min(_POSITION).alias("first"))
+            carried = self._with_carry(
+                summary,
+                lambda before: F.coalesce(F.sum("_carry.rows").over(before), F.lit(0)) - F.col("_carry.first"),
+            )
+            return carried.withColumn(name, F.col(_POSITION) + F.col("_carry") + 1)
+
+        return self._add(name, lambda window: F.row_number().over(window).cast("bigint"), segmented)
+
     def running_sum(self, name: str, value: Column) -> "Ordered":
         total = F.sum(value)
 
         def segmented(window):
             here = total.over(window.rowsBetween(*_SO_FAR))
-            carried = self._with_carry(total, F.sum("_carry"))
+            carried = self._with_carry(total, lambda before: F.sum("_carry").over(before))
             return carried.withColumn(name, here + F.coalesce("_carry", F.lit(0)))
 
         return self._add(name, lambda window: total.over(window.rowsBetween(*_SO_FAR)), segmented)
@@ -143,14 +169,11 @@ class Ordered:
 
         def segmented(window):
             here = top.over(window.rowsBetween(*_SO_FAR))
-            carried = self._with_carry(top, F.max("_carry"))
+            carried = self._with_carry(top, lambda before: F.max("_carry").over(before))
             return carried.withColumn(name, F.greatest(here, "_carry"))
 
         return self._add(name, lambda window: top.over(window.rowsBetween(*_SO_FAR)), segmented)
 
-    def row_number(self, name: str) -> "Ordered":
-        return self.running_sum(name, F.lit(1).cast("bigint"))
-
     def previous(self, name: str, value: Column) -> "Ordered":
         """Value of the row before; NULL for the first row of a group."""
         return self._neighbour(name, value, F.lag, F.max_by, backwards=False)
@@ -165,12 +188,12 @@ class Ordered:
             # holds NULL" stay apart.
             boxed = F.struct(value.alias("value"))
             edge = edge_by(boxed, F.struct(*self.order))
-            carried = self._with_carry(edge, F.last("_carry"), backwards)
+            carried = self._with_carry(edge, lambda before: F.last("_carry").over(before), backwards)
             return carried.withColumn(name, F.coalesce(shift(boxed).over(window), "_carry")["value"])
 
         return self._add(name, lambda window: shift(value).over(window), segmented)
 
     def frame(self) -> DataFrame:
         parts = [self.cold] if self.cold is not None else []
-        parts += [self.hot.drop(_SEGMENT)] if self.hot is not None else []
+        parts += [self.hot.drop(_SEGMENT, _POSITION)] if self.hot is not None else []
         return reduce(DataFrame.unionByName, parts)

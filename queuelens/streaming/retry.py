@@ -5,7 +5,6 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from queuelens.operators.lifecycle import MESSAGE
 from queuelens.operators.messages import MAX_RECEIVE_COUNT
 from queuelens.operators.retention import MESSAGE_RETENTION
 
@@ -28,6 +27,7 @@ class RetryCounter(StatefulProcessor):
         self.failures = handle.getValueState("failures", "n int", ttlDurationMs=self.ttl_s * 1000)
 
     def handleInputRows(self, key, rows, timerValues):
+        queue, message_id = key
         n = self.failures.get()[0] if self.failures.exists() else 0
         done = False
         for row in rows:
@@ -37,7 +37,7 @@ class RetryCounter(StatefulProcessor):
             n += 1
             dead = n >= self.max_receive_count
             yield Row(
-                queue=key[0], message_id=key[1], receive_count=n, route="dead" if dead else "retry"
+                queue=queue, message_id=message_id, receive_count=n, route="dead" if dead else "retry"
             )
             n = 0 if dead else n
         if n and not done:
@@ -57,7 +57,7 @@ def retry_state(
     State of a message is dropped on success, when it is dead, and after
     ``ttl_s`` without a change. Needs the settings of ``retry_settings``.
     """
-    return stream.groupBy(*MESSAGE).transformWithState(
+    return stream.groupBy("queue", "message_id").transformWithState(
         RetryCounter(max_receive_count, ttl_s),
         outputStructType=DECISION,
         outputMode="append",

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from queuelens.operators import lifecycle, logs, retention
+from queuelens.operators import depth, lifecycle, logs, retention
 from queuelens.plans import tables as t
 from queuelens.session import scratch
 
@@ -67,3 +67,11 @@ def test_row_operators_stay_in_generated_code(stored):
     plan = plan_of(retention.expire_by_age(stored["sends"], "sent_at", 60, t.AS_OF))
     assert "Python" not in plan
     assert "(1) Project" in plan
+
+
+def test_depth_reads_nothing_after_its_last_tick(stored):
+    logs_of = (stored["sends"], stored["receives"], stored["acks"])
+    plan = plan_of(depth.depth_series(*logs_of, t.TICK_S, t.FIRST_TICK, t.FIRST_TICK + 96, t.VISIBILITY_S))
+    for column in ("sent_at", "received_at", "acked_at"):
+        assert f"LessThanOrEqual({column},2024-01-02T00:00)" in plan
+    assert "Join" not in plan and "body" not in plan

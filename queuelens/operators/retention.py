@@ -71,12 +71,12 @@ def detect_changes(
 ) -> DataFrame:
     """Adds ``fingerprint`` of ``cols`` and ``changed``: differs from the version before.
 
-    The first version of a key is no change.
+    The first version of a key has nothing before it and counts as changed.
     """
     marked = df.withColumn("fingerprint", fingerprint(*cols))
     versions = Ordered(marked, key, order, rows_per_task).previous("_before", F.col("fingerprint"))
     return (
         versions.frame()
-        .withColumn("changed", F.coalesce(F.col("fingerprint") != F.col("_before"), F.lit(False)))
+        .withColumn("changed", ~F.col("fingerprint").eqNullSafe(F.col("_before")))
         .drop("_before")
     )

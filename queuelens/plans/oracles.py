@@ -109,8 +109,6 @@ def log_row(level: str, message: str, where: str = "TRUE", **extras: str) -> str
         "duration_ms": "DOUBLE",
         "error": "VARCHAR",
         "error_type": "VARCHAR",
-        "error_code": "VARCHAR",
-        "empty_poll_count": "BIGINT",
     }
     rest = ", ".join(f"CAST({extras.get(c, 'NULL')} AS {kind}) AS {c}" for c, kind in kinds.items())
     return (
@@ -303,9 +301,6 @@ ORACLES = {
         SELECT polled_at AS asctime, 'queue' AS name, CASE kind WHEN 'empty' THEN 'DEBUG' ELSE 'ERROR' END AS levelname,
                CASE kind WHEN 'empty' THEN 'No messages received (queue may be empty)'
                          ELSE 'SQS API error during receive' END AS message,
-               CAST(NULL AS VARCHAR) AS message_id, CAST(NULL AS INTEGER) AS receive_count,
-               CAST(NULL AS INTEGER) AS body_length, CAST(NULL AS VARCHAR) AS body, CAST(NULL AS DOUBLE) AS duration_ms,
-               CAST(NULL AS VARCHAR) AS error, CAST(NULL AS VARCHAR) AS error_type, CAST(NULL AS VARCHAR) AS error_code,
                CASE kind WHEN 'empty' THEN streak END AS empty_poll_count
         FROM streaks WHERE kind <> 'got'""",
     "outcome_summary": f"""WITH {NORMAL}
@@ -354,7 +349,7 @@ ORACLES = {
     "change_detection": """
         WITH v AS (SELECT *, md5(o_orderstatus || '|' || o_orderpriority) AS fingerprint,
                      row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders)
-        SELECT a.o_orderkey, a.o_custkey, a.fingerprint, ifnull(a.fingerprint <> b.fingerprint, FALSE) AS changed
+        SELECT a.o_orderkey, a.o_custkey, a.fingerprint, a.fingerprint IS DISTINCT FROM b.fingerprint AS changed
         FROM v a LEFT JOIN v b ON b.o_custkey = a.o_custkey AND b.rn = a.rn - 1""",
     "batch_assignment": """
         SELECT event_type AS queue, event_id AS message_id, ts AS sent_at,

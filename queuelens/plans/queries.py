@@ -26,6 +26,7 @@ DOCUMENT_LIMIT = 2_000
 FILES_PER_BATCH = 4
 UNTAGGED_AS_OF = "1998-01-01 00:00:00"
 LATENESS = "6 hours"
+POLL_FIELDS = ["error_code", "empty_poll_count"]  # only records of polls carry these
 
 _QUERIES: dict[str, Query] = {}
 
@@ -106,7 +107,7 @@ def structured_log_sink(spark, sf_dir):
 def structured_log_source(spark, sf_dir):
     path = scratch(spark, "log")
     sinks.write_log(_consumer_log(spark, sf_dir), path)
-    return read_log(spark, path)
+    return read_log(spark, path).drop(*POLL_FIELDS)
 
 
 @query
@@ -196,12 +197,13 @@ def _consumer_log(spark, sf_dir) -> DataFrame:
 
 @query
 def message_log(spark, sf_dir):
-    return _consumer_log(spark, sf_dir)
+    return _consumer_log(spark, sf_dir).drop(*POLL_FIELDS)
 
 
 @query
 def poll_log(spark, sf_dir):
-    return logs.poll_log(polls.empty_poll_streak(t.polls(spark, sf_dir)))
+    found = logs.poll_log(polls.empty_poll_streak(t.polls(spark, sf_dir)))
+    return found.select("asctime", "name", "levelname", "message", "empty_poll_count")
 
 
 @query

@@ -116,7 +116,7 @@ def test_detect_changes(spark, rows_per_task):
     df = spark.createDataFrame(rows, "key string, version int, x string, y string")
     got = retention.detect_changes(df, ["key"], ["version"], ["x", "y"], rows_per_task)
     got = got.orderBy("key", "version").collect()
-    assert [row["changed"] for row in got] == [False, False, False, True, False, True]
+    assert [row["changed"] for row in got] == [True, True, False, True, False, True]
 
 
 def test_alarm_is_strict(spark):

@@ -105,6 +105,39 @@ def test_replayed_batch_replaces_itself(spark):
     assert Counter(r["route"] for r in read_routed(spark, path).collect()) == {"ack": 16}
 
 
+def test_unbounded_run_picks_up_new_files_until_stopped(spark):
+    src, sink = scratch(spark, "src"), scratch(spark, "sink")
+    put(spark, src, ["one"])
+    query = consume(spark, src, sink, accept_all, available_now=False)
+    try:
+        query.processAllAvailable()
+        assert query.isActive and read_routed(spark, f"{sink}/messages").count() == 1
+    finally:
+        query.stop()
+    put(spark, src, ["two"], first=1)
+    drained(consume(spark, src, sink, accept_all))
+    assert read_routed(spark, f"{sink}/messages").count() == 2
+
+
+def test_endless_query_is_stopped_and_reported(spark):
+    src, sink = scratch(spark, "src"), scratch(spark, "sink")
+    put(spark, src, ["one"])
+    query = consume(spark, src, sink, accept_all, available_now=False)
+    with pytest.raises(TimeoutError):
+        drained(query, 3)
+    assert not query.isActive
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "orc", "json"])
+def test_formats(spark, fmt):
+    path = scratch(spark, fmt)
+    rows = [("a", "r", "Hello 世界 🌍", {RECEIVE_COUNT: "2"}), (None, None, None, None)]
+    spark.createDataFrame(rows, ENVELOPE).write.format(fmt).save(path)
+    back = read_messages(spark, path, fmt)
+    assert back.schema == ENVELOPE
+    assert sorted(map(str, back.collect())) == sorted(map(str, spark.createDataFrame(rows, ENVELOPE).collect()))
+
+
 def receive_rows():
     """Messages with three failures, late success, success at once, and a flood."""
     plan = {1: [0, 0, 0], 2: [0, 0, 1], 3: [1], 4: [0], 5: [0] * 7}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from queuelens.functions.scalars import plus_seconds, tick_at_or_after, tick_time
 from queuelens.operators.lifecycle import ack_join
 from queuelens.operators.messages import MAX_RECEIVE_COUNT
-from queuelens.operators.ordered import ROWS_PER_TASK
+from queuelens.operators.skew import ROWS_PER_TASK
 
 
 def step_series(changes: DataFrame, start: int, end: int, value: str = "depth") -> DataFrame:

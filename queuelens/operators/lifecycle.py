@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from queuelens.functions.scalars import dead_letter_name, plus_seconds
 from queuelens.operators.messages import MAX_RECEIVE_COUNT
-from queuelens.operators.ordered import ROWS_PER_TASK, Ordered, hot_groups, in_groups
+from queuelens.operators.ordered import Ordered
+from queuelens.operators.skew import ROWS_PER_TASK, hot_groups, in_groups, join_unique
 
 # The id comes first: sorts compare the first column first, and ids tell rows
 # apart where a handful of queue names do not.
@@ -43,7 +44,8 @@ def ack_join(receives: DataFrame, acks: DataFrame, rows_per_task: int | None = R
         first_ack = (
             acks.filter(in_groups(MESSAGE, hot)).groupBy(*DELIVERY).agg(F.min("acked_at").alias("acked_at"))
         )
-        many = receives.filter(in_groups(MESSAGE, hot)).join(first_ack, DELIVERY, "left")
+        many = receives.filter(in_groups(MESSAGE, hot))
+        many = join_unique(many, first_ack, DELIVERY, "left", rows_per_task)
         many = Ordered(many, MESSAGE, IN_TIME_ORDER, rows_per_task, hot)
         matched = matched.unionByName(many.following("next_received_at", F.col("received_at")).frame())
     stale = F.col("acked_at").isNotNull() & F.coalesce(
@@ -61,10 +63,11 @@ def _match_by_message(receives: DataFrame, acks: DataFrame) -> DataFrame:
     # Acks sort after all receives of the message, so the next row of a receive
     # is the next receive or an ack, which has no received_at.
     in_order = W.partitionBy(*MESSAGE).orderBy(F.desc("_receive"), *IN_TIME_ORDER)
+    # The wider window comes first: its shuffle by message also serves the other.
     return (
-        log.repartition(*MESSAGE)
+        log.withColumn("_next", F.lead("received_at").over(in_order))
         .withColumn("acked_at", F.min("_acked_at").over(by_delivery))
-        .withColumn("next_received_at", F.lead("received_at").over(in_order))
+        .withColumnRenamed("_next", "next_received_at")
         .filter("_receive")
         .drop("_receive", "_acked_at")
     )
@@ -75,13 +78,15 @@ def valid_acks(joined: DataFrame) -> DataFrame:
     return joined.filter(F.col("acked_at").isNotNull() & ~F.col("stale_ack"))
 
 
-def pending_messages(sends: DataFrame, acked: DataFrame) -> DataFrame:
+def pending_messages(
+    sends: DataFrame, acked: DataFrame, rows_per_task: int | None = ROWS_PER_TASK
+) -> DataFrame:
     """Sent messages that no valid acknowledgement removed.
 
     ``acked`` holds receives with a valid ack. Its keys are reduced to one row
     each on the way to the join, so a message acknowledged often stays small.
     """
-    return sends.join(acked.select(*MESSAGE).distinct(), MESSAGE, "left_anti")
+    return join_unique(sends, acked.select(*MESSAGE).distinct(), MESSAGE, "left_anti", rows_per_task)
 
 
 def message_state(

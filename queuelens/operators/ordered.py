@@ -2,8 +2,7 @@
 
 A plain window puts each group into one task. That is the right plan for small
 groups and the wrong one for a group that holds a good part of the table. Here
-the few huge groups are found first by a mergeable frequency sketch. Their rows
-are range-partitioned on (group, order), so one group spreads over many tasks;
+the few huge groups are found first (see ``skew``). Their rows are range-partitioned on (group, order), so one group spreads over many tasks;
 each task works on its own stretch ("segment") and takes over a carry from the
 segments before it. All other groups keep the plain window. Both ways give the
 same rows, so the sketch only decides speed, never the result.
@@ -18,67 +17,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
+from queuelens.operators.skew import ROWS_PER_TASK, hot_groups, in_groups
 from queuelens.session import checkpointed
 
-# A group with more rows than this is cut into segments.
-ROWS_PER_TASK = 5_000_000
-
-# The sketch is taken from a sample in which a group of that size still has this
-# many rows. Smaller limits use every row.
-ROWS_SAMPLED = 100_000
-
-# Size of the sketch: any group above roughly 0.1 % of all rows is found, and
-# never more than this many groups are reported.
-TRACKED_GROUPS = 10_000
-
 _SEGMENT = "_segment"
 _POSITION = "_position"
 _SO_FAR = (W.unboundedPreceding, W.currentRow)
 
 
-def _names(columns: list[str]) -> str:
-    return ", ".join(f"`{name}`" for name in columns)
-
-
-def group_hash(keys: list[str]) -> Column:
-    return F.xxhash64(*keys)
-
-
-def hot_groups(
-    df: DataFrame, keys: list[str], rows_per_task: int | None = ROWS_PER_TASK
-) -> dict[int, int]:
-    """Hash and estimated size of the groups too large for one task.
-
-    ``rows_per_task=None``: the caller knows that there are none.
-
-    One pass over the key columns. Tasks send sketches, not rows; they are merged
-    in two steps, and at most ``TRACKED_GROUPS`` numbers reach the driver. A wrong
-    estimate would only choose the slower way for a group.
-    """
-    if rows_per_task is None:
-        return {}
-    fraction = min(1.0, ROWS_SAMPLED / rows_per_task)
-    keys_only = df.select(*keys) if fraction == 1.0 else df.select(*keys).sample(fraction, seed=1)
-    part = (F.spark_partition_id() % 256).alias("part")
-    accumulate = F.expr(f"approx_top_k_accumulate(xxhash64({_names(keys)}), {TRACKED_GROUPS})")
-    combine = F.expr(f"approx_top_k_combine(sketch, {TRACKED_GROUPS})")
-    top = (
-        keys_only.groupBy(part)
-        .agg(accumulate.alias("sketch"))
-        .groupBy(F.lit("all"))  # unlike a plain agg, no row for an empty table
-        .agg(combine.alias("sketch"))
-        .select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {TRACKED_GROUPS})")).alias("top"))
-        .select("top.item", (F.col("top.count") / fraction).cast("bigint").alias("rows"))
-        .filter(F.col("rows") > rows_per_task)
-        .collect()
-    )
-    return dict(map(tuple, top))
-
-
-def in_groups(keys: list[str], hot: dict[int, int]) -> Column:
-    return group_hash(keys).isin(list(hot))
-
-
 class Ordered:
     """Rows of ``df`` grouped by ``keys`` and ordered by ``order`` (ascending).
 

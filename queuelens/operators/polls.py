@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queuelens.operators.ordered import ROWS_PER_TASK, Ordered
+from queuelens.operators.ordered import Ordered
+from queuelens.operators.skew import ROWS_PER_TASK
 
 
 def poll_profile(polls: DataFrame) -> DataFrame:

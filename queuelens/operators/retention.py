@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from queuelens.functions.scalars import fingerprint, plus_seconds
-from queuelens.operators.ordered import ROWS_PER_TASK, Ordered
+from queuelens.operators.ordered import Ordered
+from queuelens.operators.skew import ROWS_PER_TASK, join_unique
 
 # Tag prefixes that count as a release, and how many are kept.
 TAG_PREFIXES = ["v", "sha-", "latest"]
@@ -26,28 +27,27 @@ def retain_latest(
     key: str = "repo",
     order: tuple[str, ...] = ("pushed_at", "id"),
     tag: str = "tag",
+    rows_per_task: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """Adds ``expire``: tagged rows older than the ``n`` latest of their key.
 
-    Rows whose tag has none of the prefixes neither count nor expire. Only the
+    Rows whose tag has none of the prefixes neither count nor expire, nor do rows
+    without a key. Only the
     ``n`` latest rows per task and key are shuffled to find the oldest row to
     keep; the whole table is then compared with that one row per key.
     """
     counts = F.coalesce(F.col(tag).rlike("^(" + "|".join(map(re.escape, prefixes)) + ")"), F.lit(False))
     newest_first = W.partitionBy(key).orderBy(*[F.desc(c) for c in order])
     oldest_kept = (
-        df.filter(counts)
+        df.filter(counts & F.col(key).isNotNull())
         .select(key, *order)
         .withColumn("rank", F.row_number().over(newest_first))
         .filter(F.col("rank") == n)
-        .select(F.col(key).alias("_key"), F.struct(*order).alias("_oldest"))
+        .select(key, F.struct(*order).alias("_oldest"))
     )
     older = F.coalesce(F.struct(*order) < F.col("_oldest"), F.lit(False))
-    return (
-        df.join(oldest_kept, F.col(key).eqNullSafe(F.col("_key")), "left")
-        .withColumn("expire", counts & older)
-        .drop("_key", "_oldest")
-    )
+    marked = join_unique(df, oldest_kept, [key], "left", rows_per_task)
+    return marked.withColumn("expire", counts & older).drop("_oldest")
 
 
 def expire_by_age(

@@ -7,8 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from queuelens.functions.scalars import desired_replicas
+from queuelens.operators.skew import ROWS_PER_TASK, join_unique
 from queuelens.schemas import POLICY
-from queuelens.session import broadcast_if_small
+from queuelens.session import is_small
 
 
 class Policy(NamedTuple):
@@ -27,14 +28,19 @@ def resolve_policy(base: DataFrame, overlay: DataFrame) -> DataFrame:
     """Policy per environment; a field set in the overlay replaces the base field."""
     fields = [f.name for f in POLICY if f.name != "env"]
     renamed = overlay.select("env", *[F.col(f).alias(f"over_{f}") for f in fields])
-    return base.join(broadcast_if_small(renamed), "env", "left").select(
+    renamed = F.broadcast(renamed) if is_small(renamed) else renamed
+    return base.join(renamed, "env", "left").select(
         "env", *[F.coalesce(f"over_{f}", f).alias(f) for f in fields]
     )
 
 
-def with_policy(series: DataFrame, policy: DataFrame) -> DataFrame:
+def with_policy(
+    series: DataFrame, policy: DataFrame, rows_per_task: int | None = ROWS_PER_TASK
+) -> DataFrame:
     """Attach the policy of its environment to every row of ``series``."""
-    return series.join(broadcast_if_small(policy), "env", "left")
+    if is_small(policy):
+        return series.join(F.broadcast(policy), "env", "left")
+    return join_unique(series, policy, ["env"], "left", rows_per_task)
 
 
 def recommend_replicas(series: DataFrame, policy: Policy, tick_s: int) -> DataFrame:

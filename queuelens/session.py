@@ -4,7 +4,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -44,12 +43,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """Broadcast hint only for a side counted to hold at most ``max_rows`` rows.
+def is_small(df: DataFrame, max_rows: int = 10_000) -> bool:
+    """Whether ``df`` holds at most ``max_rows`` rows; stops counting beyond them.
 
-    The count stops after ``max_rows + 1`` rows. Beyond the bound the side is
-    returned as it is and the join is left to the planner.
+    To be asked before a broadcast hint.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    return df.limit(max_rows + 1).count() <= max_rows

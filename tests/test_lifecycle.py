@@ -170,7 +170,7 @@ def test_ack_join_and_pending(logs, rows_per_task):
             if ack is not None and not stale:
                 removed.add(m)
     assert not got
-    pending = lifecycle.pending_messages(sends, lifecycle.valid_acks(joined)).collect()
+    pending = lifecycle.pending_messages(sends, lifecycle.valid_acks(joined), rows_per_task).collect()
     assert {row["message_id"] for row in pending} == set(by_message) - removed
     assert len(pending) == len(by_message) - len(removed)
 
@@ -204,3 +204,14 @@ def test_retry_profile_and_empty_logs(spark, logs):
 def test_epoch_micros_is_utc(spark):
     df = spark.range(1).select(epoch_micros(F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).alias("t"))
     assert df.first()["t"] == 1_704_067_200_000_000
+
+
+@pytest.mark.parametrize("done", [True, False])
+def test_pending_with_one_id_on_many_sends(spark, done):
+    sends = [("q", 0, at(i), "again") for i in range(500)] + [("q", i, at(i), "once") for i in range(1, 900)]
+    df = spark.createDataFrame(sends, SEND_LOG)
+    acked = spark.createDataFrame([("q", i) for i in range(0 if done else 1, 450)] * 2, "queue string, message_id bigint")
+    got = lifecycle.pending_messages(df, acked, 100)
+    assert Counter(r["message_id"] for r in got.collect()) == Counter(
+        m for _, m, *_ in sends if m >= 450 or (m == 0 and not done)
+    )

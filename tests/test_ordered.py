@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from queuelens.operators.ordered import Ordered, hot_groups
+from queuelens.operators.ordered import Ordered
+from queuelens.operators.skew import hot_groups, join_unique
 
 SCHEMA = "g string, at int, id int, x int"
 
@@ -65,3 +66,13 @@ def test_no_hot_group_is_one_plain_window(spark):
     df = spark.createDataFrame(make_rows(n=100), SCHEMA)
     plan = Ordered(df, ["g"], ["at", "id"]).row_number("n").frame()._jdf.queryExecution().toString()
     assert "Join" not in plan and "Union" not in plan
+
+
+@pytest.mark.parametrize("how", ["left", "left_anti"])
+def test_join_with_unique_side(spark, how):
+    left = spark.createDataFrame(make_rows(), SCHEMA).repartition(8)
+    right = left.select("g").distinct().filter("g IS NULL OR g NOT LIKE '%7'").withColumn("y", F.length("g"))
+    split = join_unique(left, right, ["g"], how, 500)
+    assert "strategy=broadcast" in split._jdf.queryExecution().toString()
+    want = sorted(map(str, left.join(right, ["g"], how).collect()))
+    assert sorted(map(str, split.collect())) == want

@@ -91,10 +91,13 @@ def test_batches_of_one_large_queue(spark, rows_per_task):
         assert batches == [i // 10 + 1 for i in range(len(batches))]
 
 
-def test_retain_latest(spark):
+@pytest.mark.parametrize("rows_per_task", [10**9, 3])
+def test_retain_latest(spark, rows_per_task):
     rows = [("r", i, DAY + timedelta(days=i // 2), tag) for i, tag in enumerate(["v1", "tmp", None, "sha-1", "latest", "v2", "x"])]
     rows += [("s", 1, DAY, "v1")]
-    got = retention.retain_latest(spark.createDataFrame(rows, VERSION), n=2).orderBy("repo", "id").collect()
+    got = retention.retain_latest(
+        spark.createDataFrame(rows, VERSION), n=2, rows_per_task=rows_per_task
+    ).orderBy("repo", "id").collect()
     assert [(row["id"], row["expire"]) for row in got] == [
         (0, True), (1, False), (2, False), (3, True), (4, False), (5, False), (6, False), (1, False),
     ]

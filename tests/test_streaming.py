@@ -10,7 +10,7 @@ from queuelens.functions.handlers import accept_all, outcome, python_handler
 from queuelens.operators.alarm import dlq_alarm
 from queuelens.operators.messages import RECEIVE_COUNT, normalize_messages, process_messages, route_outcomes
 from queuelens.schemas import ENVELOPE, GAUGE, RECEIVE_LOG
-from queuelens.session import broadcast_if_small, scratch, shared_dir
+from queuelens.session import is_small, scratch, shared_dir
 from queuelens.sources.messages import read_messages, stream_messages
 from queuelens.sources.sinks import read_routed, route_sink
 from queuelens.streaming.alarm import dlq_alarm_stream
@@ -214,7 +214,6 @@ def test_shared_folder_is_the_named_one(spark):
     assert scratch(spark, "x") != scratch(spark, "x")
 
 
-def test_broadcast_only_below_the_bound(spark):
-    plan = lambda df: df._jdf.queryExecution().toString()
-    assert "broadcast" in plan(broadcast_if_small(spark.range(10), 10))
-    assert "broadcast" not in plan(broadcast_if_small(spark.range(11), 10))
+def test_small_means_at_most_the_bound(spark):
+    assert is_small(spark.range(10), 10)
+    assert not is_small(spark.range(11), 10)

@@ -1,5 +1,7 @@
 """The consumer: receive, process, then acknowledge, retry or dead-letter."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -59,27 +61,27 @@ def consume_rounds(
     A file stream reads each file once, so failed messages come back by rounds:
     round k reads what round k-1 wrote for retry, under a checkpoint of its own.
     A round starts after the one before has committed; a replay inside a round
-    therefore never changes files another round reads. ``max_receive_count``
-    rounds leave nothing to retry. Calling again picks up new files only.
+    therefore never changes files another round reads. Receive counts rise from
+    round to round, so the rounds end: with the one that leaves nothing to retry.
+    Calling again picks up new files only.
 
     Returns all final rows (``route`` ack or dead).
     """
-    source = src
-    finals = None
-    for k in range(1, max_receive_count + 1):
+    finals, source, k = [], src, 0
+    while source:
+        k += 1
         place = f"{sink}/round={k}"
-        drained(
-            consume(
-                spark,
-                source,
-                place,
-                handler,
-                max_per_trigger=max_per_trigger,
-                max_receive_count=max_receive_count,
-            ),
-            timeout_s,
+        query = consume(
+            spark,
+            source,
+            place,
+            handler,
+            max_per_trigger=max_per_trigger,
+            max_receive_count=max_receive_count,
         )
-        done = read_routed(spark, f"{place}/messages").filter("route != 'retry'")
-        finals = done if finals is None else finals.unionByName(done)
-        source = f"{place}/messages/batch_id=*/route=retry"
-    return finals
+        drained(query, timeout_s)
+        routed = read_routed(spark, f"{place}/messages")
+        finals.append(routed.filter("route <> 'retry'"))
+        done = routed.filter("route = 'retry'").isEmpty()
+        source = None if done else f"{place}/messages/batch_id=*/route=retry"
+    return reduce(DataFrame.unionByName, finals)

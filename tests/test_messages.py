@@ -25,7 +25,7 @@ def test_normalize_defaults(spark):
         ("a", "r-a", "hello world", {COUNT: "2"}),
         (None, None, None, None),
         ("b", "r-b", "", {}),
-        ("c", "r-c", "Hello 世界 🌍", {COUNT: "many"}),
+        ("c", "r-c", "Grüße 世界 🌍", {COUNT: "many"}),
         ("d", "r-d", "x", {COUNT: None}),
     )
     got = m.normalize_messages(df).select(
@@ -35,14 +35,14 @@ def test_normalize_defaults(spark):
         ("a", "r-a", "hello world", 2, False, 11),
         ("unknown", "", "", 1, False, 0),
         ("b", "r-b", "", 1, False, 0),
-        ("c", "r-c", "Hello 世界 🌍", 1, True, 10),
+        ("c", "r-c", "Grüße 世界 🌍", 1, True, 10),
         ("d", "r-d", "x", 1, False, 1),
     ]
 
 
 @pytest.mark.parametrize(
     "body",
-    ["hello world", "", json.dumps({"event": "order_created", "order_id": "ORD-001", "amount": 99.99}), "Hello 世界 🌍"],
+    ["hello world", "", json.dumps({"kind": "payment", "parts": [1, 2.5], "note": None}), "Grüße 世界 🌍"],
 )
 def test_any_body_succeeds(spark, body):
     df = m.normalize_messages(envelope(spark, ("msg-001", "receipt", body, {COUNT: "1"})))
@@ -85,9 +85,9 @@ def test_routes(spark):
 
 
 def test_body_size(spark):
-    df = spark.createDataFrame([("Hello 世界 🌍",), (None,), ("x" * 262_145,), ("x" * 262_144,)], "body string")
+    df = spark.createDataFrame([("Grüße 世界 🌍",), (None,), ("x" * 262_145,), ("x" * 262_144,)], "body string")
     got = [tuple(row)[1:] for row in m.body_size(df).collect()]
-    assert got == [(10, 17, False), (None, None, None), (262_145, 262_145, True), (262_144, 262_144, False)]
+    assert got == [(10, 19, False), (None, None, None), (262_145, 262_145, True), (262_144, 262_144, False)]
 
 
 def test_generate_and_parse(spark):

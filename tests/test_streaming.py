@@ -90,6 +90,22 @@ def test_poison_message_ends_as_dead_letter(spark, native):
     assert consume_rounds(spark, src, sink, handler).count() == 5
 
 
+def test_odd_receive_counts_end_too(spark):
+    src, sink = scratch(spark, "src"), scratch(spark, "sink")
+    counts = ["0", "-1", "2", "3", "7", "x", None]
+    rows = [(f"m{i}", "r", "poison", {RECEIVE_COUNT: n}) for i, n in enumerate(counts)]
+    spark.createDataFrame(rows, ENVELOPE).write.parquet(src)
+    got = consume_rounds(spark, src, sink, poison_fails)
+    assert routes(got) == Counter({(f"m{i}", 7 if n == "7" else 3, "dead"): 1 for i, n in enumerate(counts)})
+
+
+def test_messages_without_id_stay_apart(spark):
+    src, sink = scratch(spark, "src"), scratch(spark, "sink")
+    spark.createDataFrame([(None, None, body, None) for body in ["fine", "fine", "poison"]], ENVELOPE).write.parquet(src)
+    got = consume_rounds(spark, src, sink, poison_fails)
+    assert routes(got) == Counter({("unknown", 1, "ack"): 2, ("unknown", 3, "dead"): 1})
+
+
 def test_replayed_batch_replaces_itself(spark):
     path = scratch(spark, "sink")
     rows = [(f"m{i}", f"r{i}", "poison" if i < 4 else "fine", {"Other": "1"}) for i in range(8)]
@@ -131,7 +147,7 @@ def test_endless_query_is_stopped_and_reported(spark):
 @pytest.mark.parametrize("fmt", ["parquet", "orc", "json"])
 def test_formats(spark, fmt):
     path = scratch(spark, fmt)
-    rows = [("a", "r", "Hello 世界 🌍", {RECEIVE_COUNT: "2"}), (None, None, None, None)]
+    rows = [("a", "r", "Grüße 世界 🌍", {RECEIVE_COUNT: "2"}), (None, None, None, None)]
     spark.createDataFrame(rows, ENVELOPE).write.format(fmt).save(path)
     back = read_messages(spark, path, fmt)
     assert back.schema == ENVELOPE

@@ -28,7 +28,8 @@ class RetryCounter(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         queue, message_id = key
-        n = self.failures.get()[0] if self.failures.exists() else 0
+        kept = self.failures.get()
+        n = kept[0] if kept else 0
         done = False
         for row in rows:
             if row["success"]:
@@ -40,9 +41,10 @@ class RetryCounter(StatefulProcessor):
                 queue=queue, message_id=message_id, receive_count=n, route="dead" if dead else "retry"
             )
             n = 0 if dead else n
+        # Every call to the state store is a round trip: none that changes nothing.
         if n and not done:
             self.failures.update((n,))
-        else:
+        elif kept:
             self.failures.clear()
 
     def close(self) -> None:

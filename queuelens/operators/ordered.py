@@ -18,7 +18,7 @@ from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from queuelens.operators.skew import ROWS_PER_TASK, hot_groups, in_groups
-from queuelens.session import checkpointed
+from queuelens.session import stored
 
 _SEGMENT = "_segment"
 _POSITION = "_position"
@@ -51,10 +51,11 @@ class Ordered:
             segments = ceil(sum(hot.values()) / rows_per_task) + 1
             # Segment and position are written out with the row: range boundaries
             # are sampled, so a second computation could draw them elsewhere.
-            self.hot = checkpointed(
+            self.hot = stored(
                 self.hot.repartitionByRange(segments, *keys, *order)
                 .sortWithinPartitions(*keys, *order)
-                .withColumns({_SEGMENT: F.spark_partition_id(), _POSITION: F.monotonically_increasing_id()})
+                .withColumns({_SEGMENT: F.spark_partition_id(), _POSITION: F.monotonically_increasing_id()}),
+                "segments",
             )
 
     def _add(self, name: str, plain: Callable, segmented: Callable) -> "Ordered":

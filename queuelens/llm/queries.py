@@ -3,10 +3,10 @@
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from queuelens.llm import exact_dedup, ngram_join, packing, sentencepieces, toxicity
+from queuelens.llm import exact_dedup, ngram_join, packing, pii, sentencepieces, toxicity
 from queuelens.llm.common import documents, table
 
 
@@ -19,6 +19,21 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = pii.with_spans(docs, pii.train(docs)).drop("text")
+
+    def joined(spans: str) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("pii.base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *map(count, pii.KINDS), F.sha2(joined("pii.base"), 256).alias("base_sha256"), joined("pii.spans").alias("spans")
+    )
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(documents(spark, sf_dir))
 
@@ -65,6 +80,7 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op6_ngram_join": op6_ngram_join,
     "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,

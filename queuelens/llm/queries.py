@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from queuelens.llm import exact_dedup, hashing_search, ngram_join, packing, pii, sentencepieces, toxicity
+from queuelens.llm import exact_dedup, hashing_search, html_text, ngram_join, packing, pii, sentencepieces, toxicity
 from queuelens.llm.common import documents, table
 
 
@@ -39,6 +39,12 @@ def op4_hashing_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashing_search.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = html_text.extract(pages.select("page_id", "url", "html"), html_text.train(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(documents(spark, sf_dir))
 
@@ -87,6 +93,7 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op4_hashing_search": op4_hashing_search,
+    "op5_html_text": op5_html_text,
     "op6_ngram_join": op6_ngram_join,
     "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,

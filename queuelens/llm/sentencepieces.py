@@ -21,7 +21,7 @@ from queuelens.llm.common import chunks, per_process, whole_text
 #: Fixed value: the character that stands for a blank inside pieces.
 BLANK = "▁"
 #: Words and pairs a worker process remembers; what is forgotten is worked out again.
-REMEMBERED = 800_000
+REMEMBERED = 250_000
 
 
 class Merger:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from queuelens.llm import exact_dedup, hashing_search, html_text, ngram_join, packing, pii, sentencepieces, toxicity
+from queuelens.llm import exact_dedup, hashing_search, html_text, licenses, ngram_join, packing, pii, quality, sentencepieces, toxicity
 from queuelens.llm.common import documents, table
 
 
@@ -34,6 +34,17 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    scored = quality.with_quality(docs, quality.train(docs)).select("doc_id", "quality.weak_label", "quality.score")
+    return scored.withColumn("good", (F.col("score") >= 0.5).cast("int"))
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return licenses.scan(docs, licenses.train(docs))
+
+
 def op4_hashing_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return hashing_search.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
@@ -92,6 +103,8 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_quality": op2_quality,
+    "op3_licenses": op3_licenses,
     "op4_hashing_search": op4_hashing_search,
     "op5_html_text": op5_html_text,
     "op6_ngram_join": op6_ngram_join,

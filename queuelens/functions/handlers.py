@@ -5,9 +5,10 @@ Native handlers stay in Spark expressions; ``python_handler`` wraps ordinary
 Python for work that Spark cannot express.
 """
 
+import traceback
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +28,7 @@ def outcome(success: Column, error: Column | str, error_type: Column | str) -> C
         (~failed).alias("success"),
         F.when(failed, text[0]).alias("error"),
         F.when(failed, text[1]).alias("error_type"),
+        F.lit(None).cast("string").alias("exc_info"),
     )
 
 
@@ -35,21 +37,30 @@ def accept_all(message: Column) -> Column:
     return outcome(F.lit(True), "", "")
 
 
-def python_handler(fn: Callable[[dict], object]) -> Handler:
+def python_handler(fn: Callable[[dict], object], columns: list[str] | None = None) -> Handler:
     """Run ``fn(message)`` per message in Arrow batches.
 
-    An exception marks that message as failed and leaves the others alone.
+    The message is a dictionary of Python values: whole numbers stay whole, NULL is None,
+    a map is a dictionary. Only ``columns`` are sent to Python if they are named. An
+    exception marks that message as failed, with its traceback in ``exc_info``, and
+    leaves the others alone.
     """
+    names = OUTCOME.names
 
-    @F.pandas_udf(OUTCOME)
-    def run(messages: pd.DataFrame) -> pd.DataFrame:
+    @F.arrow_udf(OUTCOME)
+    def run(messages: pa.Array) -> pa.Array:
+        maps = [f.name for f in messages.type if pa.types.is_map(f.type)]
         rows = []
-        for message in messages.to_dict("records"):
+        for message in messages.to_pylist():
+            message |= {name: dict(message[name]) for name in maps if message[name] is not None}
             try:
                 fn(message)
-                rows.append((True, None, None))
+                rows.append((True, None, None, None))
             except Exception as problem:
-                rows.append((False, str(problem), type(problem).__name__))
-        return pd.DataFrame(rows, columns=OUTCOME.names)
+                rows.append((False, str(problem), type(problem).__name__, traceback.format_exc()))
+        kinds = [pa.bool_(), pa.string(), pa.string(), pa.string()]
+        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
-    return run
+    if columns is None:
+        return run
+    return lambda message: run(F.struct(*[message[c].alias(c) for c in columns]))

@@ -63,7 +63,9 @@ def dead_letter_name(queue: Column) -> Column:
 
 
 def fingerprint(*columns: str) -> Column:
-    """Hash of a row's content. NULL is spelled out: joining text skips NULLs."""
-    return F.md5(
-        F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("<null>")) for c in columns])
-    )
+    """Hash of a row's content: of its fields as a JSON object, in the order given.
+
+    Quoting keeps values apart whatever they contain, and NULL is written without quotes.
+    """
+    fields = F.struct(*[F.col(c).cast("string").alias(c) for c in columns])
+    return F.md5(F.to_json(fields, {"ignoreNullFields": "false"}))

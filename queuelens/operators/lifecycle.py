@@ -8,11 +8,14 @@ from queuelens.functions.scalars import dead_letter_name, plus_seconds
 from queuelens.operators.messages import MAX_RECEIVE_COUNT
 from queuelens.operators.ordered import Ordered
 from queuelens.operators.skew import ROWS_PER_TASK, hot_groups, in_groups, join_unique
+from queuelens.session import is_small
 
 # The id comes first: sorts compare the first column first, and ids tell rows
 # apart where a handful of queue names do not.
 MESSAGE = ["message_id", "queue"]
 DELIVERY = [*MESSAGE, "receipt_handle"]
+#: Exhausted receives (about 100 bytes each) up to which their handles go to every task.
+EXHAUSTED_ROWS = 200_000
 IN_TIME_ORDER = ["received_at", "receipt_handle"]
 
 
@@ -207,10 +210,14 @@ def dead_letters(
 ) -> DataFrame:
     """Messages whose last allowed receive was not acknowledged in time.
 
-    Only receives that reached the limit are read and shuffled. An ack that
-    comes after the message has moved is too late.
+    Of the receives only those that reached the limit are shuffled, and of the acks, as
+    long as those receives are few, only theirs. An ack that comes after the message has
+    moved is too late.
     """
     exhausted = receives.filter(F.col("receive_count") >= max_receive_count)
+    handles = exhausted.select(*DELIVERY)
+    if is_small(handles, EXHAUSTED_ROWS):
+        acks = acks.join(F.broadcast(handles.distinct()), DELIVERY, "left_semi")
     settled = _settled(exhausted, acks, visibility_s, max_receive_count)
     last = settled.groupBy(*MESSAGE).agg(*_last_delivery())
     never_settled = F.coalesce(F.col("last_settled_at") < F.col("last_received_at"), F.lit(True))

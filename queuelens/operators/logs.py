@@ -24,9 +24,11 @@ RECEIVED = "Received message: "
 SUCCEEDED = "Message processed successfully"
 FAILED = "Message processing failed"
 DELETED = "Message deleted from queue"
+DELETE_FAILED = "Failed to delete message — it will reappear after VisibilityTimeout"
 KEPT = "Message not deleted — will retry or go to DLQ"
 NOTHING_RECEIVED = "No messages received (queue may be empty)"
 POLL_FAILED = "SQS API error during receive"
+UNEXPECTED = "Unexpected error in polling loop"
 
 
 def log_threshold(df: DataFrame, level: str = DEFAULT_LEVEL) -> DataFrame:
@@ -65,9 +67,15 @@ def _record(levelname: Column, message: Column, **extras: Column) -> Column:
 def message_log(df: DataFrame, at: Column, duration_ms: Column, name: str = "queue") -> DataFrame:
     """The four log records a consumer writes for each processed message.
 
-    ``df`` comes out of ``process_messages``.
+    ``df`` comes out of ``process_messages``. Where it has a column ``delete_error`` (text of
+    the error, NULL if the delete worked), a success that could not be deleted is logged as
+    such, with ``delete_error_code`` if there is that column.
     """
     ok = F.col("outcome.success")
+    none = F.lit(None).cast("string")
+    undeleted = F.col("delete_error") if "delete_error" in df.columns else none
+    code = F.col("delete_error_code") if "delete_error_code" in df.columns else none
+    lost = ok & undeleted.isNotNull()
     message_id = F.col("message_id")
 
     def only_if_failed(value):
@@ -91,11 +99,14 @@ def message_log(df: DataFrame, at: Column, duration_ms: Column, name: str = "que
         duration_ms=duration_ms,
         error=only_if_failed(F.col("outcome.error")),
         error_type=only_if_failed(F.col("outcome.error_type")),
+        exc_info=only_if_failed(F.col("outcome.exc_info")),
     )
     settled = _record(
-        F.when(ok, "DEBUG").otherwise("WARNING"),
-        F.when(ok, DELETED).otherwise(KEPT),
+        F.when(lost, "ERROR").when(ok, "DEBUG").otherwise("WARNING"),
+        F.when(lost, DELETE_FAILED).when(ok, DELETED).otherwise(KEPT),
         message_id=message_id,
+        error=F.when(lost, undeleted),
+        error_code=F.when(lost, code),
     )
     records = F.explode(F.array(started, received, finished, settled))
     return (
@@ -108,19 +119,20 @@ def message_log(df: DataFrame, at: Column, duration_ms: Column, name: str = "que
 def poll_log(streaks: DataFrame, name: str = "queue") -> DataFrame:
     """The log records of polls that brought nothing or failed.
 
-    ``streaks`` comes out of ``empty_poll_streak`` and may have columns
-    ``error_code`` and ``error``.
+    ``streaks`` comes out of ``empty_poll_streak`` and may have columns ``error_code``,
+    ``error``, ``error_type`` and ``exc_info``. Kind ``unexpected`` is any other error of the loop.
     """
-    empty = F.col("kind") == "empty"
-    extras = {c: F.when(~empty, F.col(c)) for c in ("error_code", "error") if c in streaks.columns}
+    empty, unexpected = F.col("kind") == "empty", F.col("kind") == "unexpected"
+    shown = {"error_code": ~empty & ~unexpected, "error": ~empty, "error_type": unexpected, "exc_info": unexpected}
+    extras = {c: F.when(where, F.col(c)) for c, where in shown.items() if c in streaks.columns}
     record = _record(
         F.when(empty, "DEBUG").otherwise("ERROR"),
-        F.when(empty, NOTHING_RECEIVED).otherwise(POLL_FAILED),
+        F.when(empty, NOTHING_RECEIVED).when(unexpected, UNEXPECTED).otherwise(POLL_FAILED),
         empty_poll_count=F.when(empty, F.col("streak")),
         **extras,
     )
     return (
-        streaks.filter(F.col("kind").isin("empty", "api_error"))
+        streaks.filter(F.col("kind").isin("empty", "api_error", "unexpected"))
         .select(F.col("polled_at").alias("asctime"), F.lit(name).alias("name"), record.alias("r"))
         .select("asctime", "name", "r.*")
         .select(*LOG_RECORD.names)

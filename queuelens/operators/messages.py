@@ -2,7 +2,6 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType
 
 from queuelens.functions.bodies import TIME_FORMAT, body_field
 from queuelens.functions.handlers import Handler
@@ -42,11 +41,10 @@ def normalize_messages(df: DataFrame) -> DataFrame:
 def process_messages(df: DataFrame, handler: Handler) -> DataFrame:
     """Run ``handler`` on every message; adds ``outcome``.
 
-    The handler sees all columns but maps. One failing message is one failed
-    outcome, never a failed job.
+    The handler sees all columns, message attributes too. One failing message is one
+    failed outcome, never a failed job.
     """
-    fields = [f.name for f in df.schema if not isinstance(f.dataType, MapType)]
-    return df.withColumn("outcome", handler(F.struct(*fields)))
+    return df.withColumn("outcome", handler(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
 
 
 def route_outcomes(df: DataFrame, max_receive_count: int = MAX_RECEIVE_COUNT) -> DataFrame:

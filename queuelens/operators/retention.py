@@ -14,6 +14,10 @@ from queuelens.operators.skew import ROWS_PER_TASK, join_unique
 TAG_PREFIXES = ["v", "sha-", "latest"]
 KEEP = 10
 
+# Spark's own limit (spark.sql.optimizer.windowGroupLimitThreshold): up to this rank a task
+# drops the rows of a key that cannot count before they are shuffled.
+LIMITED_IN_TASK = 1_000
+
 # Fixed values, in seconds: retention of messages, of dead letters, of untagged versions.
 MESSAGE_RETENTION = 345_600
 DEAD_LETTER_RETENTION = 1_209_600
@@ -37,14 +41,16 @@ def retain_latest(
     keep; the whole table is then compared with that one row per key.
     """
     counts = F.coalesce(F.col(tag).rlike("^(" + "|".join(map(re.escape, prefixes)) + ")"), F.lit(False))
-    newest_first = W.partitionBy(key).orderBy(*[F.desc(c) for c in order])
-    oldest_kept = (
-        df.filter(counts & F.col(key).isNotNull())
-        .select(key, *order)
-        .withColumn("rank", F.row_number().over(newest_first))
-        .filter(F.col("rank") == n)
-        .select(key, F.struct(*order).alias("_oldest"))
-    )
+    releases = df.filter(counts & F.col(key).isNotNull()).select(key, *order)
+    if n <= LIMITED_IN_TASK:
+        newest_first = W.partitionBy(key).orderBy(*[F.desc(c) for c in order])
+        ranked = releases.withColumn("rank", F.row_number().over(newest_first)).filter(F.col("rank") == n)
+    else:
+        # Tasks no longer cut down their rows: number them without one task per key, and count from the end.
+        numbered = Ordered(releases, [key], list(order), rows_per_task).row_number("rank").frame()
+        sizes = releases.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
+        ranked = join_unique(numbered, sizes, [key], "inner", rows_per_task).filter(F.col("rank") == F.col("rows") - n + 1)
+    oldest_kept = ranked.select(key, F.struct(*order).alias("_oldest"))
     older = F.coalesce(F.struct(*order) < F.col("_oldest"), F.lit(False))
     marked = join_unique(df, oldest_kept, [key], "left", rows_per_task)
     return marked.withColumn("expire", counts & older).drop("_oldest")

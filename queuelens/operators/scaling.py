@@ -43,29 +43,50 @@ def with_policy(
     return join_unique(series, policy, ["env"], "left", rows_per_task)
 
 
-def recommend_replicas(series: DataFrame, policy: Policy, tick_s: int) -> DataFrame:
+def recommend_replicas(
+    series: DataFrame, policy: Policy | None, tick_s: int, longest_s: int | None = None
+) -> DataFrame:
     """Workers wanted per queue and tick; input (queue, tick, depth) at every tick.
 
     ``desired`` is the rounded-up backlog per worker. ``stabilized`` is its
     highest value within the stabilisation time, both ends included. A queue
     that was busy less than the cooldown ago keeps at least one worker.
+
+    Without ``policy`` every row carries its own, as ``with_policy`` attaches it; ``env`` is
+    kept. ``longest_s`` then bounds the stabilisation times: what lies further back is not
+    looked at.
     """
+    own = policy is None
+    if own and longest_s is None:
+        raise ValueError("policies of rows need longest_s")
+
+    def setting(name: str):
+        return F.col(name) if own else F.lit(getattr(policy, name))
+
     at = F.col("tick") * tick_s
     by_queue = W.partitionBy("queue").orderBy("at")
     wanted = series.withColumn("at", at).withColumn(
         "desired",
-        desired_replicas(F.col("depth"), policy.queue_length, policy.min_replicas, policy.max_replicas),
+        desired_replicas(F.col("depth"), setting("queue_length"), setting("min_replicas"), setting("max_replicas")),
     )
-    recent = by_queue.rangeBetween(-policy.stabilization_s, 0)
+    if own:
+        # A frame has one length for all rows; the few ticks in it are cut to each row's own time.
+        seen = F.collect_list(F.struct("at", "desired")).over(by_queue.rangeBetween(-longest_s, 0))
+        wanted = wanted.withColumn("_seen", seen)
+        lately = F.filter("_seen", lambda x: x["at"] >= F.col("at") - F.col("stabilization_s"))
+        stabilized = F.array_max(F.transform(lately, lambda x: x["desired"]))
+    else:
+        stabilized = F.max("desired").over(by_queue.rangeBetween(-policy.stabilization_s, 0))
     so_far = by_queue.rowsBetween(W.unboundedPreceding, 0)
     smoothed = wanted.withColumns(
         {
-            "stabilized": F.max("desired").over(recent),
+            "stabilized": stabilized,
             "last_active": F.max(F.when(F.col("depth") > 0, F.col("at"))).over(so_far),
         }
     )
-    cooling = (F.col("depth") == 0) & (F.col("at") - F.col("last_active") < policy.cooldown_s)
+    cooling = (F.col("depth") == 0) & (F.col("at") - F.col("last_active") < setting("cooldown_s"))
     return smoothed.select(
+        *(["env"] if own else []),
         "queue",
         "tick",
         "depth",

@@ -9,13 +9,19 @@ from queuelens.operators.skew import ROWS_PER_TASK
 
 
 def send_summary(results: DataFrame) -> DataFrame:
-    """Accepted and rejected entries per batch, and in total (``batch`` NULL)."""
+    """Accepted and rejected entries per batch, and in total (``is_total``).
+
+    Entries without a batch are a group of their own, with ``batch`` NULL too.
+    """
     per_batch = results.groupBy("batch").agg(
         F.count_if(F.col("status") == "sent").alias("sent"),
         F.count_if(F.col("status") == "failed").alias("failed"),
     )
     return per_batch.rollup("batch").agg(
-        F.sum("sent").alias("sent"), F.sum("failed").alias("failed"), F.count("*").alias("batches")
+        F.sum("sent").alias("sent"),
+        F.sum("failed").alias("failed"),
+        F.count("*").alias("batches"),
+        (F.grouping("batch") == 1).alias("is_total"),
     )
 
 

@@ -5,14 +5,12 @@ possible, worded in another way than the operator: intervals joined to ticks
 instead of running totals, self-joins instead of window functions, and so on.
 """
 
-from queuelens.operators.retention import (
-    DEAD_LETTER_RETENTION,
-    KEEP,
-    MESSAGE_RETENTION,
-    UNTAGGED_RETENTION,
-)
-from queuelens.plans.queries import DOCUMENT_LIMIT, UNTAGGED_AS_OF
-from queuelens.plans.tables import AS_OF, FIRST_TICK, LAST_TICK
+# Fixed values, stated here once more so that a slip in the code shows: keep the ten latest;
+# messages 4 days, dead letters 14 days, untagged versions 1 day; and what the queries ask for.
+KEEP = 10
+MESSAGE_RETENTION, DEAD_LETTER_RETENTION, UNTAGGED_RETENTION = 345600, 1209600, 86400
+DOCUMENT_LIMIT = 2000
+AS_OF, UNTAGGED_AS_OF = "2024-01-14 12:00:00", "1998-01-01 00:00:00"
 
 EV = """
 ev AS (
@@ -53,7 +51,8 @@ def tick(ts: str) -> str:
 GRID = f"""
 grid AS (
   SELECT queue, tick FROM (SELECT DISTINCT event_type AS queue FROM events),
-         (SELECT unnest(range({FIRST_TICK}, {LAST_TICK + 1})) AS tick))"""
+         (SELECT unnest(range((SELECT min({tick("ts")}) FROM events),
+            (SELECT max({tick("greatest(received_at + to_minutes(30), received_at + to_minutes(CASE WHEN message_id % 100 = 57 AND receive_count = 1 THEN 31 ELSE 0 END))")}) + 1 FROM receives))) AS tick))"""
 
 # A message waits from when it is sent to its first receive; between later
 # receives it is shown again at the very moment it is received.
@@ -288,11 +287,12 @@ ORACLES = {
                count(*) FILTER (state = 'DELETED') AS deleted, count(*) FILTER (state = 'DEAD') AS dead
         FROM states GROUP BY queue""",
     "send_summary": """
-        WITH results AS (SELECT event_id // 10 + 1 AS batch, event_id % 37 = 0 AS bad FROM events)
-        SELECT batch, count(*) FILTER (NOT bad) AS sent, count(*) FILTER (bad) AS failed, CAST(1 AS BIGINT) AS batches
+        WITH results AS (SELECT CASE WHEN event_id % 91 <> 0 THEN event_id // 10 + 1 END AS batch, event_id % 37 = 0 AS bad FROM events)
+        SELECT batch, count(*) FILTER (NOT bad) AS sent, count(*) FILTER (bad) AS failed, CAST(1 AS BIGINT) AS batches,
+               FALSE AS is_total
         FROM results GROUP BY batch
         UNION ALL
-        SELECT NULL, count(*) FILTER (NOT bad), count(*) FILTER (bad), count(DISTINCT batch) FROM results""",
+        SELECT NULL, count(*) FILTER (NOT bad), count(*) FILTER (bad), count(DISTINCT coalesce(batch, -1)), TRUE FROM results""",
     "send_prediction": """
         SELECT count(*) FILTER (event_id % 37 <> 0) AS sent, count(*) FILTER (event_id % 37 = 0) AS failed,
                CAST(least(ceil(count(*) FILTER (event_id % 37 <> 0) / 5), 5) AS BIGINT) AS replicas
@@ -318,7 +318,7 @@ ORACLES = {
                received_at AS last_received_at, dead_at FROM dead""",
     "dead_letter_alarm": f"WITH {ALARMS} SELECT * FROM alarms",
     "dead_letter_alarm_stream": f"""WITH {ALARMS}
-        SELECT * FROM alarms WHERE window_end <= make_timestamp({LAST_TICK * 900000000}) - to_hours(6)""",
+        SELECT * FROM alarms""",
     "poll_profile": f"""WITH {POLLS}
         SELECT time_bucket(INTERVAL '1 hour', polled_at) AS hour, consumer, count(*) AS polls,
                count(*) FILTER (kind = 'empty') AS empty_polls,
@@ -346,8 +346,20 @@ ORACLES = {
         SELECT queue, tick, depth, desired, stabilized,
                CASE WHEN depth = 0 AND lately > 0 AND stabilized < 1 THEN 1 ELSE stabilized END AS replicas
         FROM recent""",
+    "replica_recommendation_by_env": f"""WITH {DEPTH},
+        policy AS (SELECT * FROM (VALUES ('click', 'dev', 3, 1), ('view', 'dev', 3, 1), ('error', 'prod', 5, 2),
+                     ('signup', 'prod', 5, 2), ('purchase', 'prod', 5, 2)) p(queue, env, most, cool_ticks)),
+        wanted AS (SELECT *, CAST(least(ceil(depth / 5), most) AS BIGINT) AS desired FROM depth JOIN policy USING (queue)),
+        recent AS (
+          SELECT w.queue, w.env, w.tick, w.depth, w.desired, max(p.desired) AS stabilized,
+                 max(CASE WHEN p.tick > w.tick - w.cool_ticks THEN p.depth END) AS lately
+          FROM wanted w JOIN wanted p ON p.queue = w.queue AND p.tick BETWEEN w.tick - 2 AND w.tick
+          GROUP BY ALL)
+        SELECT env, queue, tick, depth, desired, stabilized,
+               CASE WHEN depth = 0 AND lately > 0 AND stabilized < 1 THEN 1 ELSE stabilized END AS replicas
+        FROM recent""",
     "change_detection": """
-        WITH v AS (SELECT *, md5(o_orderstatus || '|' || o_orderpriority) AS fingerprint,
+        WITH v AS (SELECT *, md5('{"o_orderstatus":"' || o_orderstatus || '","o_orderpriority":"' || o_orderpriority || '"}') AS fingerprint,
                      row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders)
         SELECT a.o_orderkey, a.o_custkey, a.fingerprint, a.fingerprint IS DISTINCT FROM b.fingerprint AS changed
         FROM v a LEFT JOIN v b ON b.o_custkey = a.o_custkey AND b.rn = a.rn - 1""",
@@ -383,8 +395,10 @@ ORACLES = {
                  AS receive_count, CASE WHEN odd THEN 'dead' ELSE 'ack' END AS route
         FROM normal""",
     "stateful_retry": f"""WITH {RECEIVES}
-        SELECT queue, message_id, receive_count,
+        SELECT queue, message_id, receipt_handle, receive_count,
                CASE WHEN receive_count = 3 THEN 'dead' ELSE 'retry' END AS route
         FROM receives WHERE ok_at IS NULL OR receive_count < ok_at""",
-    "redelivery_dedup": "SELECT event_type AS queue, event_id AS message_id FROM events",
+    "redelivery_dedup": f"""WITH {RECEIVES}
+        SELECT queue, message_id, min(received_at) AS received_at, min_by(receipt_handle, received_at) AS receipt_handle
+        FROM receives GROUP BY queue, message_id""",
 }

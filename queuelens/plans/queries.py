@@ -11,22 +11,23 @@ from queuelens.functions.scalars import dead_letter_name, desired_replicas, queu
 from queuelens.operators import alarm, depth, lifecycle, logs, messages, polls, retention, rules, scaling, sending
 from queuelens.plans import tables as t
 from queuelens.schemas import ENVELOPE
-from queuelens.session import configure, scratch
+from queuelens.session import configure, scratch, stored
 from queuelens.sources import generator, sinks
 from queuelens.sources.messages import read_log, read_messages, stream_messages
-from queuelens.streaming.alarm import dlq_alarm_stream
+from queuelens.streaming.alarm import dlq_alarm_stream, read_alarms
 from queuelens.streaming.consume import consume, consume_rounds
-from queuelens.streaming.dedup import dedup_messages
-from queuelens.streaming.retry import retry_settings, retry_state
+from queuelens.streaming.dedup import dedup_messages, first_deliveries
+from queuelens.streaming.retry import read_decisions, retry_state
 from queuelens.streaming.running import drained
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 DOCUMENT_LIMIT = 2_000
-FILES_PER_BATCH = 4
+FILES_PER_BATCH = 1_000
 UNTAGGED_AS_OF = "1998-01-01 00:00:00"
 LATENESS = "6 hours"
-POLL_FIELDS = ["error_code", "empty_poll_count"]  # only records of polls carry these
+DELAY_S = 86_400
+OTHER_FIELDS = ["error_code", "empty_poll_count", "exc_info"]  # of records of polls, and of Python handlers
 
 _QUERIES: dict[str, Query] = {}
 
@@ -70,7 +71,8 @@ def message_scan(spark, sf_dir):
 @query
 def bounded_stream_scan(spark, sf_dir):
     src, out = _stored_envelopes(spark, sf_dir), scratch(spark, "scanned")
-    stream = stream_messages(spark, src, max_per_trigger=1)
+    # As many files at once as there are tasks at once.
+    stream = stream_messages(spark, src, max_per_trigger=spark.sparkContext.defaultParallelism)
     drained(
         stream.writeStream.format("parquet")
         .option("path", out)
@@ -107,7 +109,7 @@ def structured_log_sink(spark, sf_dir):
 def structured_log_source(spark, sf_dir):
     path = scratch(spark, "log")
     sinks.write_log(_consumer_log(spark, sf_dir), path)
-    return read_log(spark, path).drop(*POLL_FIELDS)
+    return read_log(spark, path).drop(*OTHER_FIELDS)
 
 
 @query
@@ -153,7 +155,7 @@ def _processed(spark, sf_dir, handler=t.fails_on_error_queue) -> DataFrame:
 
 
 def _outcomes(df: DataFrame) -> DataFrame:
-    return df.select("event_id", "message_id", "outcome.*")
+    return df.select("event_id", "message_id", "outcome.success", "outcome.error", "outcome.error_type")
 
 
 @query
@@ -197,7 +199,7 @@ def _consumer_log(spark, sf_dir) -> DataFrame:
 
 @query
 def message_log(spark, sf_dir):
-    return _consumer_log(spark, sf_dir).drop(*POLL_FIELDS)
+    return _consumer_log(spark, sf_dir).drop(*OTHER_FIELDS)
 
 
 @query
@@ -263,12 +265,16 @@ def pending_messages(spark, sf_dir):
     return lifecycle.pending_messages(t.sends(spark, sf_dir), acked)
 
 
-@query
-def policy_join(spark, sf_dir):
+def _with_policy(spark, sf_dir) -> DataFrame:
     """Depth with the policy of its environment; two queues belong to ``dev``."""
     env = F.when(F.col("queue").isin("click", "view"), "dev").otherwise("prod")
     series = _depth(spark, sf_dir).withColumn("env", env)
-    joined = scaling.with_policy(series, scaling.resolve_policy(*t.policies(spark)))
+    return scaling.with_policy(series, scaling.resolve_policy(*t.policies(spark)))
+
+
+@query
+def policy_join(spark, sf_dir):
+    joined = _with_policy(spark, sf_dir)
     wanted = desired_replicas(
         F.col("depth"), F.col("queue_length"), F.col("min_replicas"), F.col("max_replicas")
     )
@@ -320,7 +326,7 @@ def dead_letters(spark, sf_dir):
 
 def _gauge(spark, sf_dir) -> DataFrame:
     gauge = depth.dead_letter_gauge(
-        _dead(spark, sf_dir), t.TICK_S, t.FIRST_TICK, t.LAST_TICK, t.DEAD_LETTERS_KEPT_S
+        _dead(spark, sf_dir), t.TICK_S, *t.grid(spark, sf_dir), t.DEAD_LETTERS_KEPT_S
     )
     return gauge.select(
         dead_letter_name(F.col("queue")).alias("queue"),
@@ -358,8 +364,7 @@ def _depth(spark, sf_dir, include_in_flight=False) -> DataFrame:
         t.receives(spark, sf_dir),
         t.acks(spark, sf_dir),
         t.TICK_S,
-        t.FIRST_TICK,
-        t.LAST_TICK,
+        *t.grid(spark, sf_dir),
         t.VISIBILITY_S,
         include_in_flight=include_in_flight,
     )
@@ -389,6 +394,14 @@ def replica_recommendation(spark, sf_dir):
     return scaling.recommend_replicas(_depth(spark, sf_dir), policy, t.TICK_S)
 
 
+@query
+def replica_recommendation_by_env(spark, sf_dir):
+    """As above, by the policy of each queue's environment, durations scaled."""
+    scaled = {c: F.col(c) * t.SCALE for c in ("cooldown_s", "stabilization_s")}
+    joined = _with_policy(spark, sf_dir).withColumns(scaled)
+    return scaling.recommend_replicas(joined, None, t.TICK_S, scaling.Policy().stabilization_s * t.SCALE)
+
+
 @query
 def change_detection(spark, sf_dir):
     orders = t.table(spark, sf_dir, "orders")
@@ -472,54 +485,44 @@ def consumer_rounds(spark, sf_dir):
     )
 
 
-def _in_time_order(spark, df: DataFrame, ts: str, label: str) -> DataFrame:
-    """Stream over ``df`` in three micro-batches, each of a later stretch of time.
+def _fed_in_order(spark, df: DataFrame, ts: str, start) -> None:
+    """Run the query that ``start`` gives for a stream over ``df`` in three goes, each over a later stretch of time.
 
-    A file stream takes files by age, so the stretches are written one after the
-    other, each in as many files as one micro-batch takes.
+    ``df`` is worked out once and stored by time; the stretches are appended from there,
+    each by as many tasks as hold its rows.
     """
-    path = scratch(spark, label)
-    first, last = df.agg(F.min(ts), F.max(ts)).first()
-    third = (last - first) / 3
-    stretch = F.when(F.col(ts) < first + third, 0).when(F.col(ts) < first + 2 * third, 1).otherwise(2)
-    for number in range(3):
-        part = df.filter(stretch == number)
-        part.repartition(FILES_PER_BATCH).write.mode("append").parquet(path)
-    return stream_messages(spark, path, FILES_PER_BATCH, schema=df.schema)
-
-
-def _receive_stream(spark, sf_dir) -> DataFrame:
-    return _in_time_order(spark, t.receives_with_outcome(spark, sf_dir), "received_at", "receives")
-
-
-def _appended(spark, stream: DataFrame, label: str) -> DataFrame:
-    """Run a stream over the available data and read back what it appended."""
-    out = scratch(spark, label)
-    drained(
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", out)
-        .option("checkpointLocation", scratch(spark, "checkpoint"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    return spark.read.schema(stream.schema).parquet(out)
+    staged = stored(df.repartitionByRange(ts), "staged")
+    path = scratch(spark, "stream")
+    first, last = staged.agg(F.min(ts), F.max(ts)).first()  # from the files' statistics
+    third = (last - first) / 3 if first is not None else None
+    edges = [first + k * third for k in (1, 2)] if first is not None else []
+    at = F.col(ts)
+    stretches = [at < edges[0], (at >= edges[0]) & (at < edges[1]), at >= edges[1]] if edges else [F.lit(True)]
+    for stretch in stretches:
+        staged.filter(stretch).write.mode("append").parquet(path)
+        drained(start(stream_messages(spark, path, FILES_PER_BATCH, schema=df.schema)))
 
 
 @query
 def stateful_retry(spark, sf_dir):
-    with retry_settings(spark):
-        decided = _appended(spark, retry_state(_receive_stream(spark, sf_dir)), "retries")
-    return decided
+    out = scratch(spark, "retries")
+    _fed_in_order(spark, t.receives_with_outcome(spark, sf_dir), "received_at", lambda s: retry_state(s, out))
+    return read_decisions(spark, out).drop("received_at")
 
 
 @query
 def dead_letter_alarm_stream(spark, sf_dir):
-    samples = _in_time_order(spark, _gauge(spark, sf_dir), "ts", "gauge")
-    return _appended(spark, dlq_alarm_stream(samples, t.ALARM_PERIOD, lateness=LATENESS), "alarms")
+    out = scratch(spark, "alarms")
+    _fed_in_order(
+        spark, _gauge(spark, sf_dir), "ts", lambda s: dlq_alarm_stream(s, out, t.ALARM_PERIOD, lateness=LATENESS)
+    )
+    return read_alarms(spark, out)
 
 
 @query
 def redelivery_dedup(spark, sf_dir):
-    kept = dedup_messages(_receive_stream(spark, sf_dir), "1 day")
-    return _appended(spark, kept.select("queue", "message_id"), "deduplicated")
+    out = scratch(spark, "deduplicated")
+    _fed_in_order(
+        spark, t.receives_with_outcome(spark, sf_dir), "received_at", lambda s: dedup_messages(s, out, DELAY_S)
+    )
+    return first_deliveries(spark, out, DELAY_S)

@@ -24,7 +24,10 @@ ENVELOPE = _schema(
     attributes=MapType(StringType(), StringType()),
 )
 
-OUTCOME = _schema(success=BooleanType(), error=StringType(), error_type=StringType())
+# ``exc_info`` is the traceback of a handler written in Python.
+OUTCOME = _schema(
+    success=BooleanType(), error=StringType(), error_type=StringType(), exc_info=StringType()
+)
 
 # What the consumer keeps per delivery: the envelope to send again, the count
 # it was delivered with, and what became of it.
@@ -78,6 +81,7 @@ LOG_RECORD = _schema(
     duration_ms=DoubleType(),
     error=StringType(),
     error_type=StringType(),
+    exc_info=StringType(),
     error_code=StringType(),
     empty_poll_count=LongType(),
 )

@@ -1,17 +1,43 @@
 """Dead-letter alarm on a stream of gauge samples."""
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from queuelens.operators.alarm import PERIOD, THRESHOLD, alarm_rows
 
+ALARM = "queue string, window_start timestamp_ntz, window_end timestamp_ntz, total bigint, alarm boolean"
+
 
 def dlq_alarm_stream(
-    samples: DataFrame, period: str = PERIOD, threshold: int = THRESHOLD, lateness: str = "0 seconds"
-) -> DataFrame:
-    """The alarm per period, emitted once no sample of it can come any more.
+    samples: DataFrame, path: str, period: str = PERIOD, threshold: int = THRESHOLD, lateness: str = "0 seconds"
+) -> StreamingQuery:
+    """The alarm per period, written below ``path`` each time a period's sum has changed.
 
-    Samples later than ``lateness`` are dropped. Write it in append mode.
+    Sums are state until the watermark passes the period, so samples later than
+    ``lateness`` are dropped. ``read_alarms`` gives the latest row of each period, also of
+    those the watermark has not passed. A replayed micro-batch replaces its own folder.
     """
     timed = samples.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", lateness)
-    return alarm_rows(timed, F.col("at"), period, threshold)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/alarms/batch_id={batch_id}")
+
+    writer = alarm_rows(timed, F.col("at"), period, threshold).writeStream.outputMode("update").foreachBatch(write)
+    return writer.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+
+
+def read_alarms(spark: SparkSession, path: str) -> DataFrame:
+    """The alarm of every period: of its rows the one of the latest micro-batch."""
+    schema = f"{ALARM}, batch_id bigint"
+    try:
+        rows = spark.read.schema(schema).parquet(f"{path}/alarms")
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], schema)
+    latest = rows.groupBy("queue", "window_start", "window_end").agg(
+        F.max(F.struct("batch_id", "total", "alarm")).alias("r")
+    )
+    return latest.select("queue", "window_start", "window_end", "r.total", "r.alarm")

@@ -54,7 +54,7 @@ def consume_rounds(
     handler: Handler,
     max_per_trigger: int = FILES_PER_BATCH,
     max_receive_count: int = MAX_RECEIVE_COUNT,
-    timeout_s: int = 3600,
+    idle_s: float | None = None,
 ) -> DataFrame:
     """Consume ``src`` and every message that has to be delivered again.
 
@@ -65,6 +65,8 @@ def consume_rounds(
     round to round, so the rounds end: with the one that leaves nothing to retry.
     Calling again picks up new files only.
 
+    A round may take any time; with ``idle_s`` it ends in an error after so long without progress.
+
     Returns all final rows (``route`` ack or dead).
     """
     finals, source, k = [], src, 0
@@ -79,7 +81,7 @@ def consume_rounds(
             max_per_trigger=max_per_trigger,
             max_receive_count=max_receive_count,
         )
-        drained(query, timeout_s)
+        drained(query, idle_s)
         routed = read_routed(spark, f"{place}/messages")
         finals.append(routed.filter("route <> 'retry'"))
         done = routed.filter("route = 'retry'").isEmpty()

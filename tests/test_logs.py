@@ -116,3 +116,25 @@ def test_poll_log(spark):
             "error_code": "Throttled",
         },
     ]
+
+
+def test_delete_failure_and_unexpected_errors_are_logged(spark):
+    rows = [("a", True, "denied", "AccessDenied"), ("b", True, None, None), ("c", False, None, None)]
+    df = spark.createDataFrame(rows, "message_id string, ok boolean, delete_error string, delete_error_code string")
+    df = df.withColumns({"body": F.lit("x"), "receive_count": F.lit(1), "body_length": F.lit(1)})
+    df = df.withColumn("outcome", outcome(F.col("ok"), "boom", "RuntimeError"))
+    got = logs.message_log(df, F.lit("2024-01-01 00:00:00"), F.lit(1.0)).filter(F.col("message").contains("elete"))
+    assert {(r["message_id"], r["levelname"], r["message"], r["error"], r["error_code"]) for r in got.collect()} == {
+        ("a", "ERROR", "Failed to delete message — it will reappear after VisibilityTimeout", "denied", "AccessDenied"),
+        ("b", "DEBUG", "Message deleted from queue", None, None),
+        ("c", "WARNING", "Message not deleted — will retry or go to DLQ", None, None),
+    }
+    polls = spark.createDataFrame(
+        [("unexpected", 0, "broken", "OSError", "Traceback ..."), ("empty", 2, None, None, None)],
+        "kind string, streak bigint, error string, error_type string, exc_info string",
+    ).withColumn("polled_at", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    got = {(r["levelname"], r["message"], r["error_type"], r["exc_info"]) for r in logs.poll_log(polls).collect()}
+    assert got == {
+        ("ERROR", "Unexpected error in polling loop", "OSError", "Traceback ..."),
+        ("DEBUG", "No messages received (queue may be empty)", None, None),
+    }

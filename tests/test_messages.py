@@ -48,7 +48,7 @@ def test_any_body_succeeds(spark, body):
     df = m.normalize_messages(envelope(spark, ("msg-001", "receipt", body, {COUNT: "1"})))
     for handler in (accept_all, python_handler(lambda message: None)):
         row = m.route_outcomes(m.process_messages(df, handler)).first()
-        assert row["outcome"].asDict() == {"success": True, "error": None, "error_type": None}
+        assert row["outcome"].asDict() == {"success": True, "error": None, "error_type": None, "exc_info": None}
         assert row["route"] == "ack" and row["body"] == body
 
 
@@ -73,7 +73,25 @@ def test_python_handler_keeps_failures_apart(spark):
             else (False, "'gone'", "KeyError") if i % 2
             else (True, None, None)
         )
-        assert tuple(row["outcome"]) == want
+        assert tuple(row["outcome"])[:3] == want
+        assert ("Traceback" in (row["outcome"]["exc_info"] or "")) == (not want[0])
+
+
+def test_python_handler_gets_exact_values_and_attributes(spark):
+    """Whole numbers stay whole next to NULLs, NULL is None, attributes are a dictionary."""
+
+    def handle(message):
+        assert message["n"] is None or type(message["n"]) is int, message
+        assert (message["n"] is None) == (message["message_id"] == "b")
+        assert message["attributes"] == ({"k": "v"} if message["message_id"] == "a" else None)
+
+    rows = [("a", 1, {"k": "v"}), ("b", None, None), ("c", 2**60, None)]
+    df = spark.createDataFrame(rows, "message_id string, n bigint, attributes map<string,string>")
+    assert [r["outcome"]["error"] for r in m.process_messages(df, python_handler(handle)).collect()] == [None] * 3
+    native = m.process_messages(df, lambda x: outcome(x["attributes"]["k"] == "v", "no", "KeyError"))
+    assert [r["outcome"]["success"] for r in native.collect()] == [True, False, False]
+    narrow = python_handler(lambda message: message["n"] + 1, columns=["n"])
+    assert [r["outcome"]["success"] for r in m.process_messages(df, narrow).collect()] == [True, False, True]
 
 
 def test_routes(spark):

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from queuelens.functions.scalars import fingerprint
 from queuelens.operators import alarm, depth, polls, retention, scaling, sending
 from queuelens.schemas import GAUGE, POLICY, POLL_LOG, VERSION
 
@@ -60,10 +61,10 @@ def test_poll_profile(spark):
 
 
 def test_send_summary(spark):
-    rows = [(1, "a", "sent"), (1, "b", "failed"), (2, "c", "sent"), (2, "d", "sent")]
+    rows = [(1, "a", "sent"), (1, "b", "failed"), (2, "c", "sent"), (2, "d", "sent"), (None, "e", "failed")]
     df = spark.createDataFrame(rows, "batch bigint, entry_id string, status string")
     got = {tuple(row) for row in sending.send_summary(df).collect()}
-    assert got == {(1, 1, 1, 1), (2, 2, 0, 1), (None, 3, 1, 2)}
+    assert got == {(1, 1, 1, 1, False), (2, 2, 0, 1, False), (None, 0, 1, 1, False), (None, 3, 2, 3, True)}
 
 
 def test_outcome_summary_is_exact(spark):
@@ -75,6 +76,19 @@ def test_outcome_summary_is_exact(spark):
     assert got == {("q", 2, 1, 0.2, 0.3), ("p", 0, 1, None, None)}
 
 
+def test_fingerprints_tell_rows_apart(spark):
+    rows = [("a|b", "c"), ("a", "b|c"), (None, "x"), ("<null>", "x"), ("null", "x"), ('"', ""), ("", '"')]
+    df = spark.createDataFrame(rows, "p string, q string").select(fingerprint("p", "q").alias("f"))
+    assert len({row["f"] for row in df.collect()}) == len(rows)
+
+
+def test_retain_latest_beyond_the_task_limit(spark):
+    """More than 1,000 to keep: the same rows as counting by hand, with one key in many tasks."""
+    rows = [("r", i, DAY + timedelta(minutes=i), "v") for i in range(1_500)] + [("s", i, DAY, "v") for i in range(3)]
+    got = retention.retain_latest(spark.createDataFrame(rows, VERSION), n=1_200, rows_per_task=200)
+    assert {(r["repo"], r["id"]) for r in got.filter("expire").collect()} == {("r", i) for i in range(300)}
+
+
 @pytest.mark.parametrize("rows_per_task", [10**9, 100])
 def test_batches_of_one_large_queue(spark, rows_per_task):
     df = spark.range(2500).select(

@@ -98,14 +98,14 @@ def _pieces(path: str, end_id: int, capacity: int):
 class Plan:
     """Which lengths share a sequence, and how often.
 
-    From the longest length down, each gap is filled exactly by one, two or three
-    lengths as long as they are available; an index of single lengths and of pair
+    From the longest length down, gaps are filled exactly: first by one length wherever
+    that is available, then by two, then by three; an index of single lengths and of pair
     sums finds them, a triple is a single and a pair. What has no exact complement is
-    placed best-fit, longest first.
+    placed best-fit, longest first. ``parts`` limits how many lengths fill a gap.
     """
 
-    def __init__(self, counts: dict[int, int], capacity: int):
-        self.capacity = capacity
+    def __init__(self, counts: dict[int, int], capacity: int, parts: int = 3):
+        self.capacity, self.parts = capacity, parts
         self.left = np.zeros(capacity + 1, np.int64)
         for length, n in counts.items():
             self.left[length] = n
@@ -130,14 +130,15 @@ class Plan:
         hit = ok.argmax() if len(ok) else 0
         return (int(longer[hit]), int(shorter[hit])) if len(ok) and ok[hit] else None
 
-    def _complement(self, gap: int, held: np.ndarray) -> tuple[int, ...] | None:
-        if gap == 0:
-            return ()
-        if held[gap] > 0:
-            return (gap,)
-        if pair := self._pair(gap, held):
-            return pair
-        for longest in np.flatnonzero(held[: gap - 1])[::-1]:
+    def _complement(self, gap: int, held: np.ndarray, parts: int) -> tuple[int, ...] | None:
+        """Exactly ``parts`` available lengths that fill the gap."""
+        if parts == 0:
+            return () if gap == 0 else None
+        if parts == 1:
+            return (gap,) if gap > 0 and held[gap] > 0 else None
+        if parts == 2:
+            return self._pair(gap, held)
+        for longest in np.flatnonzero(held[: max(0, gap - 1)])[::-1]:
             if 3 * longest < gap:
                 break
             held[longest] -= 1
@@ -148,14 +149,15 @@ class Plan:
         return None
 
     def _exact(self) -> None:
-        for length in range(self.capacity, 0, -1):
-            while self.left[length]:
-                held = self.left.copy()
-                held[length] -= 1
-                rest = self._complement(self.capacity - length, held)
-                if rest is None:
-                    break
-                self._take((length, *rest))
+        for parts in range(self.parts + 1):
+            for length in range(self.capacity, 0, -1):
+                while self.left[length]:
+                    held = self.left.copy()
+                    held[length] -= 1
+                    rest = self._complement(self.capacity - length, held, parts)
+                    if rest is None:
+                        break
+                    self._take((length, *rest))
 
     def _best_fit(self) -> None:
         open_: dict[int, list[tuple[tuple[int, ...], int]]] = {}  # by gap
@@ -205,6 +207,11 @@ class Plan:
         return sequence + at // times, offset + at % times * length
 
 
+def best_plan(counts: dict[int, int], capacity: int) -> Plan:
+    """Of the plans whose gaps are filled by up to three, two or one lengths, or best-fit only, the one with fewest sequences."""
+    return min((Plan(counts, capacity, parts) for parts in (3, 2, 1, 0)), key=lambda plan: plan.sequences)
+
+
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids, sequence_id, offset: every piece and its place.
 
@@ -223,7 +230,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
     )
     tally = stored(pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n")), "packing-tally")
     counts = {r["length"]: r["n"] for r in tally.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # one row per length
-    plan = Plan(counts, capacity)
+    plan = best_plan(counts, capacity)
     before = W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, -1)
     first = tally.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     if fits_broadcast(tally, BROADCAST_ROWS):

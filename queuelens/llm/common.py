@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from queuelens.session import stored
 
-__all__ = ["chunks", "documents", "fits_broadcast", "fresh", "per_process", "stored", "table", "whole_text"]
+__all__ = ["chunks", "documents", "fits_broadcast", "fresh", "least_places", "per_process", "stored", "table", "whole_text"]
 
 #: Characters handed to the numeric code at once; a longer text is a chunk of its own.
 CHUNK_CHARS = 2_000_000
@@ -42,6 +42,18 @@ def fits_broadcast(df: DataFrame, max_rows: int) -> bool:
     return df.count() <= max_rows
 
 
+def least_places(df: DataFrame, place: str, rows: int, *ties: str) -> DataFrame:
+    """The ``rows`` rows of ``df`` with the least ``place``, a 64-bit hash; ties by the columns named.
+
+    A hash is as likely in one place as in another, so most rows can be left out before
+    any are sorted: what reaches the driver does not grow with the number of tasks.
+    """
+    n = df.count()
+    if n > 8 * rows:
+        df = df.filter(F.col(place) < -(2**63) + 2**64 * 4 * rows // n)
+    return df.orderBy(place, *ties).limit(rows)
+
+
 def per_process(key: Any, build: Callable[[], Any]) -> Any:
     """``build()`` once per Python worker process; later tasks of the process share it."""
     kept = sys.modules.setdefault("_queuelens_llm_kept", types.ModuleType("_queuelens_llm_kept")).__dict__

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from queuelens.llm.common import stored
+from queuelens.llm.common import least_places, stored
 
 BITS, PARTS = 64, 8
 #: Vectors the rotation and the radius are learned from at most, and queries among them.
@@ -146,8 +146,9 @@ def nearest(
     )
     wanted = distinct.join(asked.select("class").distinct(), "class", "left_semi")
     wanted = wanted.select(F.col("class").alias("asking"), F.col("vector").alias("question"))
-    sample = distinct.orderBy(F.xxhash64("class"), "class").limit(FIT_VECTORS).select("vector").toPandas()["vector"]
-    codes = learn(np.stack(sample), float(np.sqrt(most["square"])), k)
+    places = distinct.select("class", "vector", F.xxhash64("class").alias("place"))
+    sample = least_places(places, "place", FIT_VECTORS, "class").select("vector").collect()
+    codes = learn(np.array([row["vector"] for row in sample]), float(np.sqrt(most["square"])), k)
     indexes = ceil(distinct.count() / INDEX_ROWS)
     rounds = max(1, ceil(wanted.count() / QUERY_ROWS))
     shared = spark.sparkContext.broadcast(codes)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queuelens.llm.common import chunks
+from queuelens.llm.common import chunks, least_places
 
 #: Given pages the field is trained on at most, and generated ones.
 FIT_PAGES, MADE_PAGES = 200, 400
@@ -355,7 +355,7 @@ def train(pages: DataFrame, html_col: str = "html") -> Field:
     element, so the choice is the same in every run.
     """
     some = pages.select(F.coalesce(F.col(html_col), F.lit("")).alias("page")).filter(F.col("page").rlike("(?i)<(article|main)[ >]"))
-    some = some.select("page", F.xxhash64("page").alias("place")).orderBy("place", "page").limit(FIT_PAGES).select("page").collect()
+    some = least_places(some.select("page", F.xxhash64("page").alias("place")), "place", FIT_PAGES, "page").select("page").collect()
     r = np.random.default_rng(2)
     labelled = []
     for page, labels in (generated(r) for _ in range(MADE_PAGES)):

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from queuelens.llm.common import whole_text
+from queuelens.llm.common import least_places, whole_text
 
 #: Ordinary paragraphs of the corpus the model is fitted to at most, and variants of each template.
 FIT_PARAGRAPHS, VARIANTS = 600, 12
@@ -219,11 +219,21 @@ def _paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(whole_text(text_col), "\n")).alias("paragraph", "line"))
 
 
+def _own() -> dict[str, list[str]]:
+    """For each family the n-grams of its templates that at most three families use, and none of the unknown ones."""
+    grams = {family: set().union(*(grams_of(words_of(t)) for t in texts)) for family, texts in TEMPLATES.items()}
+    users: dict[str, int] = {}
+    for found in grams.values():
+        for g in found:
+            users[g] = users.get(g, 0) + 1
+    return {f: sorted(g for g in found - grams[UNKNOWN] if users[g] <= 3 and re.search("[a-z]{3}", g)) for f, found in grams.items()}
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model fitted with up to ``FIT_PARAGRAPHS`` ordinary paragraphs: those with the least hash without an anchor."""
     lines = _paragraphs(docs, id_col, text_col).filter(F.length(F.trim("line")) > 0).select(F.substring("line", 1, 2000).alias("line"))
-    some = lines.filter(~_has(F.lower("line"), _anchors())).select("line", F.xxhash64("line").alias("place")).orderBy("place", "line")
-    return fit([row["line"] for row in some.limit(FIT_PARAGRAPHS).collect()])
+    ordinary = lines.filter(~_has(F.lower("line"), _anchors())).select("line", F.xxhash64("line").alias("place"))
+    return fit([row["line"] for row in least_places(ordinary, "place", FIT_PARAGRAPHS, "line").collect()])
 
 
 def _has(line: Column, anchors: list[str]) -> Column:
@@ -235,15 +245,16 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     ``family`` is ``unknown`` where a licence is stated but no family is sure enough, or
     where no template of the family shares at least ``CONFIRMED`` of the n-grams (of the shorter of
-    the two). Paragraphs count from 0. Null and empty texts state none; rows with null or
+    the two). Nothing is shared as long as there is no n-gram that few families use. Paragraphs count from 0. Null and empty texts state none; rows with null or
     repeated ids are scanned like others, one result each. Other columns are not read.
     """
     spark = docs.sparkSession
     names = model.families
     weights = spark.createDataFrame([(g, w) for g, w in model.weights.items()], "gram string, weights array<double>")
+    own = _own()
     templates = spark.createDataFrame(
-        [(family, sorted(grams_of(words_of(t)))) for family, texts in TEMPLATES.items() if family != UNKNOWN for t in texts],
-        "family string, template array<string>",
+        [(family, sorted(grams_of(words_of(t))), own[family]) for family, texts in TEMPLATES.items() if family != UNKNOWN for t in texts],
+        "family string, template array<string>, own array<string>",
     )
     words = F.regexp_extract_all(F.lower("line"), F.lit(f"({WORD})"), 1)
     lines = (
@@ -282,7 +293,7 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     compared = (
         named.join(F.broadcast(templates), "family", "left")
         .groupBy("doc_id", "paragraph", "row", "family", "probability")
-        .agg(F.coalesce(F.max(shared), F.lit(0.0)).alias("similarity"))
+        .agg(F.coalesce(F.max(F.when(F.arrays_overlap("grams", "own"), shared)), F.lit(0.0)).alias("similarity"))
     )
     sure = (F.col("probability") >= model.least) & (F.col("similarity") >= CONFIRMED) & (F.col("family") != UNKNOWN)
     return compared.select(

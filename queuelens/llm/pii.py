@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queuelens.llm.common import chunks, fresh, whole_text
+from queuelens.llm.common import chunks, fresh, least_places, whole_text
 from queuelens.llm.tagger import Tagger, codes_of
 
 KINDS = ("email", "ip", "card", "phone")
@@ -223,14 +223,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Ta
     The documents are those with the least hash of their id among the ones with a digit
     or an at-sign, so the choice is the same in every run.
     """
-    sample = (
+    triggered = (
         docs.select(F.col(id_col).alias("d_id"), whole_text(text_col).alias("d_text"))
         .filter(F.col("d_text").rlike("[0-9@]"))
         .select("d_text", F.xxhash64("d_id", "d_text").alias("place"))
-        .orderBy("place", "d_text")
-        .limit(FIT_DOCS)
-        .select("d_text")
     )
+    sample = least_places(triggered, "place", FIT_DOCS, "d_text").select("d_text")
     rows = sample.mapInArrow(_windows, "window string, marks binary").distinct().orderBy("window", "marks").collect()
     made = _generated(np.random.default_rng(3))
     codes = np.zeros((len(rows) + len(made), WINDOW), np.int64)

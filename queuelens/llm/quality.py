@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queuelens.llm.common import chunks, per_process, whole_text
+from queuelens.llm.common import chunks, least_places, per_process, whole_text
 from queuelens.llm.ngram_join import _mixed
 
 #: Documents the scorer is trained on at most.
@@ -248,7 +248,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
     texts = docs.select(F.col(id_col).alias("d_id"), whole_text(text_col).alias("d_text"))
     counted = texts.select(pattern("d_text").alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()
     trust = estimate({row["pattern"]: row["n"] for row in sorted(counted)})  # at most PATTERNS rows
-    sample = texts.select("d_text", F.xxhash64("d_id", "d_text").alias("place")).orderBy("place", "d_text").limit(FIT_DOCS)
+    sample = least_places(texts.select("d_text", F.xxhash64("d_id", "d_text").alias("place")), "place", FIT_DOCS, "d_text")
     rows = sample.select("d_text").mapInArrow(_sampled, "pattern int, words binary, shapes binary").collect()
     rows.sort(key=lambda row: (row["pattern"], bytes(row["words"]), bytes(row["shapes"])))
     labels = trust.posterior(np.array([_digits(row["pattern"]) for row in rows], int).reshape(-1, len(LABELLERS)))

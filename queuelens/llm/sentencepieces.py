@@ -9,6 +9,7 @@ piece where they do not agree, and marks positions that lead nowhere in a bit fi
 
 import heapq
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,15 +21,16 @@ from queuelens.llm.common import chunks, per_process, whole_text
 
 #: Fixed value: the character that stands for a blank inside pieces.
 BLANK = "▁"
-#: Words and pairs a worker process remembers; what is forgotten is worked out again.
-REMEMBERED = 250_000
+#: Words (of either generation) and pairs a worker process remembers; what is forgotten is worked out again.
+REMEMBERED = 200_000
+#: Characters encoded at once.
+AT_ONCE = 500_000
 
 
-class Merger:
-    """The model's pieces, and the encoder and decoder over them."""
+class Pieces:
+    """The model's pieces, and the decoder over them."""
 
     def __init__(self, path: str):
-        import ahocorasick
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
@@ -50,11 +52,38 @@ class Merger:
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.is_byte = np.zeros(len(self.shown), bool)
         self.is_byte[list(self.byte_of)] = True
+
+    def decode(self, ids: np.ndarray) -> str:
+        """Text of ids: byte pieces are read as UTF-8, what is no UTF-8 gives U+FFFD per byte."""
+        flags = self.is_byte[ids]
+        if not flags.any():
+            text = "".join(map(self.shown.__getitem__, ids.tolist()))
+        else:
+            edges = np.flatnonzero(np.diff(flags)) + 1
+            parts = []
+            for run in np.split(ids, edges):
+                if self.is_byte[run[0]]:
+                    parts.append(_utf8(bytes(map(self.byte_of.__getitem__, run.tolist()))))
+                else:
+                    parts.append("".join(map(self.shown.__getitem__, run.tolist())))
+            text = "".join(parts)
+        first = next((i for i in ids.tolist() if self.shown[i]), None)  # the blank put in front goes again
+        return text[1:] if first is not None and not self.is_byte[first] and self.shown[first][0] == " " and self.shown[first] != " ⁇ " else text
+
+
+class Merger(Pieces):
+    """The encoder, with what it remembers."""
+
+    def __init__(self, path: str):
+        import ahocorasick
+
+        super().__init__(path)
         self.matches = ahocorasick.Automaton()
         for piece in self.rank:
             if len(piece) > 1:  # a single character always matches itself
                 self.matches.add_word(piece, len(piece))
         self.matches.make_automaton()
+        self.single = frozenset(p for p in self.rank if len(p) == 1)
         self.inside = {p[k : k + 2] for p in self.rank for k in range(len(p) - 1)}
         # Texts are cut where no piece reaches across: before a blank behind another character, and
         # around a line feed that is in no piece. The stretches repeat, and each is encoded once.
@@ -64,13 +93,9 @@ class Merger:
         self.signs = {c: [b[0] for b in self.inside if b[1] == c] for c in ",."}
         self.words = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n" if self.by_line else f"{BLANK}*[^{BLANK}]+|{BLANK}+")
         self.agreed: dict[tuple[str, str], bool] = {}
-        self.number: dict[str, int] = {}
-        self._forget()
-
-    def _forget(self) -> None:
-        self.number.clear()
-        self.flat, self.starts, self.sizes = np.zeros(1 << 20, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.filled = 0
+        # Ids of the stretches met lately, as bytes: two generations, of which the older one goes.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def merge(self, text: str) -> list[str]:
         """Pieces of ``text`` by merging: best score first, leftmost among equals."""
@@ -110,11 +135,15 @@ class Merger:
             known = self.agreed[key] = self.merge(left + right) == ([left, right] if left else [right])
         return known
 
-    def _choices(self, text: str) -> list[list[int]]:
+    def _choices(self, text: str) -> list[list[int] | None]:
         """By position, the sizes of the pieces that start there, shortest first."""
-        choices = [[1] for _ in text]
+        choices: list[list[int] | None] = [None] * len(text)  # None: the character alone
         for last, size in self.matches.iter(text):
-            choices[last - size + 1].append(size)
+            at = last - size + 1
+            if choices[at] is None:
+                choices[at] = [1, size]
+            else:
+                choices[at].append(size)
         return choices
 
     def backtrack(self, text: str, choices: list[list[int]]) -> list[str]:
@@ -124,7 +153,7 @@ class Merger:
         failed = bytearray(n // 8 + 1)
         pieces: list[str] = []
         at, left = 0, ""
-        sizes = choices[0]
+        sizes = choices[0] or [1]
         open_: list[list[int]] = []  # by depth, what is left to try at its position
         while True:
             while sizes:
@@ -149,13 +178,18 @@ class Merger:
             if to == n:
                 return pieces
             open_.append(sizes)
-            at, left, sizes = to, right, choices[to].copy()
+            at, left, sizes = to, right, choices[to].copy() if choices[to] else [1]
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of stretches each of which merges with nothing around it; one pass of the automaton finds all pieces."""
         choices = self._choices("\0".join(words))
         out, at = [], 0
+        known, rank = self.single.issuperset, self.rank
         for word in words:
+            if len(word) > 1 and known(word):
+                out.append([rank[p][1] for p in self.backtrack(word, choices[at : at + len(word)])])
+                at += len(word) + 1
+                continue
             ids: list[int] = []
             start = 0
             for i, c in enumerate(word):
@@ -179,22 +213,21 @@ class Merger:
         return [self.rank[p][1] for p in self.backtrack(text, choices)]
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.number) + len(words) > REMEMBERED and self.number:
-            self._forget()
-        fresh = [w for w in words if w not in self.number]
-        lists = self.encode_words(fresh)
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        ids = np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum()))
-        known = len(self.number)
-        if (need := self.filled + len(ids)) > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.zeros(need, np.uint32)))
-        if (need := known + len(fresh)) > len(self.starts):
-            self.starts, self.sizes = (np.concatenate((x, np.zeros(need, np.int64))) for x in (self.starts, self.sizes))
-        self.flat[self.filled : self.filled + len(ids)] = ids
-        self.starts[known : known + len(fresh)] = self.filled + np.cumsum(sizes) - sizes
-        self.sizes[known : known + len(fresh)] = sizes
-        self.number.update(zip(fresh, range(known, known + len(fresh))))
-        self.filled += len(ids)
+        """Makes sure that all ``words`` are among the young."""
+        if len(self.young) + len(words) > REMEMBERED and self.young:
+            self.old, self.young = self.young, {}
+        fresh = []
+        for word in words:
+            if word in self.young:
+                continue
+            known = self.old.get(word)
+            if known is None:
+                fresh.append(word)
+            else:
+                self.young[word] = known
+        for k in range(0, len(fresh), 2_000):
+            some = fresh[k : k + 2_000]
+            self.young.update(zip(some, (struct.pack(f"<{len(ids)}I", *ids) for ids in self.encode_words(some))))
 
     def _stretches(self, text: str) -> list[str]:
         if not self.by_word:
@@ -210,45 +243,17 @@ class Merger:
                 text = text.replace(f"{c}\x01{sign}\x01", f"{c}{sign}\x01")
         return text.split("\x01")  # an empty stretch has no ids
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, with begin and end."""
-        split = []
-        for text in texts:
-            split.append(self._stretches(BLANK + text.replace(" ", BLANK)) if text else [])
-        missing = set().union(*split)
-        if len(self.number) + len(missing) > REMEMBERED:
-            self._forget()  # all of this call's words must be known at once
-        missing = {w for w in missing if w not in self.number}
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text with begin and end, as little-endian unsigned 32-bit numbers."""
+        split = [self._stretches(BLANK + text.replace(" ", BLANK)) if text else [] for text in texts]
+        missing = set().union(*split).difference(self.young)
         if missing:
+            if len(self.young) + len(missing) > REMEMBERED:
+                missing = set().union(*split)  # the young may go, and all of this call's are needed
             self._learn(missing)
-        out = []
-        for words in split:
-            at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-            sizes = self.sizes[at]
-            ends = np.cumsum(sizes)
-            ids = np.empty(int(ends[-1]) + 2 if len(words) else 2, np.uint32)
-            ids[0], ids[-1] = self.begin, self.end
-            if len(ids) > 2:
-                ids[1:-1] = self.flat[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1])]
-            out.append(ids)
-        return out
-
-    def decode(self, ids: np.ndarray) -> str:
-        """Text of ids: byte pieces are read as UTF-8, what is no UTF-8 gives U+FFFD per byte."""
-        flags = self.is_byte[ids]
-        if not flags.any():
-            text = "".join(map(self.shown.__getitem__, ids.tolist()))
-        else:
-            edges = np.flatnonzero(np.diff(flags)) + 1
-            parts = []
-            for run in np.split(ids, edges):
-                if self.is_byte[run[0]]:
-                    parts.append(_utf8(bytes(map(self.byte_of.__getitem__, run.tolist()))))
-                else:
-                    parts.append("".join(map(self.shown.__getitem__, run.tolist())))
-            text = "".join(parts)
-        first = next((i for i in ids.tolist() if self.shown[i]), None)  # the blank put in front goes again
-        return text[1:] if first is not None and not self.is_byte[first] and self.shown[first][0] == " " and self.shown[first] != " ⁇ " else text
+        ids = self.young.__getitem__
+        begin, end = (struct.pack("<I", i) for i in (self.begin, self.end))
+        return [b"".join((begin, *map(ids, words), end)) for words in split]
 
 
 def _utf8(data: bytes) -> str:
@@ -280,10 +285,10 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", into: str = "ids
 
     @F.arrow_udf("binary")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        merger = per_process(("pieces", model), lambda: Merger(model))
+        merger = per_process(("merger", model), lambda: Merger(model))
         for batch in batches:
-            found = (x for texts in chunks(t.as_py() for t in batch) for x in merger.encode(texts))
-            yield pa.array([x.astype("<u4").tobytes() for x in found], pa.binary())
+            for texts in chunks((t.as_py() for t in batch), AT_ONCE):  # results leave in small parts
+                yield pa.array(merger.encode(texts), pa.binary())
 
     return docs.withColumn(into, ids(whole_text(text_col)))
 
@@ -293,10 +298,10 @@ def decode(docs: DataFrame, model: str, ids_col: str = "ids", into: str = "decod
 
     @F.arrow_udf("string")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        merger = per_process(("pieces", model), lambda: Merger(model))
+        pieces = per_process(("pieces", model), lambda: Pieces(model))
         for batch in batches:
-            yield pa.array(
-                [None if x is None else merger.decode(np.frombuffer(x, "<u4")) for x in (b.as_py() for b in batch)], pa.string()
-            )
+            for first in range(0, len(batch), 500):
+                part = (b.as_py() for b in batch.slice(first, 500))
+                yield pa.array([None if x is None else pieces.decode(np.frombuffer(x, "<u4")) for x in part], pa.string())
 
     return docs.withColumn(into, text(F.col(ids_col)))

@@ -14,8 +14,11 @@ ROWS_PER_TASK = 5_000_000
 # many rows. Smaller limits use every row.
 ROWS_SAMPLED = 100_000
 
-# Size of the sketch: any group above roughly 0.1 % of all rows is found, and
-# never more than this many groups are reported.
+# Keys are dealt by hash over so many sketches, each with so many entries. A sketch
+# finds every group above about 2 / TRACKED_GROUPS of its rows, so all groups of
+# ROWS_PER_TASK are found in tables of up to SLOTS * TRACKED_GROUPS / 2 * ROWS_PER_TASK
+# = 4 * 10**11 rows; beyond, raise SLOTS with the number of rows.
+SLOTS = 16
 TRACKED_GROUPS = 10_000
 
 
@@ -35,7 +38,7 @@ def hot_groups(
     ``rows_per_task=None``: the caller knows that there are none.
 
     One pass over the key columns. Tasks send sketches, not rows; they are merged
-    in two steps, and at most ``TRACKED_GROUPS`` numbers reach the driver. A wrong
+    slot by slot, and at most ``SLOTS * TRACKED_GROUPS`` numbers reach the driver. A wrong
     estimate would only choose the slower way for a group.
     """
     if rows_per_task is None:
@@ -43,12 +46,13 @@ def hot_groups(
     fraction = min(1.0, ROWS_SAMPLED / rows_per_task)
     keys_only = df.select(*keys) if fraction == 1.0 else df.select(*keys).sample(fraction, seed=1)
     part = (F.spark_partition_id() % 256).alias("part")
+    slot = F.pmod(group_hash(keys), F.lit(SLOTS)).alias("slot")
     accumulate = F.expr(f"approx_top_k_accumulate(xxhash64({_names(keys)}), {TRACKED_GROUPS})")
     combine = F.expr(f"approx_top_k_combine(sketch, {TRACKED_GROUPS})")
     top = (
-        keys_only.groupBy(part)
+        keys_only.groupBy(part, slot)
         .agg(accumulate.alias("sketch"))
-        .groupBy(F.lit("all"))  # unlike a plain agg, no row for an empty table
+        .groupBy("slot")
         .agg(combine.alias("sketch"))
         .select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {TRACKED_GROUPS})")).alias("top"))
         .select("top.item", (F.col("top.count") / fraction).cast("bigint").alias("rows"))

@@ -62,6 +62,14 @@ def test_hot_groups_finds_large_groups_only(spark):
     assert hot_groups(df.limit(0), ["g"], 500) == {}
 
 
+def test_groups_of_a_ten_thousandth_of_the_rows_are_found(spark):
+    """Ten groups of 0.01 % each, twice the limit, among keys that occur once."""
+    key = F.when(F.col("id") % 10_000 < 10, F.col("id") % 10_000 - 10).otherwise(F.col("id"))
+    df = spark.range(0, 2_000_000, numPartitions=8).select(key.alias("g"))
+    want = {row["h"] for row in spark.range(-10, 0).select(F.xxhash64("id").alias("h")).collect()}
+    assert set(hot_groups(df, ["g"], 100)) == want
+
+
 def test_no_hot_group_is_one_plain_window(spark):
     df = spark.createDataFrame(make_rows(n=100), SCHEMA)
     plan = Ordered(df, ["g"], ["at", "id"]).row_number("n").frame()._jdf.queryExecution().toString()

@@ -13,7 +13,7 @@ from queuelens.session import stored
 __all__ = ["chunks", "documents", "fits_broadcast", "fresh", "least_places", "per_process", "stored", "table", "whole_text"]
 
 #: Characters handed to the numeric code at once; a longer text is a chunk of its own.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

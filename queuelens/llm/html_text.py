@@ -150,14 +150,14 @@ def _path_features(path: tuple[tuple[str, tuple[str, ...]], ...]) -> tuple[str,
 _SECTIONS = frozenset("article main nav footer header aside form section".split())
 
 
-def features(block: Block, first: bool, last: bool) -> list[str]:
+def features(block: Block, first: bool, last: bool, headed: bool) -> list[str]:
     words = block.text.count(" ") + 1
     found = [
         *_path_features(block.path),
         f"words={'1-3' if words < 4 else '4-9' if words < 10 else '10-29' if words < 30 else '30+'}",
         f"links={'none' if not block.linked else 'some' if 2 * block.linked < len(block.text) else 'most'}",
         f"end={'stop' if block.text[-1] in '.!?:\"”' else 'open'}",
-        "after-heading" if block.heading_seen else "before-heading",
+        "after-heading" if block.heading_seen else "before-heading" if headed else "no-heading",
     ]
     if "©" in block.text:
         found.append("copyright")
@@ -245,7 +245,8 @@ def _total(a: float, b: float) -> float:
 
 
 def page_features(blocks: list[Block]) -> list[list[str]]:
-    return [features(b, k == 0, k == len(blocks) - 1) for k, b in enumerate(blocks)]
+    headed = any(b.heading_seen for b in blocks)
+    return [features(b, k == 0, k == len(blocks) - 1, headed) for k, b in enumerate(blocks)]
 
 
 #: Words that classes and ids of such parts are commonly made of; the generated pages use them.
@@ -301,15 +302,16 @@ def generated(r: np.random.Generator) -> tuple[str, list[int]]:
             labels.append(0)
         out.append(f"</{tag}>")
 
-    for kind, chance in (("header", 0.5), ("nav", 0.8), ("notice", 0.4), ("ad", 0.4), ("aside", 0.2), ("form", 0.2)):
+    plain = r.random() < 0.1  # nothing but text
+    for kind, chance in () if plain else (("header", 0.5), ("nav", 0.8), ("notice", 0.4), ("ad", 0.4), ("aside", 0.2), ("form", 0.2)):
         if r.random() < chance:
             part(kind)
-    wrap = pick(["article", "article", "main", "div", "section", ""])
+    wrap = "" if plain else pick(["article", "article", "main", "div", "section", ""])
     if wrap:
         out.append(f"<{wrap}{named('') if wrap in ('div', 'section') or r.random() < 0.2 else ''}>")
     if r.random() < 0.3:
         out.append(f"<div{pick(['', named('')])}>")
-    if r.random() < 0.8:
+    if r.random() < (0.3 if plain else 0.8):
         title = f"<h1>{words(2, 9)}</h1>"
         out.append(f"<header>{title}</header>" if wrap and r.random() < 0.15 else title)
         labels.append(1)
@@ -329,7 +331,7 @@ def generated(r: np.random.Generator) -> tuple[str, list[int]]:
         part("comments")
     if wrap:
         out.append(f"</{wrap}>")
-    for kind, chance in (("comments", 0.3), ("aside", 0.4), ("ad", 0.2), ("social", 0.2), ("form", 0.2), ("notice", 0.2), ("footer", 0.8)):
+    for kind, chance in () if plain else (("comments", 0.3), ("aside", 0.4), ("ad", 0.2), ("social", 0.2), ("form", 0.2), ("notice", 0.2), ("footer", 0.8)):
         if r.random() < chance:
             part(kind)
     return "".join(out), labels

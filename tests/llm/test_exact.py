@@ -63,7 +63,7 @@ def families(seed: int = 5) -> list[tuple[int, str]]:
     words = [f"w{k}" for k in range(3_000)]
     shared = " ".join(r.choices(words, k=30))
     rows = []
-    for _ in range(25):
+    for _ in range(60):
         base = r.choices(words, k=r.choice([3, 5, 12, 80, 200]))
         for _ in range(r.randint(1, 9)):
             copy = list(base)

@@ -22,7 +22,7 @@ from queuelens.llm.common import chunks, per_process, whole_text
 #: Fixed value: the character that stands for a blank inside pieces.
 BLANK = "▁"
 #: Words (of either generation) and pairs a worker process remembers; what is forgotten is worked out again.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 #: Characters encoded at once.
 AT_ONCE = 500_000
 

@@ -22,7 +22,7 @@ from queuelens.llm.common import chunks, per_process, whole_text
 #: Fixed value: the character that stands for a blank inside pieces.
 BLANK = "▁"
 #: Words (of either generation) and pairs a worker process remembers; what is forgotten is worked out again.
-REMEMBERED = 120_000
+REMEMBERED = 220_000
 #: Characters encoded at once.
 AT_ONCE = 500_000
 
@@ -240,7 +240,8 @@ class Merger(Pieces):
         for sign, held in self.signs.items():
             text = text.replace(f"{sign}\x01", f"\x01{sign}\x01")
             for c in held:
-                text = text.replace(f"{c}\x01{sign}\x01", f"{c}{sign}\x01")
+                if c in text:
+                    text = text.replace(f"{c}\x01{sign}\x01", f"{c}{sign}\x01")
         return text.split("\x01")  # an empty stretch has no ids
 
     def encode(self, texts: list[str]) -> list[bytes]:

@@ -2,13 +2,15 @@
 
 A multinomial logistic regression over sparse word n-grams is fitted in the driver to
 templates of licence notices, varied, and to ordinary paragraphs of the corpus. Its
-weights are a small table; scanning is joins and aggregates of DataFrames only.
+weights are a small table; scanning is joins and aggregates of DataFrames only. Every
+paragraph is looked at; joined are those that by a bound on their scores can state a licence.
 A paragraph is a line of the text.
 """
 
+import json
 import re
+import zlib
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -127,7 +129,6 @@ class Model:
     bias: list[float]
     foreign: list[float]  # weight of the share of n-grams that are not in the model
     least: float  # probability from which a family is named
-    anchors: list[str]
 
     def probabilities(self, text: str) -> np.ndarray:
         """The plain version of ``scan``'s scores, for one paragraph."""
@@ -196,23 +197,7 @@ def fit(ordinary: list[str], rounds: int = 200, decay: float = 2e-4, seed: int =
     best, right = p.max(1), p.argmax(1) == y[held]
     least = next((c for c in np.arange(0.3, 0.95, 0.05) if right[(best >= c) & (p.argmax(1) > 0)].mean() >= 0.99), 0.95)
     w /= t
-    return Model(families, dict(zip(vocabulary, w[:-2].tolist())), w[-1].tolist(), w[-2].tolist(), float(least), _anchors())
-
-
-def _anchors() -> list[str]:
-    """Fewest words, greedily, such that every template has one of them: only such paragraphs are scored."""
-    open_ = [set(words_of(t)) for texts in TEMPLATES.values() for t in texts]
-    chosen = []
-    while open_:
-        counts: dict[str, int] = {}
-        for words in open_:
-            for w in words:
-                if len(w) > 3:
-                    counts[w] = counts.get(w, 0) + 1
-        best = min(counts, key=lambda w: (-counts[w], w))
-        chosen.append(best)
-        open_ = [words for words in open_ if best not in words]
-    return chosen
+    return Model(families, dict(zip(vocabulary, w[:-2].tolist())), w[-1].tolist(), w[-2].tolist(), float(least))
 
 
 def _paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -230,14 +215,49 @@ def _own() -> dict[str, list[str]]:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model fitted with up to ``FIT_PARAGRAPHS`` ordinary paragraphs: those with the least hash without an anchor."""
+    """A model fitted with up to ``FIT_PARAGRAPHS`` ordinary paragraphs: those with the least hash that match no template."""
     lines = _paragraphs(docs, id_col, text_col).filter(F.length(F.trim("line")) > 0).select(F.substring("line", 1, 2000).alias("line"))
-    ordinary = lines.filter(~_has(F.lower("line"), _anchors())).select("line", F.xxhash64("line").alias("place"))
-    return fit([row["line"] for row in least_places(ordinary, "place", FIT_PARAGRAPHS, "line").collect()])
+    some = least_places(lines.select("line", F.xxhash64("line").alias("place")), "place", FIT_PARAGRAPHS, "line").collect()
+    return fit([row["line"] for row in some if not matches(row["line"])])
+
+
+def matches(text: str) -> bool:
+    """Whether ``scan`` would confirm a paragraph of that family, or it shares ``CONFIRMED`` of an unknown licence's n-grams."""
+    grams, own = grams_of(words_of(text)), _own()
+    for family, texts in TEMPLATES.items():
+        for template in (grams_of(words_of(t)) for t in texts):
+            shorter = len(template) if family == UNKNOWN else min(len(grams), len(template))
+            if len(grams & template) >= CONFIRMED * shorter and (family == UNKNOWN or not grams.isdisjoint(own[family])):
+                return True
+    return False
+
+
+#: Lists the n-grams of the model are dealt to by crc32, so that one is found at once.
+_LISTS = 2048
+#: What rounding may take from the bound.
+_SLACK = 1e-6
+
+
+def _may_state(model: Model, grams: Column) -> Column:
+    """Whether the score of any family can come up to that of ``none``; if not, the paragraph is of none.
+
+    An n-gram counts with the family it speaks for most, so this is a bound from above for
+    every family. A paragraph without a word has nothing to be judged by.
+    """
+    most = {g: max(max(w[1:]) - w[0], 0.0) for g, w in model.weights.items()}
+    lists: list[dict[str, float]] = [{} for _ in range(_LISTS)]
+    for g, w in most.items():
+        lists[zlib.crc32(g.encode()) % _LISTS][g] = w
+    known = F.from_json(F.lit(json.dumps(lists)), "array<map<string,double>>")  # folded into one constant
+    foreign = max(f - model.foreign[0] for f in model.foreign[1:])
+    start = max(b - model.bias[0] for b in model.bias[1:]) + foreign + _SLACK
+    size = F.size(grams)
 
+    def added(total: Column, gram: Column) -> Column:
+        own = F.try_element_at(F.get(known, (F.crc32(gram.cast("binary")) % _LISTS).cast("int")), gram)
+        return total + F.coalesce(own / F.sqrt(size) - F.lit(foreign) / size, F.lit(0.0))
 
-def _has(line: Column, anchors: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, (line.contains(a) for a in anchors))
+    return (size > 0) & (F.aggregate(grams, F.lit(start), added) >= 0)
 
 
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,12 +279,12 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     words = F.regexp_extract_all(F.lower("line"), F.lit(f"({WORD})"), 1)
     lines = (
         _paragraphs(docs, id_col, text_col)
-        .filter(_has(F.lower("line"), model.anchors))
         .select("doc_id", "paragraph", words.alias("words"))
         .withColumn("pairs", F.zip_with("words", F.slice("words", F.lit(2), F.size("words")), lambda a, b: F.concat_ws(" ", a, b)))
         .withColumn("pairs", F.slice("pairs", F.lit(1), F.greatest(F.size("words") - 1, F.lit(0))))
         .select("doc_id", "paragraph", F.array_distinct(F.concat("words", "pairs")).alias("grams"))
         .withColumn("row", F.monotonically_increasing_id())  # tells repeated ids apart within this query
+        .filter(_may_state(model, F.col("grams")))
     )
     # The model's few n-grams go to every task. Sums per paragraph are made where its n-grams are.
     sums = [F.coalesce(F.sum(F.col("weights")[k]), F.lit(0.0)).alias(f"s{k}") for k in range(len(names))]

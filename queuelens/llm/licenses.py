@@ -215,8 +215,8 @@ def _own() -> dict[str, list[str]]:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model fitted with up to ``FIT_PARAGRAPHS`` ordinary paragraphs: those with the least hash that match no template."""
-    lines = _paragraphs(docs, id_col, text_col).filter(F.length(F.trim("line")) > 0).select(F.substring("line", 1, 2000).alias("line"))
+    """A model fitted with up to ``FIT_PARAGRAPHS`` ordinary paragraphs: whole, those with the least hash that match no template."""
+    lines = _paragraphs(docs, id_col, text_col).filter(F.length(F.trim("line")) > 0)
     some = least_places(lines.select("line", F.xxhash64("line").alias("place")), "place", FIT_PARAGRAPHS, "line").collect()
     return fit([row["line"] for row in some if not matches(row["line"])])
 

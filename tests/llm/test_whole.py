@@ -35,3 +35,13 @@ def test_every_line_is_scanned_for_licences(spark, sf_dir):
     texts = {r["doc_id"]: r["text"].split("\n") for r in given.filter("text IS NOT NULL").collect()}
     plain = [(i, k) for i, lines in texts.items() for k, line in enumerate(lines) if line == "All rights reserved."]
     assert plain and all(found[x]["family"] == "proprietary" and found[x]["confirmed"] for x in plain)
+
+
+def test_the_licence_model_is_fitted_to_whole_lines(spark, monkeypatch):
+    """Lines with former anchors among them; those that match a template are left out."""
+    taken = []
+    monkeypatch.setattr(licenses, "fit", lambda ordinary: taken.extend(ordinary))
+    long = "word " * 1_000 + "end"
+    text = f"{long}\nthis is told under a tree, provided it rains\nReleased under the MIT License."
+    licenses.train(spark.createDataFrame([(1, text)], "doc_id bigint, text string"))
+    assert sorted(taken) == sorted(text.split("\n")[:2])

@@ -23,7 +23,6 @@ from queuelens.streaming.running import drained
 Query = Callable[[SparkSession, str], DataFrame]
 
 DOCUMENT_LIMIT = 2_000
-FILES_PER_BATCH = 1_000
 UNTAGGED_AS_OF = "1998-01-01 00:00:00"
 LATENESS = "6 hours"
 DELAY_S = 86_400
@@ -489,7 +488,8 @@ def _fed_in_order(spark, df: DataFrame, ts: str, start) -> None:
     """Run the query that ``start`` gives for a stream over ``df`` in three goes, each over a later stretch of time.
 
     ``df`` is worked out once and stored by time; the stretches are appended from there,
-    each by as many tasks as hold its rows.
+    each by as many tasks as hold its rows. A stretch is one micro-batch however many files
+    it has: its files are not in order of time among each other.
     """
     staged = stored(df.repartitionByRange(ts), "staged")
     path = scratch(spark, "stream")
@@ -500,7 +500,7 @@ def _fed_in_order(spark, df: DataFrame, ts: str, start) -> None:
     stretches = [at < edges[0], (at >= edges[0]) & (at < edges[1]), at >= edges[1]] if edges else [F.lit(True)]
     for stretch in stretches:
         staged.filter(stretch).write.mode("append").parquet(path)
-        drained(start(stream_messages(spark, path, FILES_PER_BATCH, schema=df.schema)))
+        drained(start(stream_messages(spark, path, None, schema=df.schema)))
 
 
 @query

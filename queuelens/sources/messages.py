@@ -23,23 +23,22 @@ def read_messages(
 def stream_messages(
     spark: SparkSession,
     path: str,
-    max_per_trigger: int = MAX_PER_POLL,
+    max_per_trigger: int | None = MAX_PER_POLL,
     fmt: str = "parquet",
     schema: StructType = ENVELOPE,
 ) -> DataFrame:
     """Stored envelopes as a stream of at most ``max_per_trigger`` files per poll.
 
     The bound is on files, not rows; on a large source allow as many files as the
-    cluster reads at once. Polls that find nothing are normal.
+    cluster reads at once. ``None`` takes all files that are there as one micro-batch. Polls
+    that find nothing are normal.
     """
-    if max_per_trigger < 1:
+    if max_per_trigger is not None and max_per_trigger < 1:
         raise ValueError(f"max_per_trigger must be at least 1, got {max_per_trigger}")
-    return (
-        spark.readStream.schema(schema)
-        .format(fmt)
-        .option("maxFilesPerTrigger", max_per_trigger)
-        .load(path)
-    )
+    reader = spark.readStream.schema(schema).format(fmt)
+    if max_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", max_per_trigger)
+    return reader.load(path)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:

@@ -27,16 +27,21 @@ FIT_PAGES, MADE_PAGES = 200, 400
 # Element names of HTML.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
+    + "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover".split()
+    + "mmultiscripts mprescripts mtable mtr mtd semantics annotation annotation-xml".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is never text of the page.
-SILENT = frozenset("script style noscript template head title svg math iframe object textarea select button canvas audio video datalist".split())
+SILENT = frozenset("script style noscript template head title svg iframe textarea select button canvas datalist".split())
+#: What may stand in a head; anything else ends a head left open.
+IN_HEAD = frozenset("title meta link style script base noscript template basefont bgsound".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 #: An opening tag on the left closes an open element of the same kind first.
 CLOSED_BY_SAME = frozenset("p li dt dd tr td th option".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li".split()
 )
+RAW_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 PART = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 NAMED = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
@@ -49,6 +54,26 @@ class Block:
     heading_seen: bool
 
 
+def _unclosed(page: str) -> set[int]:
+    """Places after the opening tags of silent elements that no end tag of their own belongs to."""
+    opened: dict[str, list[int]] = {}
+    at = 0
+    while found := PART.search(page, at):
+        at = found.end()
+        name = (found.group(2) or "").lower()
+        if name not in SILENT:
+            continue
+        if found.group(1):
+            if opened.get(name):
+                opened[name].pop()
+            continue
+        if name in RAW and (end := RAW_END[name].search(page, at)):
+            at = end.end()
+        else:
+            opened.setdefault(name, []).append(at)
+    return {place for places in opened.values() for place in places}
+
+
 @lru_cache(maxsize=4096)
 def _words(attributes: str) -> tuple[str, ...]:
     """Lower-case words of class, id and role."""
@@ -57,9 +82,15 @@ def _words(attributes: str) -> tuple[str, ...]:
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Leaf blocks with text, in page order. Never fails on broken markup: stray ends are ignored, a cut tag is dropped."""
+    """Leaf blocks with text, in page order. Never fails on broken markup: stray ends are ignored, a cut tag is dropped.
+
+    A head without an end ends at what cannot stand in one. Another silent element without an
+    end, other than a script or style, ends at the next opening tag of a block.
+    """
     out: list[Block] = []
     open_: list[tuple[str, tuple[str, ...]]] = []
+    starts: list[int] = []  # of each open element, the place after its tag
+    unclosed: set[int] | None = None  # read once it is needed
     silent, links, heading = 0, 0, False
     parts: list[str] = []
     linked = 0
@@ -72,16 +103,31 @@ def blocks_of(page: str) -> list[Block]:
             parts = []
         linked = links = 0
 
-    def close(name: str) -> None:
+    def cut_to(k: int) -> None:
         nonlocal silent
+        silent -= sum(n in SILENT for n, _ in open_[k:])
+        del open_[k:], starts[k:]
+
+    def end_unclosed() -> None:
+        nonlocal unclosed
+        if unclosed is None:
+            unclosed = _unclosed(page)
+        while silent:
+            k = max(k for k, (n, _) in enumerate(open_) if n in SILENT)
+            if open_[k][0] == "head" or starts[k] not in unclosed:
+                return
+            cut_to(k)
+
+    def close(name: str) -> None:
         for k in range(len(open_) - 1, -1, -1):
             if open_[k][0] == name:
-                silent -= sum(n in SILENT for n, _ in open_[k:])
-                del open_[k:]
+                cut_to(k)
                 return
 
     def say(raw: str) -> None:
         nonlocal linked
+        if silent and open_[-1][0] == "head" and raw.strip():
+            cut_to(len(open_) - 1)
         if raw and not silent:
             text = html.unescape(raw) if "&" in raw else raw
             parts.append(text)
@@ -101,6 +147,11 @@ def blocks_of(page: str) -> list[Block]:
         name = (found.group(2) or "").lower()
         if not name:
             continue
+        if silent and not found.group(1):
+            if name == "body" or name in CLOSES_P:
+                end_unclosed()
+            if silent and (name == "body" or open_[-1][0] == "head" and name not in IN_HEAD):
+                close("head")
         if name in INLINE:
             if name == "a":
                 links = max(0, links + (-1 if found.group(1) else 1))
@@ -113,17 +164,17 @@ def blocks_of(page: str) -> list[Block]:
             close(name)
             continue
         if name in CLOSES_P and open_ and open_[-1][0] == "p":
-            open_.pop()
+            cut_to(len(open_) - 1)
         if name in CLOSED_BY_SAME and open_ and open_[-1][0] == name:
-            open_.pop()
+            cut_to(len(open_) - 1)
         if name in VOID or (found.group(3) or "").endswith("/") and name in ("svg", "iframe"):
             continue
         if name in ("h1", "h2"):
             heading = True
         open_.append((name, _words(found.group(3) or "")))
+        starts.append(at)
         silent += name in SILENT
-        if name in RAW:
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+        if name in RAW and ((end := RAW_END[name].search(page, at)) or name in ("script", "style")):
             at = end.end() if end else size
             close(name)
     flush()

@@ -2,7 +2,7 @@
 
 import pytest
 
-from queuelens.llm import licenses
+from queuelens.llm import html_text, licenses
 
 OLD_ANCHORS = ("under", "spdx-license-identifier", "this", "license", "provided", "2020")
 
@@ -45,3 +45,34 @@ def test_the_licence_model_is_fitted_to_whole_lines(spark, monkeypatch):
     text = f"{long}\nthis is told under a tree, provided it rains\nReleased under the MIT License."
     licenses.train(spark.createDataFrame([(1, text)], "doc_id bigint, text string"))
     assert sorted(taken) == sorted(text.split("\n")[:2])
+
+
+def said(page):
+    return " ".join(b.text for b in html_text.blocks_of(page))
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<html><head><title>t</title><body><article><p>One</p><p>Two</p></article>", "One Two"),
+        ("<html><head><title>t</title><article><p>One</p></article>", "One"),
+        ("<head><meta charset=x><title>t</title><span>One</span> two", "One two"),
+        ("<head><title>t</title>One two", "One two"),
+        ("<head><title>t<body><p>One</p>", "One"),
+        ("<head><template><p>no</p></template><title>t</title></head><p>One</p>", "One"),
+        *((f"<div><{n}>no<p>One</p><div>Two</div></div><p>Three", "One Two Three") for n in ("select", "button", "svg", "textarea", "canvas")),
+        *((f"<div><{n}><div>no</div></{n}><p>One</p></div>", "One") for n in ("select", "button", "svg", "template")),
+        ("<div><button>no<p>One</p><button><div>no</div></button><p>Two</p></div>", "One Two"),
+        ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p></article>", "Let x=2 be."),
+        *((f"<p>One</p><{n}>Two</{n}><p>Three", "One Two Three") for n in ("object", "audio", "video")),
+        ("<div><object><p>One</p></div><p>Two", "One Two"),
+        ("<p>One<script>no<p>no", "One"),
+    ],
+)
+def test_pages_that_leave_out_end_tags(page, text):
+    assert said(page) == text
+
+
+def test_many_unclosed_elements_stay_linear():
+    assert said("<svg><p>x" * 5_000) == " ".join("x" * 5_000)
+    html_text.blocks_of("<div>" * 5_000 + "<svg><p>x</svg>" * 2_000)

@@ -31,8 +31,13 @@ LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Every span of the four kinds holds one of these characters.
-TRIGGER = re.compile(r"[0-9@]")
+#: What every span of the four kinds holds: a digit, or an at-sign, also spelt "at" by itself or "AT" between small
+#: letters. The same in Java and Python.
+TRIGGER = re.compile(r"[0-9@]|(?<![A-Za-z])[Aa][Tt](?![A-Za-z])|(?<=[a-z0-9])AT(?=[a-z0-9])")
+#: Spellings of the at-sign in generated addresses.
+SPELT = ("[at]", " (at) ", " [at] ", " at ", "(at)", "AT")
+#: What an address with a spelt sign goes on with behind the part the tagger found.
+REST = re.compile(r"[A-Za-z0-9-]*(?:(?:\.|\x20?[(\[]dot[)\]]\x20?|\x20dot\x20)[A-Za-z0-9-]+)*")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 Span = tuple[int, int, int]  # kind, start, end
@@ -135,7 +140,9 @@ def plausible(kind: int, found: str) -> bool:
     """Checks that follow the tagger: what no number of the kind can be is not added."""
     digits = re.sub("[^0-9]", "", found)
     if kind == 0:
-        return "@" in found or "at" in found.lower()
+        if re.search("[0-9@]", found):
+            return "@" in found or "at" in found.lower()
+        return bool(TRIGGER.search(found)) and bool(re.search(r"\.|dot", found, re.I))  # a host has a dot
     if kind == 1:
         parts = re.findall("[0-9]+", found)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
@@ -156,7 +163,13 @@ def all_spans(tagger: Tagger, texts: list[str]) -> list[tuple[list[Span], list[S
                 a += 1
             while b > a and (text[b - 1].isspace() or text[b - 1] in ",.;:"):
                 b -= 1
-            if TRIGGER.search(text, a, b) and plausible(kind, text[a:b]) and not any(x < b and a < y for x, y in taken):
+            if kind == 0:  # to its ends: the tagger may stop inside a word, or between words
+                b = REST.match(text, b).end()
+                while a and text[a - 1] in _LOCAL_CHARS and text[a - 1] != ".":
+                    a -= 1
+                if every[len(base) :] and every[-1][0] == 0 and a < every[-1][2]:
+                    continue
+            if plausible(kind, text[a:b]) and not any(x < b and a < y for x, y in taken):
                 every.append((kind, a, b))
         out.append((base, sorted(every)))
     return out
@@ -166,13 +179,21 @@ def _generated(r: np.random.Generator) -> list[tuple[str, list[Span]]]:
     """Windows with one span each in spellings the patterns may miss, and windows with digits that are none."""
 
     def word() -> str:
-        return "".join(r.choice(list("abcdeghinorstuv"), r.integers(2, 9)))
+        return "".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), r.integers(2, 9)))
 
     def digits(n: int) -> str:
         return "".join(map(str, r.integers(0, 10, n)))
 
+    def spelt() -> str:
+        dot = r.choice([".", ".", " dot ", " (dot) "])
+        return f"{word()}{r.choice(['', '.' + word()])}{r.choice(SPELT)}{word()}{dot}{r.choice(['com', 'org', 'net', 'de'])}"
+
     def email() -> str:
-        return f"{word()}{r.choice(['.', '_', ''])}{digits(r.integers(1, 3))}{r.choice(['@', '(at)', ' @ '])}{word()}{digits(1)}.{word()}.{r.choice(['com', 'org', 'net', 'de'])}"
+        own, host = (digits(r.integers(1, 3)), digits(1)) if r.random() < 0.5 else (r.choice(["", word()]), "")
+        dot = r.choice([".", ".", ".", " dot ", " (dot) ", "[dot]"])
+        at = r.choice(["@", "(at)", " @ ", "[at]"])
+        parts = [word() + host, *([word()] if r.random() < 0.5 else []), r.choice(["com", "org", "net", "de"])]
+        return f"{word()}{r.choice(['.', '_', ''])}{own}{at}{dot.join(parts)}"
 
     def ip() -> str:
         return r.choice([".", ".", "[.]"]).join(str(x) for x in r.integers(1, 255, 4))
@@ -188,10 +209,14 @@ def _generated(r: np.random.Generator) -> list[tuple[str, list[Span]]]:
     def none() -> str:
         return str(r.choice([f"key={digits(3)}{word()}{digits(5)}", f"{digits(2)}.{digits(1)}", f"AK{word().upper()}{digits(2)}", digits(r.integers(1, 6)), f"version {digits(1)}.{digits(1)}."]))
 
+    def prose() -> str:
+        a, b = r.choice(["we met", "sat", "look", "was", "stay", word()]), r.choice(["noon", "home", "the door", "all", "last", "once", word()])
+        return f"{a}{r.choice([' at ', ' at ', ' at ', ', at ', '. At ', ' (at '])}{b}{r.choice(['.', ',', ' ', '. '])}"
+
     out = []
-    for kind, make in enumerate((email, ip, card, phone, none)):
+    for kind, make in ((0, email), (1, ip), (2, card), (3, phone), (4, none), (4, prose), (0, spelt)):
         for _ in range(MADE):
-            before = " ".join(word() for _ in range(r.integers(0, 5))) + " "
+            before = " ".join(word() for _ in range(r.integers(0, 2 if make is spelt else 5))) + " "
             span = make()
             text = f"{before}{span} {' '.join(word() for _ in range(8))}"
             out.append((text[:WINDOW], [(kind, len(before), min(WINDOW, len(before) + len(span)))] if kind < 4 else []))
@@ -220,12 +245,12 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Tagger:
     """A tagger fitted on windows of up to ``FIT_DOCS`` documents, and on generated ones.
 
-    The documents are those with the least hash of their id among the ones with a digit
-    or an at-sign, so the choice is the same in every run.
+    The documents are those with the least hash of their id among the ones with a
+    trigger, so the choice is the same in every run.
     """
     triggered = (
         docs.select(F.col(id_col).alias("d_id"), whole_text(text_col).alias("d_text"))
-        .filter(F.col("d_text").rlike("[0-9@]"))
+        .filter(F.col("d_text").rlike(TRIGGER.pattern))
         .select("d_text", F.xxhash64("d_id", "d_text").alias("place"))
     )
     sample = least_places(triggered, "place", FIT_DOCS, "d_text").select("d_text")

@@ -2,7 +2,7 @@
 
 import pytest
 
-from queuelens.llm import html_text, licenses
+from queuelens.llm import html_text, licenses, pii
 
 OLD_ANCHORS = ("under", "spdx-license-identifier", "this", "license", "provided", "2020")
 
@@ -76,3 +76,24 @@ def test_pages_that_leave_out_end_tags(page, text):
 def test_many_unclosed_elements_stay_linear():
     assert said("<svg><p>x" * 5_000) == " ".join("x" * 5_000)
     html_text.blocks_of("<div>" * 5_000 + "<svg><p>x</svg>" * 2_000)
+
+
+@pytest.mark.parametrize("address", ["jane (at) example (dot) org", "jane.doe(at)example.com", "jane.doe [at] example.net", "jane.doeATexample.org"])
+def test_addresses_without_digit_or_sign_are_found(tagger, address):
+    text = "the letter is long and old " * 6 + f"write to {address} for more of it " + "so we met at noon and sat at home " * 6
+    (_, spans), = pii.all_spans(tagger, [text])
+    assert [k for k, _, _ in spans] == [0]
+    start = text.index(address)
+    assert spans[0][1] < start + 8 and spans[0][2] > start + len(address) - 8
+    (_, beside), = pii.all_spans(tagger, ["In 2019 " + text])
+    assert any(k == 0 and a < start + 16 and b > start + len(address) for k, a, b in beside)
+
+
+@pytest.fixture(scope="module")
+def tagger(spark):
+    return pii.train(spark.createDataFrame([], "doc_id bigint, text string"))
+
+
+def test_prose_with_at_is_no_address(tagger):
+    for text in ("we met at noon and sat at home. they look at data all day", "at the end, at last. meet me (at night) or at work"):
+        assert pii.all_spans(tagger, [text])[0][1] == []

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from queuelens.llm import exact_dedup, hashing_search, html_text, licenses, ngram_join, packing, pii, quality, sentencepieces, toxicity
+from queuelens.llm import exact_dedup, hashing_search, html_text, licenses, lm_scoring, ngram_join, packing, pii, quality, sentencepieces, toxicity
 from queuelens.llm.common import documents, table
 
 
@@ -89,6 +89,13 @@ def op10_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.crc32(F.col("doc_id").cast("string")) % 7
+    scored = lm_scoring.score(documents(spark, sf_dir), F.coalesce(fold != 2, F.lit(True)))
+    held_out = F.coalesce(fold == 2, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 OP8_SQL = r"""
 WITH keyed AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -112,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_packing": op9_packing,
     "op10_sentencepieces": op10_sentencepieces,
+    "op11_lm_scoring": op11_lm_scoring,
 }
 
 ORACLES: dict[str, str] = {"op8_exact_dedup": OP8_SQL}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from queuelens.llm import exact_dedup, hashing_search, html_text, licenses, lm_scoring, ngram_join, packing, pii, quality, sentencepieces, toxicity
+from queuelens.llm import collocations, exact_dedup, hashing_search, html_text, licenses, lm_scoring, ngram_join, packing, pii, quality, sentencepieces, toxicity
 from queuelens.llm.common import documents, table
 
 
@@ -96,6 +96,10 @@ def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 OP8_SQL = r"""
 WITH keyed AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -108,6 +112,46 @@ WITH keyed AS (
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM ranked
 """
 
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), runs AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), spoken AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM runs GROUP BY lang
+), grams AS (
+  SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase
+  FROM runs CROSS JOIN (VALUES (1), (2), (3)) AS sizes(size)
+  WHERE len(w) >= size
+), counts AS (
+  SELECT lang, size, phrase, count(*)::BIGINT AS a FROM grams GROUP BY ALL HAVING count(*) >= 10
+), cuts AS (
+  SELECT lang, size, phrase, a, k,
+         array_to_string(string_split(phrase, ' ')[1:k], ' ') AS head,
+         array_to_string(string_split(phrase, ' ')[k + 1:size], ' ') AS rest
+  FROM counts CROSS JOIN (VALUES (1), (2)) AS ks(k)
+  WHERE size > k
+), scored AS (
+  SELECT c.*, h.a AS l, t.a AS r, ((1000000::HUGEINT * c.a * c.a) // (h.a::HUGEINT * t.a))::BIGINT AS score
+  FROM cuts c JOIN counts h ON h.lang = c.lang AND h.phrase = c.head JOIN counts t ON t.lang = c.lang AND t.phrase = c.rest
+), chosen AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), alone AS (
+  SELECT * FROM chosen c
+  WHERE NOT EXISTS (
+    SELECT 1 FROM counts b
+    WHERE b.size = 3 AND c.size = 2 AND b.lang = c.lang AND 100 * b.a >= 50 * c.a
+      AND c.phrase IN (array_to_string(string_split(b.phrase, ' ')[1:2], ' '), array_to_string(string_split(b.phrase, ' ')[2:3], ' ')))
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM alone JOIN spoken USING (lang)
+QUALIFY rank <= 2000
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_quality": op2_quality,
@@ -120,6 +164,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_sentencepieces": op10_sentencepieces,
     "op11_lm_scoring": op11_lm_scoring,
+    "op13_collocations": op13_collocations,
 }
 
-ORACLES: dict[str, str] = {"op8_exact_dedup": OP8_SQL}
+ORACLES: dict[str, str] = {"op8_exact_dedup": OP8_SQL, "op13_collocations": OP13_SQL}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from queuelens.llm import collocations, exact_dedup, hashing_search, html_text, licenses, lm_scoring, ngram_join, packing, pii, quality, sentencepieces, toxicity
+from queuelens.llm import collocations, exact_dedup, hashing_search, html_text, licenses, lm_scoring, ngram_join, packing, pii, prefix_trie, quality, sentencepieces, toxicity
 from queuelens.llm.common import documents, table
 
 
@@ -96,6 +96,12 @@ def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    taken = F.crc32(conv.cast("string")) % 4
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"), conv - conv % 20, taken, 3)
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(spark, sf_dir))
 
@@ -112,6 +118,48 @@ WITH keyed AS (
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM ranked
 """
 
+#: The checksum is spelt out bit by bit: its polynomial, reflected, is 3988292384.
+OP12_SQL = r"""
+WITH own AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS rn
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT c, xor(list_reduce(
+      list_concat([4294967295::BIGINT], list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384::BIGINT))
+    ), 4294967295::BIGINT) % 4 AS h
+  FROM (SELECT DISTINCT c FROM own)
+), parts AS (
+  SELECT v.c, 0 AS part, o.rn, o.role, o.text FROM convs v JOIN own o ON o.c = v.c - v.c % 20 AND o.rn <= v.h
+  UNION ALL
+  SELECT o.c, 1, o.rn, o.role, o.text FROM convs v JOIN own o ON o.c = v.c AND o.rn > v.h
+), turns AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, rn) AS d, md5(md5(role) || md5(text)) AS t,
+         len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words
+  FROM parts
+), members AS (
+  SELECT c, 0 AS d, '' AS p, 0 AS words FROM convs
+  UNION ALL
+  SELECT c, d, string_agg(t, '') OVER (PARTITION BY c ORDER BY d), words FROM turns
+), nodes AS (
+  SELECT p, m.d, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+         coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (m.d = l.d), '') AS ends
+  FROM members m JOIN (SELECT c, max(d) AS d FROM members GROUP BY c) l USING (c)
+  GROUP BY p, m.d
+), kids AS (
+  SELECT left(p, 32 * (d - 1)) AS p, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1
+), below AS (
+  SELECT left(b.p, 32 * k) AS p, count(*) FILTER (kids.n IS NULL) AS n_leaves, sum((b.n_convs - 1) * b.words) AS saved
+  FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM nodes) b LEFT JOIN kids ON kids.p = b.p
+  GROUP BY 1
+)
+SELECT a.conv_id, a.d::BIGINT AS depth, u.conv_id AS parent_conv_id, a.n_convs, coalesce(kids.n, 0) AS n_children,
+       below.n_leaves, below.saved::BIGINT AS saved_tokens, sha256(a.ends) AS ends_sha256
+FROM nodes a JOIN below ON below.p = a.p LEFT JOIN kids ON kids.p = a.p
+LEFT JOIN nodes u ON a.d > 0 AND u.p = left(a.p, 32 * (a.d - 1))
+"""
+
 OP13_SQL = r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang,
@@ -164,7 +212,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_sentencepieces": op10_sentencepieces,
     "op11_lm_scoring": op11_lm_scoring,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_collocations": op13_collocations,
 }
 
-ORACLES: dict[str, str] = {"op8_exact_dedup": OP8_SQL, "op13_collocations": OP13_SQL}
+ORACLES: dict[str, str] = {"op8_exact_dedup": OP8_SQL, "op12_prefix_trie": OP12_SQL, "op13_collocations": OP13_SQL}

@@ -15,10 +15,13 @@ and never change a count.
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
+from math import ceil
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -36,7 +39,9 @@ TOP = 2000
 SAMPLE_OF = 4
 PROPOSED = 2
 #: Text kept and counted at once, in bytes; a longer text is a run of its own.
-RUN_BYTES = 6_000_000
+RUN_BYTES = 4_000_000
+#: Text whose phrases are added up in one group, in bytes, about.
+BUCKET_BYTES = 8_000_000
 #: Bits of the largest table of proposals: 2 to this power.
 MOST_BITS = 27
 #: Groups in which the phrases of a language are ranked first.
@@ -48,6 +53,7 @@ _TO_PIECES = bytes(
     0x0A if c in b".,;:!?\x0a\x0b\x0c\x0d" else 0x20 if c == 0x09 else c + 0x20 if 0x41 <= c <= 0x5A else c for c in range(256)
 )
 _COUNTS = "lang string, phrase string, size int, n long"
+_ALL = 2**64 - 1
 
 
 class Proposals(NamedTuple):
@@ -70,9 +76,20 @@ def _joined(first: np.ndarray, word: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _word_hashes(words, lang: str) -> np.ndarray:
-    seed = xxhash.xxh32_intdigest(lang.encode())
-    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64)
+def _phrase_hash(phrase: bytes, seed: int) -> int:
+    """The same for one phrase, on plain numbers."""
+    words = phrase.split(b" ")
+    key = xxhash.xxh64_intdigest(words[0], seed)
+    for word in words[1:]:
+        x = (key * 0x9E3779B97F4A7C15 + xxhash.xxh64_intdigest(word, seed)) & _ALL
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _ALL
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _ALL
+        key = x ^ (x >> 31)
+    return key
+
+
+def _seed(lang: str) -> int:
+    return xxhash.xxh32_intdigest(lang.encode())
 
 
 def pieces(text: bytes) -> list[bytes]:
@@ -95,22 +112,20 @@ class _Run:
         run[:-1] = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
         self.texts.append(run)
 
-    def counts(self, lang: str, longest: int, new: Proposals | None, old: Proposals | None) -> Iterator[tuple]:
-        """(phrase, size, count) of what ``new`` lets count and ``old`` did not; without ``new`` of all phrases.
+    def counts(self, lang: str, longest: int, power: int, new: Proposals | None, old: Proposals | None) -> Iterator[tuple]:
+        """(bucket, size, phrases and counts) of what ``new`` lets count and ``old`` did not; without ``new`` of all phrases.
 
-        Words, and under size 0 their number, are counted unless there is an ``old``.
+        Words, and under size 0 their number, are counted unless there is an ``old``. There are 2**``power`` buckets.
         """
-        words = list(self.numbers)
         sequence = np.concatenate(self.texts)
-        hashes = _word_hashes(words, lang)
-        if old is None:
-            counts = np.bincount(sequence, minlength=len(words))
-            counts[_BREAK] = 0
-            yield None, 0, int(counts.sum())
-            for k in np.flatnonzero(counts).tolist():
-                yield words[k].decode(), 1, int(counts[k])
+        seed = _seed(lang)
+        words = pa.array(list(self.numbers), pa.binary())
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in self.numbers), np.uint64, len(words))
         at = np.flatnonzero(sequence != _BREAK)  # starts of phrases of the size before
         hashed = hashes[sequence[at]]
+        if old is None:
+            yield 0, 0, _packed(pa.array([""]), np.array([len(at)]))
+            yield from self._tallied(words, sequence, at, hashed, 1, power)
         reached = np.full(len(at), old is not None)  # by the passes before
         for size in range(2, longest + 1):
             if not len(at):
@@ -123,31 +138,47 @@ class _Run:
                 now = now[follows] & now[follows + 1]
                 then = reached & old.holds(size - 1, hashed) if old is not None else reached
                 then = then[follows] & then[follows + 1]
+                follows, then = follows[now], then[now]
             else:
-                now, then = np.ones(len(follows), bool), np.zeros(len(follows), bool)
+                then = np.zeros(len(follows), bool)
             longer = _joined(hashed[follows], hashes[sequence[at[follows] + size - 1]])
             starts = at[follows]
-            kept = starts[now & ~then]
-            if len(kept):
-                yield from self._tallied(words, sequence, kept, size)
+            yield from self._tallied(words, sequence, starts[~then], longer[~then], size, power)
             # A longer phrase has proposed parts, and those have proposed parts themselves.
-            at, hashed, reached = starts[now], longer[now], then[now]
+            at, hashed, reached = starts, longer, then
 
     @staticmethod
-    def _tallied(words: list[bytes], sequence: np.ndarray, starts: np.ndarray, size: int) -> Iterator[tuple]:
+    def _tallied(words: pa.Array, sequence: np.ndarray, starts: np.ndarray, hashed: np.ndarray, size: int, power: int) -> Iterator[tuple]:
+        if not len(starts):
+            return
         code = sequence[starts]
         for k in range(1, size):  # exact: numbers of the distinct beginnings times words
-            _, code = np.unique(code, return_inverse=True)
+            if k > 1:
+                _, code = np.unique(code, return_inverse=True)
             code = code * len(words) + sequence[starts + k]
         _, where, counts = np.unique(code, return_index=True, return_counts=True)
-        columns = [sequence[starts[where] + k].tolist() for k in range(size)]
-        for phrase, n in zip(zip(*columns), counts.tolist()):
-            yield b" ".join([words[w] for w in phrase]).decode(), size, n
+        bucket = (hashed[where] >> np.uint64(64 - power)).astype(np.int64) if power else np.zeros(len(where), np.int64)
+        order = np.argsort(bucket, kind="stable")
+        where, counts, bucket = where[order], counts[order], bucket[order]
+        edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+        for lo, hi in zip(edges, edges[1:]):
+            parts = [words.take(pa.array(sequence[starts[where[lo:hi]] + k])).cast(pa.string()) for k in range(size)]
+            phrases = parts[0] if size == 1 else pc.binary_join_element_wise(*parts, " ")
+            yield int(bucket[lo]), size, _packed(phrases, counts[lo:hi])
 
 
-def _counted(docs: DataFrame, longest: int, new=None, old=None) -> DataFrame:
-    """lang, phrase, size, n over all texts; the number of words under size 0.
+def _packed(phrases: pa.Array, counts: np.ndarray) -> bytes:
+    out = pa.BufferOutputStream()
+    batch = pa.record_batch({"phrase": phrases, "n": pa.array(counts, pa.int64())})
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return out.getvalue().to_pybytes()
 
+
+def _counted(docs: DataFrame, longest: int, least: int, power: int, new=None, old=None) -> DataFrame:
+    """lang, phrase, size, n of what occurs ``least`` times in all texts; the number of words under size 0.
+
+    Each task adds up its runs of texts; what they found meets in buckets by hash, packed.
     ``new`` and ``old`` are broadcasts of ``Proposals``.
     """
 
@@ -158,12 +189,12 @@ def _counted(docs: DataFrame, longest: int, new=None, old=None) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, run in runs.items():
-                rows = run.counts(lang, longest, now, then)
-                while part := [row for row, _ in zip(rows, range(200_000))]:
-                    phrases, sizes, counts = zip(*part)
+                rows = run.counts(lang, longest, power, now, then)
+                while part := list(islice(rows, 64)):
+                    buckets, sizes, packed = zip(*part)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(part)), pa.array(phrases, pa.string()), pa.array(sizes, pa.int32()), pa.array(counts, pa.int64())],
-                        ["lang", "phrase", "size", "n"],
+                        [pa.array(buckets, pa.int64()), pa.array([lang] * len(part)), pa.array(sizes, pa.int32()), pa.array(packed, pa.binary())],
+                        ["bucket", "lang", "size", "packed"],
                     )
             runs.clear()
 
@@ -177,7 +208,23 @@ def _counted(docs: DataFrame, longest: int, new=None, old=None) -> DataFrame:
                 held += len(body)
         yield from flush()
 
-    return docs.mapInArrow(count, _COUNTS).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
+    def add_up(table: pa.Table) -> pa.Table:
+        of: dict[tuple[str, int], list[pa.Table]] = {}
+        for lang, size, packed in zip(*(table.column(c).to_pylist() for c in ("lang", "size", "packed"))):
+            of.setdefault((lang, size), []).append(pa.ipc.open_stream(packed).read_all())
+        found = [pa.table({"lang": pa.array([], pa.string()), "phrase": pa.array([], pa.string()), "size": pa.array([], pa.int32()), "n": pa.array([], pa.int64())})]
+        for (lang, size), parts in of.items():
+            sums = pa.concat_tables(parts).group_by("phrase").aggregate([("n", "sum")])
+            if size:
+                sums = sums.filter(pc.greater_equal(sums.column("n_sum"), least))
+            k = len(sums)
+            found.append(
+                pa.table({"lang": pa.array([lang] * k, pa.string()), "phrase": sums.column("phrase"), "size": pa.array([size] * k, pa.int32()), "n": sums.column("n_sum")})
+            )
+        return pa.concat_tables(found)
+
+    shape = "bucket long, lang string, size int, packed binary"
+    return docs.mapInArrow(count, shape).groupBy("bucket").applyInArrow(add_up, _COUNTS)
 
 
 def _with_bits(phrases: DataFrame, longest: int, power: int, before: Proposals | None = None) -> Proposals:
@@ -186,13 +233,10 @@ def _with_bits(phrases: DataFrame, longest: int, power: int, before: Proposals |
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place, sizes = [], batch.column(2).to_pylist()
-            for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = _word_hashes(phrase.encode().split(b" "), lang)
-                key = words[:1]
-                for k in range(1, len(words)):
-                    key = _joined(key, words[k : k + 1])
-                place.append(int(key[0]) >> (64 - power))
+            sizes = batch.column(2).to_pylist()
+            seeds = {lang: _seed(lang) for lang in batch.column(0).unique().to_pylist()}
+            named = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            place = [_phrase_hash(phrase.encode(), seeds[lang]) >> (64 - power) for lang, phrase in named]
             place = np.array(place, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(sizes, pa.int32()), pa.array(place >> part), pa.array((place & ((1 << part) - 1)).astype(np.int32))], ["size", "slice", "place"]
@@ -222,19 +266,20 @@ def _with_bits(phrases: DataFrame, longest: int, power: int, before: Proposals |
 def frequent_phrases(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = LEAST, longest: int = LONGEST) -> DataFrame:
     """lang, phrase, size, n: all phrases of up to ``longest`` words that occur ``least`` times, words too; a stored table.
 
-    A row of size 0 without a phrase holds the number of all words of the language.
+    A row of size 0 with an empty phrase holds the number of all words of the language.
     """
     context = docs.sparkSession.sparkContext
     rows = docs.select(F.coalesce(F.col(f"`{lang}`"), F.lit(UNKNOWN)).alias("lang"), whole_text(f"`{text}`").cast("binary").alias("text"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(1, ceil(size / BUCKET_BYTES)).bit_length()
     sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE_OF)) == 0)
-    proposed = stored(_counted(sample, longest - 1).filter((F.col("n") >= PROPOSED) & (F.col("size") > 0)), "proposed")
+    proposed = stored(_counted(sample, longest - 1, PROPOSED, buckets), "proposed")
     power = min(MOST_BITS, max(10, int(16 * proposed.count()).bit_length()))
     old, new = None, _with_bits(proposed, longest, power)
     found = []
     while True:
         sent = [None if p is None else context.broadcast(tuple(p)) for p in (new, old)]
-        counted = _counted(rows, longest, *sent).filter((F.col("n") >= least) | (F.col("size") == 0))
-        found.append(stored(counted, "phrases"))
+        found.append(stored(_counted(rows, longest, least, buckets, *sent), "phrases"))
         for b in sent:
             if b is not None:
                 b.destroy()

@@ -1,37 +1,40 @@
 """Queue depth over time, and gauges that go up and down in general."""
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from queuelens.functions.scalars import plus_seconds, tick_at_or_after, tick_time
 from queuelens.operators.lifecycle import ack_join
 from queuelens.operators.messages import MAX_RECEIVE_COUNT
+from queuelens.operators.ordered import Ordered
 from queuelens.operators.skew import ROWS_PER_TASK
 
 
-def step_series(changes: DataFrame, start: int, end: int, value: str = "depth") -> DataFrame:
+def step_series(
+    changes: DataFrame, start: int, end: int, value: str = "depth", rows_per_task: int | None = ROWS_PER_TASK
+) -> DataFrame:
     """Running total of ``change`` per queue at every tick from start to end.
 
     ``changes`` (queue, tick, change) may hold any number of rows: they are first
     summed per queue and tick, so the window only sees ticks at which something
     changed. The total stands until the next such tick, which fills the grid
-    without a join. Changes before ``start`` count into the opening total.
+    without a join. Changes before ``start`` count into the opening total. Ticks of a queue fit one task
+    as long as there are at most ``rows_per_task`` of them in all; beyond, a queue with more is split.
     """
     at_tick = (
         changes.filter(F.col("tick") <= end)
         .groupBy("queue", F.greatest("tick", F.lit(start)).alias("tick"))
         .agg(F.sum("change").alias("change"))
     )
-    by_queue = W.partitionBy("queue").orderBy("tick")
-    steps = at_tick.select(
-        "queue",
-        "tick",
-        F.sum("change").over(by_queue.rowsBetween(W.unboundedPreceding, 0)).alias("total"),
-        F.lead("tick").over(by_queue).alias("next_tick"),
-        F.lag("tick").over(by_queue).isNull().alias("is_first"),
+    long = rows_per_task is not None and end - start + 1 > rows_per_task
+    steps = (
+        Ordered(at_tick, ["queue"], ["tick"], rows_per_task if long else None)
+        .running_sum("total", F.col("change"))
+        .following("next_tick", F.col("tick"))
+        .previous("last_tick", F.col("tick"))
+        .frame()
     )
-    stands_from = F.when(F.col("is_first"), F.lit(start)).otherwise(F.col("tick"))
+    stands_from = F.when(F.col("last_tick").isNull(), F.lit(start)).otherwise(F.col("tick"))
     stands_to = F.coalesce(F.col("next_tick") - 1, F.lit(end))
     return steps.withColumn("at", F.explode(F.sequence(stands_from, stands_to))).select(
         "queue",
@@ -103,7 +106,7 @@ def depth_series(
     changes = arrivals.unionByName(moves).select(
         "queue", tick_at_or_after(F.col("at"), tick_s).alias("tick"), "change"
     )
-    return step_series(changes, start, end)
+    return step_series(changes, start, end, rows_per_task=rows_per_task)
 
 
 def dead_letter_gauge(

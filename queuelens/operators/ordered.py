@@ -121,6 +121,37 @@ class Ordered:
 
         return self._add(name, lambda window: top.over(window.rowsBetween(*_SO_FAR)), segmented)
 
+    def trailing(self, name: str, aggregate: Column, at: str, span: int) -> "Ordered":
+        """``aggregate`` over the rows of the group whose ``at`` lies up to ``span`` before, and those of equal ``at``.
+
+        ``at`` is a number in the order of the rows. A segment borrows what lies so
+        close to its ends from its neighbours ("halo"). A span that covers whole segments makes that many copies.
+        """
+        def segmented(window):
+            ends = self.hot.groupBy(_SEGMENT, *self.keys).agg(F.min(at).alias("first"), F.max(at).alias("last"))
+            # One entry per segment and hot group, so the arrays are short and few.
+            around = ends.groupBy(*[F.col(c).alias(f"_c_{c}") for c in self.keys]).agg(
+                F.collect_list(F.struct(F.col(_SEGMENT).alias("segment"), "first", "last")).alias("_ends")
+            )
+            same = [F.col(c).eqNullSafe(F.col(f"_c_{c}")) for c in self.keys]
+            near = F.filter(
+                "_ends",
+                lambda e: ((e["segment"] > F.col(_SEGMENT)) & (F.col(at) >= e["first"] - span))
+                | ((e["segment"] < F.col(_SEGMENT)) & (F.col(at) == e["last"])),
+            )
+            halo = (
+                self.hot.join(F.broadcast(around), same)
+                .withColumn("_to", F.explode(F.transform(near, lambda e: e["segment"])))
+                .drop("_ends", _SEGMENT, *[f"_c_{c}" for c in self.keys])
+                .withColumnRenamed("_to", _SEGMENT)
+                .withColumn("_halo", F.lit(True))
+            )
+            both = self.hot.withColumn("_halo", F.lit(False)).unionByName(halo)
+            ranged = W.partitionBy(_SEGMENT, *self.keys).orderBy(at).rangeBetween(-span, 0)
+            return both.withColumn(name, aggregate.over(ranged)).filter(~F.col("_halo")).drop("_halo")
+
+        return self._add(name, lambda _: aggregate.over(W.partitionBy(*self.keys).orderBy(at).rangeBetween(-span, 0)), segmented)
+
     def previous(self, name: str, value: Column) -> "Ordered":
         """Value of the row before; NULL for the first row of a group."""
         return self._neighbour(name, value, F.lag, F.max_by, backwards=False)

@@ -3,10 +3,10 @@
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from queuelens.functions.scalars import desired_replicas
+from queuelens.operators.ordered import Ordered
 from queuelens.operators.skew import ROWS_PER_TASK, join_unique
 from queuelens.schemas import POLICY
 from queuelens.session import is_small
@@ -44,7 +44,11 @@ def with_policy(
 
 
 def recommend_replicas(
-    series: DataFrame, policy: Policy | None, tick_s: int, longest_s: int | None = None
+    series: DataFrame,
+    policy: Policy | None,
+    tick_s: int,
+    longest_s: int | None = None,
+    rows_per_task: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """Workers wanted per queue and tick; input (queue, tick, depth) at every tick.
 
@@ -54,7 +58,7 @@ def recommend_replicas(
 
     Without ``policy`` every row carries its own, as ``with_policy`` attaches it; ``env`` is
     kept. ``longest_s`` then bounds the stabilisation times: what lies further back is not
-    looked at.
+    looked at. A queue with more than ``rows_per_task`` ticks is worked out by many tasks; ``None``: there is none.
     """
     own = policy is None
     if own and longest_s is None:
@@ -64,26 +68,21 @@ def recommend_replicas(
         return F.col(name) if own else F.lit(getattr(policy, name))
 
     at = F.col("tick") * tick_s
-    by_queue = W.partitionBy("queue").orderBy("at")
     wanted = series.withColumn("at", at).withColumn(
         "desired",
         desired_replicas(F.col("depth"), setting("queue_length"), setting("min_replicas"), setting("max_replicas")),
     )
+    ordered = Ordered(wanted, ["queue"], ["at"], rows_per_task)
     if own:
         # A frame has one length for all rows; the few ticks in it are cut to each row's own time.
-        seen = F.collect_list(F.struct("at", "desired")).over(by_queue.rangeBetween(-longest_s, 0))
-        wanted = wanted.withColumn("_seen", seen)
+        ordered.trailing("_seen", F.collect_list(F.struct("at", "desired")), "at", longest_s)
         lately = F.filter("_seen", lambda x: x["at"] >= F.col("at") - F.col("stabilization_s"))
         stabilized = F.array_max(F.transform(lately, lambda x: x["desired"]))
     else:
-        stabilized = F.max("desired").over(by_queue.rangeBetween(-policy.stabilization_s, 0))
-    so_far = by_queue.rowsBetween(W.unboundedPreceding, 0)
-    smoothed = wanted.withColumns(
-        {
-            "stabilized": stabilized,
-            "last_active": F.max(F.when(F.col("depth") > 0, F.col("at"))).over(so_far),
-        }
-    )
+        ordered.trailing("_highest", F.max("desired"), "at", policy.stabilization_s)
+        stabilized = F.col("_highest")
+    ordered.running_max("last_active", F.when(F.col("depth") > 0, F.col("at")))
+    smoothed = ordered.frame().withColumn("stabilized", stabilized)
     cooling = (F.col("depth") == 0) & (F.col("at") - F.col("last_active") < setting("cooldown_s"))
     return smoothed.select(
         *(["env"] if own else []),

@@ -79,6 +79,18 @@ depth AS (
 
 DEPTH = WAITING + "," + GRID + COUNTED
 
+RECOMMENDED = DEPTH + """,
+  wanted AS (SELECT *, CAST(least(ceil(depth / 5), 5) AS BIGINT) AS desired FROM depth),
+  recent AS (
+    SELECT w.queue, w.tick, w.depth, w.desired, max(p.desired) AS stabilized,
+           max(CASE WHEN p.tick > w.tick - 2 THEN p.depth END) AS lately
+    FROM wanted w JOIN wanted p ON p.queue = w.queue AND p.tick BETWEEN w.tick - 2 AND w.tick
+    GROUP BY ALL),
+recommended AS (
+  SELECT queue, tick, depth, desired, stabilized,
+         CASE WHEN depth = 0 AND lately > 0 AND stabilized < 1 THEN 1 ELSE stabilized END AS replicas
+  FROM recent)"""
+
 ENVELOPES = """
 env AS (
   SELECT event_id, ts, event_type AS queue, 100 + event_id % 400 AS work_ms,
@@ -336,16 +348,18 @@ ORACLES = {
     "depth_series": f"WITH {DEPTH} SELECT queue, tick, depth FROM depth",
     "depth_series_in_flight": f"WITH {PRESENT}, {GRID} {COUNTED} SELECT queue, tick, depth FROM depth",
     "empty_poll_streak": f"WITH {POLLS}, {STREAKS} SELECT consumer, polled_at, kind, n_messages, streak FROM streaks",
-    "replica_recommendation": f"""WITH {DEPTH},
-        wanted AS (SELECT *, CAST(least(ceil(depth / 5), 5) AS BIGINT) AS desired FROM depth),
-        recent AS (
-          SELECT w.queue, w.tick, w.depth, w.desired, max(p.desired) AS stabilized,
-                 max(CASE WHEN p.tick > w.tick - 2 THEN p.depth END) AS lately
-          FROM wanted w JOIN wanted p ON p.queue = w.queue AND p.tick BETWEEN w.tick - 2 AND w.tick
-          GROUP BY ALL)
-        SELECT queue, tick, depth, desired, stabilized,
-               CASE WHEN depth = 0 AND lately > 0 AND stabilized < 1 THEN 1 ELSE stabilized END AS replicas
-        FROM recent""",
+    "replica_recommendation": f"WITH {RECOMMENDED} SELECT queue, tick, depth, desired, stabilized, replicas FROM recommended",
+    "replica_rate_limits": f"""WITH RECURSIVE {RECOMMENDED},
+        numbered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY queue ORDER BY tick) AS i FROM recommended),
+        walk AS (
+          SELECT DISTINCT queue, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS workers, CAST(0 AS BIGINT) AS earlier FROM numbered
+          UNION ALL
+          SELECT n.queue, n.i,
+                 CASE WHEN n.replicas > w.workers THEN least(n.replicas, w.workers + 1)
+                      WHEN n.replicas < w.workers THEN greatest(n.replicas, least(w.earlier * 50 // 100, w.workers))
+                      ELSE w.workers END, w.workers
+          FROM walk w JOIN numbered n ON n.queue = w.queue AND n.i = w.i + 1)
+        SELECT queue, tick, depth, desired, stabilized, replicas, workers AS limited FROM numbered JOIN walk USING (queue, i)""",
     "replica_recommendation_by_env": f"""WITH {DEPTH},
         policy AS (SELECT * FROM (VALUES ('click', 'dev', 3, 1), ('view', 'dev', 3, 1), ('error', 'prod', 5, 2),
                      ('signup', 'prod', 5, 2), ('purchase', 'prod', 5, 2)) p(queue, env, most, cool_ticks)),

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from queuelens.functions.bodies import TIME_FORMAT
 from queuelens.functions.handlers import outcome, python_handler
 from queuelens.functions.scalars import dead_letter_name, desired_replicas, queue_name, tick_time
-from queuelens.operators import alarm, depth, lifecycle, logs, messages, polls, retention, rules, scaling, sending
+from queuelens.operators import alarm, depth, lifecycle, limits, logs, messages, polls, retention, rules, scaling, sending
+from queuelens.operators.skew import ROWS_PER_TASK
 from queuelens.plans import tables as t
 from queuelens.schemas import ENVELOPE
 from queuelens.session import configure, scratch, stored
@@ -264,10 +265,10 @@ def pending_messages(spark, sf_dir):
     return lifecycle.pending_messages(t.sends(spark, sf_dir), acked)
 
 
-def _with_policy(spark, sf_dir) -> DataFrame:
+def _with_policy(spark, sf_dir, grid=None) -> DataFrame:
     """Depth with the policy of its environment; two queues belong to ``dev``."""
     env = F.when(F.col("queue").isin("click", "view"), "dev").otherwise("prod")
-    series = _depth(spark, sf_dir).withColumn("env", env)
+    series = _depth(spark, sf_dir, grid=grid).withColumn("env", env)
     return scaling.with_policy(series, scaling.resolve_policy(*t.policies(spark)))
 
 
@@ -357,13 +358,13 @@ def message_state(spark, sf_dir):
     return _states(spark, sf_dir)
 
 
-def _depth(spark, sf_dir, include_in_flight=False) -> DataFrame:
+def _depth(spark, sf_dir, include_in_flight=False, grid=None) -> DataFrame:
     return depth.depth_series(
         t.sends(spark, sf_dir),
         t.receives(spark, sf_dir),
         t.acks(spark, sf_dir),
         t.TICK_S,
-        *t.grid(spark, sf_dir),
+        *(grid or t.grid(spark, sf_dir)),
         t.VISIBILITY_S,
         include_in_flight=include_in_flight,
     )
@@ -384,21 +385,40 @@ def empty_poll_streak(spark, sf_dir):
     return polls.empty_poll_streak(t.polls(spark, sf_dir))
 
 
-@query
-def replica_recommendation(spark, sf_dir):
+def _recommended(spark, sf_dir) -> DataFrame:
     base = scaling.Policy()
     policy = base._replace(
         cooldown_s=base.cooldown_s * t.SCALE, stabilization_s=base.stabilization_s * t.SCALE
     )
-    return scaling.recommend_replicas(_depth(spark, sf_dir), policy, t.TICK_S)
+    first, last = t.grid(spark, sf_dir)
+    long = ROWS_PER_TASK if last - first >= ROWS_PER_TASK else None  # else no queue has so many ticks
+    return scaling.recommend_replicas(_depth(spark, sf_dir, grid=(first, last)), policy, t.TICK_S, rows_per_task=long)
+
+
+@query
+def replica_recommendation(spark, sf_dir):
+    return _recommended(spark, sf_dir)
+
+
+@query
+def replica_rate_limits(spark, sf_dir):
+    """One worker more per tick at most, and no more than half of them less within two ticks."""
+    return limits.limit_changes(
+        _recommended(spark, sf_dir),
+        t.TICK_S,
+        up=[limits.RateLimit("pods", 1, 15 * t.SCALE)],
+        down=[limits.RateLimit("percent", 50, 30 * t.SCALE)],
+    )
 
 
 @query
 def replica_recommendation_by_env(spark, sf_dir):
     """As above, by the policy of each queue's environment, durations scaled."""
     scaled = {c: F.col(c) * t.SCALE for c in ("cooldown_s", "stabilization_s")}
-    joined = _with_policy(spark, sf_dir).withColumns(scaled)
-    return scaling.recommend_replicas(joined, None, t.TICK_S, scaling.Policy().stabilization_s * t.SCALE)
+    first, last = t.grid(spark, sf_dir)
+    joined = _with_policy(spark, sf_dir, grid=(first, last)).withColumns(scaled)
+    long = ROWS_PER_TASK if last - first >= ROWS_PER_TASK else None
+    return scaling.recommend_replicas(joined, None, t.TICK_S, scaling.Policy().stabilization_s * t.SCALE, long)
 
 
 @query

@@ -125,7 +125,7 @@ class _Run:
         hashed = hashes[sequence[at]]
         if old is None:
             yield 0, 0, _packed(pa.array([""]), np.array([len(at)]))
-            yield from self._tallied(words, sequence, at, hashed, 1, power)
+            yield from self._tallied(words, hashes, sequence, at, 1, power)
         reached = np.full(len(at), old is not None)  # by the passes before
         for size in range(2, longest + 1):
             if not len(at):
@@ -143,26 +143,39 @@ class _Run:
                 then = np.zeros(len(follows), bool)
             longer = _joined(hashed[follows], hashes[sequence[at[follows] + size - 1]])
             starts = at[follows]
-            yield from self._tallied(words, sequence, starts[~then], longer[~then], size, power)
+            yield from self._tallied(words, hashes, sequence, starts[~then], size, power)
             # A longer phrase has proposed parts, and those have proposed parts themselves.
             at, hashed, reached = starts, longer, then
 
     @staticmethod
-    def _tallied(words: pa.Array, sequence: np.ndarray, starts: np.ndarray, hashed: np.ndarray, size: int, power: int) -> Iterator[tuple]:
+    def _tallied(words: pa.Array, hashes: np.ndarray, sequence: np.ndarray, starts: np.ndarray, size: int, power: int) -> Iterator[tuple]:
         if not len(starts):
             return
-        code = sequence[starts]
-        for k in range(1, size):  # exact: numbers of the distinct beginnings times words
-            if k > 1:
-                _, code = np.unique(code, return_inverse=True)
-            code = code * len(words) + sequence[starts + k]
-        _, where, counts = np.unique(code, return_index=True, return_counts=True)
-        bucket = (hashed[where] >> np.uint64(64 - power)).astype(np.int64) if power else np.zeros(len(where), np.int64)
+        n = len(words)
+        if size == 1:
+            counts = np.bincount(sequence[starts], minlength=n)
+            columns = [np.flatnonzero(counts)]
+            counts = counts[columns[0]]
+        elif size == 2:
+            code, counts = np.unique(sequence[starts] * n + sequence[starts + 1], return_counts=True)
+            columns = list(np.divmod(code, n))
+        else:
+            code = sequence[starts]
+            for k in range(1, size):  # exact: numbers of the distinct beginnings times words
+                if k > 1:
+                    _, code = np.unique(code, return_inverse=True)
+                code = code * n + sequence[starts + k]
+            _, where, counts = np.unique(code, return_index=True, return_counts=True)
+            columns = [sequence[starts[where] + k] for k in range(size)]
+        key = hashes[columns[0]]
+        for column in columns[1:]:
+            key = _joined(key, hashes[column])
+        bucket = (key >> np.uint64(64 - power)).astype(np.int64) if power else np.zeros(len(key), np.int64)
         order = np.argsort(bucket, kind="stable")
-        where, counts, bucket = where[order], counts[order], bucket[order]
+        columns, counts, bucket = [c[order] for c in columns], counts[order], bucket[order]
         edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
         for lo, hi in zip(edges, edges[1:]):
-            parts = [words.take(pa.array(sequence[starts[where[lo:hi]] + k])).cast(pa.string()) for k in range(size)]
+            parts = [words.take(pa.array(c[lo:hi])).cast(pa.string()) for c in columns]
             phrases = parts[0] if size == 1 else pc.binary_join_element_wise(*parts, " ")
             yield int(bucket[lo]), size, _packed(phrases, counts[lo:hi])
 

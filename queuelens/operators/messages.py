@@ -83,3 +83,28 @@ def parse_body(df: DataFrame, column: str = "body") -> DataFrame:
             "total": field(4).try_cast("bigint"),
         }
     )
+
+
+#: Outcome of deleting an acknowledged message.
+DELETION = "deleted boolean, error string, error_code string"
+
+
+def deletion(done: Column, error: Column | str, error_code: Column | str) -> Column:
+    """DELETION of a native deleter; error texts are kept only where it failed. A condition that is NULL counts as failed."""
+    failed = ~F.coalesce(done, F.lit(False))
+    text = [F.lit(x) if isinstance(x, str) else x for x in (error, error_code)]
+    return F.struct(
+        (~failed).alias("deleted"), F.when(failed, text[0]).alias("error"), F.when(failed, text[1]).alias("error_code")
+    )
+
+
+def settle_deletions(df: DataFrame, deleter: Handler, max_receive_count: int = MAX_RECEIVE_COUNT) -> DataFrame:
+    """Deletes messages of route ``ack``; adds ``deletion`` and changes ``route`` where that failed.
+
+    A message whose deletion fails was processed, yet it comes back: to be delivered again, or to
+    the dead letters if this was its last allowed delivery. Other routes are left as they are.
+    """
+    done = F.col("route") == "ack"
+    found = df.withColumn("deletion", F.when(done, deleter(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+    again = F.when(F.col("receive_count") < max_receive_count, "retry").otherwise("dead")
+    return found.withColumn("route", F.when(done & ~F.col("deletion.deleted"), again).otherwise(F.col("route")))

@@ -231,6 +231,7 @@ OUTCOMES = f"WITH {NORMAL} SELECT event_id, message_id, success, error, error_ty
 ORACLES = {
     "message_scan": SCAN,
     "bounded_stream_scan": SCAN,
+    "bounded_polls": SCAN.replace("SELECT message_id", "SELECT TRUE AS bounded, message_id"),
     "message_generator": f"WITH {GENERATED} SELECT n, batch, entry_id, body FROM generated",
     "structured_log_sink": f"""WITH {LOG}
         SELECT '{{' || concat_ws(',',
@@ -404,6 +405,15 @@ ORACLES = {
         WITH named AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN lower(c_name)
             ELSE lower(c_mktsegment) || '-' || c_nationkey || '-queue' END AS queue FROM customer)
         SELECT c_custkey, queue, queue || '-dlq' AS dead_letter_queue FROM named""",
+    # A body that cannot be processed is never deleted. A handle ends in the first number of its message; 7 and 9 have no common
+    # factor, so three messages of 63 fail for good.
+    "failed_deletes": f"""WITH {NORMAL},
+        settled AS (
+          SELECT *, event_id % 7 = 3 AS clings, event_id % 7 = 3 AND event_id % 9 = 0 AS stays FROM normal)
+        SELECT message_id, receipt_handle,
+               CAST(CASE WHEN odd OR stays THEN 3 WHEN clings AND receive_count = 1 THEN 2 ELSE receive_count END AS INTEGER) AS receive_count,
+               CASE WHEN odd OR stays THEN 'dead' ELSE 'ack' END AS route, NOT odd AS success
+        FROM settled""",
     "consumer_rounds": f"""WITH {NORMAL}
         SELECT message_id, receipt_handle, CAST(CASE WHEN odd THEN 3 ELSE receive_count END AS INTEGER)
                  AS receive_count, CASE WHEN odd THEN 'dead' ELSE 'ack' END AS route
@@ -412,6 +422,10 @@ ORACLES = {
         SELECT queue, message_id, receipt_handle, receive_count,
                CASE WHEN receive_count = 3 THEN 'dead' ELSE 'retry' END AS route
         FROM receives WHERE ok_at IS NULL OR receive_count < ok_at""",
+    "stateful_retry_any_order": f"""WITH {RECEIVES}
+        SELECT queue, message_id, receipt_handle, receive_count,
+               CASE WHEN receive_count = 3 THEN 'dead' ELSE 'retry' END AS route
+        FROM receives WHERE ok_at IS NULL OR receive_count < ok_at""",
     "redelivery_dedup": f"""WITH {RECEIVES}
         SELECT queue, message_id, min(received_at) AS received_at, min_by(receipt_handle, received_at) AS receipt_handle
         FROM receives GROUP BY queue, message_id""",

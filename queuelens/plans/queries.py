@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from queuelens.functions.bodies import TIME_FORMAT
@@ -15,11 +15,13 @@ from queuelens.schemas import ENVELOPE
 from queuelens.session import configure, scratch, stored
 from queuelens.sources import generator, sinks
 from queuelens.sources.messages import read_log, read_messages, stream_messages
+from queuelens.sources.polls import MOST_PER_POLL, POLLED, stream_polls
 from queuelens.streaming.alarm import dlq_alarm_stream, read_alarms
 from queuelens.streaming.consume import consume, consume_rounds
 from queuelens.streaming.dedup import dedup_messages, first_deliveries
 from queuelens.streaming.retry import read_decisions, retry_state
 from queuelens.streaming.running import drained
+from queuelens.streaming.runs import latest_decisions, retry_in_any_order
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,13 +46,14 @@ def all_queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
-def _text_columns(df: DataFrame) -> DataFrame:
+def _text_columns(df: DataFrame, *others: Column) -> DataFrame:
     """Envelope columns with the receive count instead of the attribute map."""
     return df.select(
         "message_id",
         "receipt_handle",
         "body",
         F.col("attributes")[messages.RECEIVE_COUNT].alias("receive_count_text"),
+        *others,
     )
 
 
@@ -495,6 +498,37 @@ def queue_names(spark, sf_dir):
 # Streaming
 
 
+@query
+def bounded_polls(spark, sf_dir):
+    """Every message by polls of ten; ``bounded`` tells that its poll held no more."""
+    src, out = _stored_envelopes(spark, sf_dir), scratch(spark, "polled")
+    stream = stream_polls(spark, src, MOST_PER_POLL, consumers=1_000)
+    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "checkpoint")).start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    polled = read_messages(spark, out, schema=POLLED)
+    sizes = polled.groupBy("poll").agg(F.count("*").alias("size"))
+    return _text_columns(polled.join(sizes, "poll"), (F.col("size") <= MOST_PER_POLL).alias("bounded"))
+
+
+def _deletes_most(message):
+    """Deleter: fails for every seventh message at its first delivery, and always for every 63rd."""
+    number = F.coalesce(F.regexp_extract(message["receipt_handle"], r"(\d+)", 1).try_cast("int"), F.lit(0))
+    fails = (number % 7 == 3) & ((message["receive_count"] == 1) | (number % 9 == 0))
+    return messages.deletion(~fails, "receipt handle has expired", "ReceiptHandleIsInvalid")
+
+
+@query
+def failed_deletes(spark, sf_dir):
+    """Deliver every message until it is deleted or dead; some cannot be deleted at once."""
+    src, out = _stored_envelopes(spark, sf_dir), scratch(spark, "consumer")
+    return consume_rounds(spark, src, out, _fails_on_odd_body, deleter=_deletes_most).select(
+        "message_id", "receipt_handle", "receive_count", "route", "outcome.success"
+    )
+
+
 @query
 def consumer_rounds(spark, sf_dir):
     """Deliver every message until it is acknowledged or dead."""
@@ -530,6 +564,18 @@ def stateful_retry(spark, sf_dir):
     return read_decisions(spark, out).drop("received_at")
 
 
+@query
+def stateful_retry_any_order(spark, sf_dir):
+    """The same decisions from micro-batches that come in another order than the receives: by hash, in four goes."""
+    path, out = scratch(spark, "stream"), scratch(spark, "retries")
+    staged = stored(t.receives_with_outcome(spark, sf_dir), "staged")
+    for go in range(4):
+        part = staged.filter(F.pmod(F.xxhash64("receipt_handle"), F.lit(4)) == go)
+        part.write.mode("append").parquet(path)
+        drained(retry_in_any_order(stream_messages(spark, path, None, schema=staged.schema), out))
+    return latest_decisions(spark, out).drop("received_at")
+
+
 @query
 def dead_letter_alarm_stream(spark, sf_dir):
     out = scratch(spark, "alarms")

@@ -37,6 +37,25 @@ def accept_all(message: Column) -> Column:
     return outcome(F.lit(True), "", "")
 
 
+def _trace(problem: Exception, known: dict[tuple, str]) -> str:
+    """The traceback as text. Its frames are formatted once for each place an exception comes from, in ``known``."""
+    if problem.__cause__ or problem.__context__ or isinstance(problem, (SyntaxError, ExceptionGroup)) or hasattr(problem, "__notes__"):
+        return "".join(traceback.format_exception(problem))
+    places, at = [], problem.__traceback__
+    while at:
+        places.append((at.tb_frame.f_code, at.tb_lasti))
+        at = at.tb_next
+    frames = known.get(tuple(places))
+    if frames is None:
+        if len(known) >= 1_000:
+            known.clear()
+        frames = known[tuple(places)] = "".join(traceback.format_tb(problem.__traceback__))
+    kind = type(problem)
+    name = kind.__qualname__ if kind.__module__ in ("builtins", "__main__") else f"{kind.__module__}.{kind.__qualname__}"
+    said = str(problem)
+    return f"Traceback (most recent call last):\n{frames}{name}: {said}\n" if said else f"Traceback (most recent call last):\n{frames}{name}\n"
+
+
 def python_handler(fn: Callable[[dict], object], columns: list[str] | None = None) -> Handler:
     """Run ``fn(message)`` per message in Arrow batches.
 
@@ -50,14 +69,14 @@ def python_handler(fn: Callable[[dict], object], columns: list[str] | None = Non
     @F.arrow_udf(OUTCOME)
     def run(messages: pa.Array) -> pa.Array:
         maps = [f.name for f in messages.type if pa.types.is_map(f.type)]
-        rows = []
+        rows, known = [], {}
         for message in messages.to_pylist():
             message |= {name: dict(message[name]) for name in maps if message[name] is not None}
             try:
                 fn(message)
                 rows.append((True, None, None, None))
             except Exception as problem:
-                rows.append((False, str(problem), type(problem).__name__, traceback.format_exc()))
+                rows.append((False, str(problem), type(problem).__name__, _trace(problem, known)))
         kinds = [pa.bool_(), pa.string(), pa.string(), pa.string()]
         return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 

@@ -260,6 +260,10 @@ ORACLES = {
         FROM receives""",
     "log_threshold": f"""WITH {RECORDS}
         SELECT asctime, levelname, message, message_id FROM records WHERE levelname IN ('ERROR', 'WARNING')""",
+    "log_store_query": f"""WITH {RECORDS}
+        SELECT asctime, message, message_id, duration_ms FROM records
+        WHERE levelname = 'ERROR' AND asctime >= '2024-01-08 06:00:00' AND asctime < '2024-01-15 06:00:00'
+        ORDER BY asctime DESC, message_id""",
     "log_query": f"""WITH {RECORDS}
         SELECT asctime, message, message_id, duration_ms FROM records WHERE levelname = 'ERROR'
         ORDER BY asctime DESC, message_id""",
@@ -268,6 +272,27 @@ ORACLES = {
         ORDER BY asctime DESC, message_id LIMIT 100""",
     "message_log": f"WITH {LOG} SELECT * FROM log",
     "constraint_check": f"SELECT *, violations = '' AS is_valid FROM ({ODD_CUSTOMER})",
+    "address_ranges": """
+        WITH named AS (
+          SELECT c_custkey, 10 + c_custkey % 3 AS a, c_custkey % 5 AS b, (c_custkey * 7) % 256 AS c, (c_custkey * 31) % 256 AS d,
+                 CASE WHEN c_custkey % 50 = 0 THEN 8 ELSE 18 + c_custkey % 15 END AS prefix,
+                 c_custkey % 41 <> 0 AND c_custkey % 43 <> 0 AS is_valid
+          FROM customer),
+        blocks AS (
+          SELECT c_custkey, is_valid,
+                 CASE WHEN c_custkey % 41 = 0 THEN '' WHEN c_custkey % 43 = 0 THEN '300.' ELSE '' END || concat_ws('.', a, b, c, d)
+                   || CASE WHEN c_custkey % 41 = 0 THEN '' ELSE '/' || prefix END AS block,
+                 ((CAST(a AS BIGINT) * 256 + b) * 256 + c) * 256 + d AS number, CAST(1 AS BIGINT) << (32 - prefix) AS size
+          FROM named),
+        sized AS (SELECT *, number // size * size AS low, number // size * size + size - 1 AS high FROM blocks),
+        ranges AS (
+          SELECT s_suppkey, 167772160 + (CAST(s_suppkey AS BIGINT) * 7919993) % 50331648 AS range_low,
+                 (CAST(s_suppkey AS BIGINT) * s_suppkey * 37) % 200000 AS width
+          FROM supplier)
+        SELECT c_custkey, any_value(block) AS block, any_value(is_valid) AS is_valid, count(s_suppkey) AS overlapping,
+               count(*) FILTER (range_low <= low AND high <= range_low + width) AS containing, min(s_suppkey) AS first_range
+        FROM sized LEFT JOIN ranges ON is_valid AND range_low <= high AND low <= range_low + width
+        GROUP BY c_custkey""",
     "parse_body": f"""WITH {GENERATED}
         SELECT body, n, batch, ts, total FROM generated
         UNION ALL SELECT props, NULL, NULL, NULL, NULL FROM events""",
@@ -382,6 +407,13 @@ ORACLES = {
         SELECT event_type AS queue, event_id AS message_id, ts AS sent_at,
                (count(*) OVER (PARTITION BY event_type ORDER BY ts, event_id) + 9) // 10 AS batch
         FROM events""",
+    "retention_rules": f"""WITH {VERSIONS},
+        claimed AS (
+          SELECT *, CAST(CASE WHEN tag LIKE 'v%' THEN 1 WHEN tag LIKE 'sha-%' THEN 2 ELSE 3 END AS INTEGER) AS rule FROM versions)
+        SELECT *, CASE rule WHEN 3 THEN epoch_us(TIMESTAMP '{UNTAGGED_AS_OF}') - epoch_us(pushed_at) > CAST(200 * 86400 AS BIGINT) * 1000000
+                  ELSE row_number() OVER (PARTITION BY repo, rule ORDER BY pushed_at DESC, id DESC) > CASE rule WHEN 1 THEN 500 ELSE 300 END
+                  END AS expire
+        FROM claimed""",
     "retain_latest": f"""WITH {VERSIONS}
         SELECT *, count(*) FILTER (tag LIKE 'v%' OR tag LIKE 'sha-%' OR tag LIKE 'latest%')
                     OVER (PARTITION BY repo ORDER BY pushed_at DESC, id DESC) > {KEEP}

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from queuelens.functions.bodies import TIME_FORMAT
 from queuelens.functions.handlers import outcome, python_handler
 from queuelens.functions.scalars import dead_letter_name, desired_replicas, queue_name, tick_time
-from queuelens.operators import alarm, depth, lifecycle, limits, logs, messages, polls, retention, rules, scaling, sending
+from queuelens.operators import addresses, alarm, depth, lifecycle, limits, logs, messages, polls, retention, rules, scaling, sending
 from queuelens.operators.skew import ROWS_PER_TASK
 from queuelens.plans import tables as t
 from queuelens.schemas import ENVELOPE
 from queuelens.session import configure, scratch, stored
-from queuelens.sources import generator, sinks
+from queuelens.sources import generator, log_store, sinks
 from queuelens.sources.messages import read_log, read_messages, stream_messages
 from queuelens.sources.polls import MOST_PER_POLL, POLLED, stream_polls
 from queuelens.streaming.alarm import dlq_alarm_stream, read_alarms
@@ -29,6 +29,7 @@ DOCUMENT_LIMIT = 2_000
 UNTAGGED_AS_OF = "1998-01-01 00:00:00"
 LATENESS = "6 hours"
 DELAY_S = 86_400
+LOG_WEEK = ("2024-01-08 06:00:00", "2024-01-15 06:00:00")
 OTHER_FIELDS = ["error_code", "empty_poll_count", "exc_info"]  # of records of polls, and of Python handlers
 
 _QUERIES: dict[str, Query] = {}
@@ -168,7 +169,7 @@ def process_messages(spark, sf_dir):
 
 @query
 def process_messages_python(spark, sf_dir):
-    return _outcomes(_processed(spark, sf_dir, python_handler(t.fails_on_error_queue_python)))
+    return _outcomes(_processed(spark, sf_dir, python_handler(t.fails_on_error_queue_python, ["queue"])))
 
 
 @query
@@ -229,6 +230,27 @@ def constraint_check(spark, sf_dir):
     return checked.select("c_custkey", F.array_join("violations", ",").alias("violations"), "is_valid")
 
 
+@query
+def address_ranges(spark, sf_dir):
+    """Blocks of customers: whether they are valid, and how many allowed ranges they overlap and lie within."""
+    checked = rules.check_rows(t.address_blocks(spark, sf_dir), [addresses.valid_block("block")])
+    found = checked.withColumn("range", addresses.address_range(F.col("block"))).select("c_custkey", "block", "is_valid", "range.low", "range.high")
+    met = addresses.overlaps(found.filter("is_valid").select("c_custkey", "low", "high"), t.allowed_ranges(spark, sf_dir))
+    counts = met.groupBy("c_custkey").agg(
+        F.count("*").alias("overlapping"), F.count_if("contained").alias("containing"), F.min("range_s_suppkey").alias("first_range")
+    )
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("overlapping", "containing")}
+    return found.drop("low", "high").join(counts, "c_custkey", "left").withColumns(zero)
+
+
+@query
+def log_store_query(spark, sf_dir):
+    """The log query for one week, out of a store by day and level."""
+    path = scratch(spark, "log-store")
+    log_store.append_log(t.log_records(spark, sf_dir), path)
+    return logs.log_query(log_store.read_log_store(spark, path, ["ERROR"], *LOG_WEEK))
+
+
 @query
 def parse_body(spark, sf_dir):
     """Generated bodies, and as many event bodies that are none."""
@@ -447,6 +469,19 @@ def retain_latest(spark, sf_dir):
     return retention.retain_latest(t.versions(spark, sf_dir))
 
 
+#: Rules that overlap: the one in the middle looks at rows the first has claimed, and the last at any row.
+RETENTION_RULES = [
+    retention.RetentionRule(1, "count", 500, ("v",)),
+    retention.RetentionRule(2, "count", 300, ("v", "sha-")),
+    retention.RetentionRule(3, "age", 200 * 86_400),
+]
+
+
+@query
+def retention_rules(spark, sf_dir):
+    return retention.apply_rules(t.versions(spark, sf_dir), RETENTION_RULES, UNTAGGED_AS_OF)
+
+
 @query
 def expire_messages(spark, sf_dir):
     return retention.expire_by_age(

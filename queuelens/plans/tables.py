@@ -69,6 +69,7 @@ def _deliveries(spark, sf_dir) -> DataFrame:
             ),
             F.coalesce(F.col("k") == F.col("ok_at"), F.lit(False)).alias("success"),
             _work_ms().alias("work_ms"),
+            F.col("ts").alias("sent_at"),
         )
     )
 
@@ -80,36 +81,29 @@ def receives(spark, sf_dir) -> DataFrame:
 
 
 def receives_with_outcome(spark, sf_dir) -> DataFrame:
-    return _deliveries(spark, sf_dir).drop("work_ms")
+    return _deliveries(spark, sf_dir).drop("work_ms", "sent_at")
 
 
-def acks(spark, sf_dir) -> DataFrame:
-    """Acks of the succeeding receives, and late ones of some first receives."""
+def _acked_at() -> Column:
+    """When a delivery is acknowledged: on success, or too late for some first receives; else NULL."""
     too_late = (F.col("receive_count") == 1) & (F.col("message_id") % 100 == 57)
-    return (
-        _deliveries(spark, sf_dir)
-        .filter(F.col("success") | too_late)
-        .select(
-            "queue",
-            "message_id",
-            "receipt_handle",
-            F.when(F.col("success"), F.timestamp_add("MILLISECOND", F.col("work_ms"), F.col("received_at")))
-            .otherwise(F.timestamp_add("MINUTE", F.lit(31), F.col("received_at")))
-            .alias("acked_at"),
-        )
+    return F.when(F.col("success"), F.timestamp_add("MILLISECOND", F.col("work_ms"), F.col("received_at"))).when(
+        too_late, F.timestamp_add("MINUTE", F.lit(31), F.col("received_at"))
     )
 
 
+def acks(spark, sf_dir) -> DataFrame:
+    """Acks of the succeeding receives, and late ones of some first receives."""
+    found = _deliveries(spark, sf_dir).withColumn("acked_at", _acked_at())
+    return found.filter(F.col("acked_at").isNotNull()).select("queue", "message_id", "receipt_handle", "acked_at")
+
+
 def grid(spark, sf_dir) -> tuple[int, int]:
-    """First and last tick of all logs: from the first send to where the last receive or ack has taken effect."""
-    sent = sends(spark, sf_dir).agg(F.min("sent_at").alias("first"), F.max("sent_at").alias("sent"))
+    """First and last tick of all logs: from the first send to where the last receive or ack has taken effect. One pass."""
     hidden_until = plus_seconds(F.max("received_at"), VISIBILITY_S)
-    received = receives(spark, sf_dir).agg(hidden_until.alias("hidden"))
-    acked = acks(spark, sf_dir).agg(F.max("acked_at").alias("acked"))
-    found = sent.crossJoin(received).crossJoin(acked)  # one row each
-    last = F.greatest("sent", "hidden", "acked")
-    ticks = found.select(
-        (tick_at_or_after(F.col("first"), TICK_S)).alias("first"), tick_at_or_after(last, TICK_S).alias("last")
+    last = F.greatest(F.max("sent_at"), hidden_until, F.max(_acked_at()))
+    ticks = _deliveries(spark, sf_dir).agg(
+        tick_at_or_after(F.min("sent_at"), TICK_S).alias("first"), tick_at_or_after(last, TICK_S).alias("last")
     ).first()
     return (ticks["first"], ticks["last"]) if ticks["first"] is not None else (0, 0)
 
@@ -212,3 +206,20 @@ def policies(spark) -> tuple[DataFrame, DataFrame]:
     base = spark.createDataFrame([(env, *Policy()) for env in ("dev", "prod")], POLICY)
     overlay = spark.createDataFrame([("dev", 0, 3, 10, 15, None, None, None)], POLICY)
     return base, overlay
+
+
+def address_blocks(spark, sf_dir) -> DataFrame:
+    """A block for every customer; some are no blocks."""
+    key = F.col("c_custkey")
+    octets = F.concat_ws(".", F.lit(10) + key % 3, key % 5, (key * 7) % 256, (key * 31) % 256)
+    prefix = F.when(key % 50 == 0, F.lit(8)).otherwise(18 + key % 15)
+    block = F.concat_ws("/", octets, prefix)
+    text = F.when(key % 41 == 0, octets).when(key % 43 == 0, F.concat(F.lit("300."), block)).otherwise(block)
+    return table(spark, sf_dir, "customer").select("c_custkey", text.alias("block"))
+
+
+def allowed_ranges(spark, sf_dir) -> DataFrame:
+    """Ranges by supplier, of one address to many thousand, not aligned to blocks."""
+    key = F.col("s_suppkey").cast("bigint")
+    low = F.lit(10 * 2**24).cast("bigint") + (key * 7_919_993) % (3 * 2**24)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", low.alias("low"), (low + (key * key * 37) % 200_000).alias("high"))

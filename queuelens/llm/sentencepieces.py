@@ -5,11 +5,15 @@ neighbours is what merging gives for the text of the two. So the encoder takes t
 longest piece at each position (all matches come from an Aho-Corasick automaton),
 checks it against its neighbour by merging the two again, tries the next shorter
 piece where they do not agree, and marks positions that lead nowhere in a bit field.
+
+Merging two pieces again needs no merge of their texts: each was made from two halves, in an order that ranks
+tell, so only the pieces on both sides of the seam are looked at, from the whole ones down to characters.
 """
 
 import heapq
 import re
 import struct
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +29,7 @@ BLANK = "▁"
 REMEMBERED = 220_000
 #: Characters encoded at once.
 AT_ONCE = 500_000
+_NEVER = float("inf")
 
 
 class Pieces:
@@ -93,6 +98,19 @@ class Merger(Pieces):
         self.signs = {c: [b[0] for b in self.inside if b[1] == c] for c in ",."}
         self.words = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n" if self.by_line else f"{BLANK}*[^{BLANK}]+|{BLANK}+")
         self.agreed: dict[tuple[str, str], bool] = {}
+        # The two halves each piece is merged from last; None for a piece that merging never gives.
+        self.order = {p: -1.0 if len(p) == 1 else score for p, (score, _) in self.rank.items()}
+        self.halves: dict[str, tuple[str, str] | None] = {}
+        for piece in self.rank:
+            if len(piece) > 1:
+                self.halves[piece] = self._last if self.merge(piece) == [piece] else None
+        # Halves come before what they make, and no two pieces have one score; where that does not hold texts are merged in full.
+        shared = {score for score, n in Counter(self.order.values()).items() if n > 1 and score >= 0}
+        self.plain = frozenset(
+            p
+            for p, h in self.halves.items()
+            if self.order[p] < 0 or self.order[p] in shared or h and max(self.order.get(x, 0.0) for x in h) >= self.order[p]
+        )
         # Ids of the stretches met lately, as bytes: two generations, of which the older one goes.
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -116,6 +134,7 @@ class Merger(Pieces):
             if not part[i] or after[i] >= n or len(part[i]) + len(part[after[i]]) != size:
                 continue
             j = after[i]
+            self._last = part[i], part[j]
             part[i] += part[j]
             part[j] = ""
             after[i] = after[j]
@@ -132,9 +151,36 @@ class Merger(Pieces):
         if known is None:
             if len(self.agreed) >= REMEMBERED:
                 self.agreed.clear()
-            known = self.agreed[key] = self.merge(left + right) == ([left, right] if left else [right])
+            known = self.agreed[key] = self._seam_holds(left, right) if left else self._is_made(right)
         return known
 
+    def _is_made(self, piece: str) -> bool:
+        return len(piece) == 1 or self.halves[piece] is not None
+
+    def _seam_holds(self, left: str, right: str) -> bool:
+        """Whether no merge across the seam comes before those that make ``left`` and ``right``.
+
+        While ``a`` ends the left side and ``b`` begins the right one, they merge if nothing that takes
+        either of them comes first: what takes ``a`` lies further left and wins a tie, what takes ``b`` loses it.
+        """
+        if not (self._is_made(left) and self._is_made(right)):
+            return False
+        order, halves, plain = self.order, self.halves, self.plain
+        if left in plain or right in plain:
+            return self.merge(left + right) == [left, right]
+        a, b, takes_a, takes_b = left, right, _NEVER, _NEVER
+        while True:
+            both = order.get(a + b)
+            if both is not None and both < takes_a and both <= takes_b:
+                return a + b in plain and self.merge(left + right) == [left, right]
+            made_a, made_b = order[a], order[b]
+            if made_a > made_b:  # the later one is taken apart
+                takes_a, a = made_a, halves[a][1]
+            elif made_b >= 0:
+                takes_b, b = made_b, halves[b][0]
+            else:
+                return True
+
     def _choices(self, text: str) -> list[list[int] | None]:
         """By position, the sizes of the pieces that start there, shortest first."""
         choices: list[list[int] | None] = [None] * len(text)  # None: the character alone

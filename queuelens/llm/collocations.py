@@ -38,8 +38,8 @@ TOP = 2000
 #: The sample: one text in so many, by hash; what occurs so often in it is proposed.
 SAMPLE_OF = 4
 PROPOSED = 2
-#: Text kept and counted at once, in bytes; a longer text is a run of its own.
-RUN_BYTES = 4_000_000
+#: Text a task keeps before it counts the language it has most of, in bytes.
+HELD_BYTES = 6_000_000
 #: Text whose phrases are added up in one group, in bytes, about.
 BUCKET_BYTES = 8_000_000
 #: Bits of the largest table of proposals: 2 to this power.
@@ -49,8 +49,9 @@ RANKED_APART = 64
 
 UNKNOWN = "und"
 _BREAK = 0  # local number of the end of a piece
+_END = b"\xff"  # stands for it in bytes; no UTF-8 has it
 _TO_PIECES = bytes(
-    0x0A if c in b".,;:!?\x0a\x0b\x0c\x0d" else 0x20 if c == 0x09 else c + 0x20 if 0x41 <= c <= 0x5A else c for c in range(256)
+    0xFF if c in b".,;:!?\x0a\x0b\x0c\x0d" else 0x20 if c == 0x09 else c + 0x20 if 0x41 <= c <= 0x5A else c for c in range(256)
 )
 _COUNTS = "lang string, phrase string, size int, n long"
 _ALL = 2**64 - 1
@@ -93,24 +94,25 @@ def _seed(lang: str) -> int:
 
 
 def pieces(text: bytes) -> list[bytes]:
-    """Words of a text in small letters; a line feed stands between pieces."""
-    return [w for w in text.translate(_TO_PIECES).replace(b"\n", b" \n ").split(b" ") if w]
+    """Words of a text in small letters, with ``_END`` between pieces."""
+    return text.translate(_TO_PIECES).replace(_END, b" \xff ").split()  # blanks are the only white space left
 
 
 class _Run:
     """Texts of one language that are counted together."""
 
     def __init__(self):
-        self.numbers: defaultdict = defaultdict(None, {b"\n": _BREAK})
+        self.numbers: defaultdict = defaultdict(None, {_END: _BREAK})
         self.numbers.default_factory = self.numbers.__len__
         self.texts: list[np.ndarray] = []
-        self.n = 0
+        self.size = 0
 
     def add(self, text: bytes) -> None:
         words = pieces(text)
         run = np.zeros(len(words) + 1, np.int64)  # a break behind the text
         run[:-1] = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
         self.texts.append(run)
+        self.size += len(text)
 
     def counts(self, lang: str, longest: int, power: int, new: Proposals | None, old: Proposals | None) -> Iterator[tuple]:
         """(bucket, size, phrases and counts) of what ``new`` lets count and ``old`` did not; without ``new`` of all phrases.
@@ -200,26 +202,26 @@ def _counted(docs: DataFrame, longest: int, least: int, power: int, new=None, ol
         runs: dict[str, _Run] = {}
         held = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for lang, run in runs.items():
-                rows = run.counts(lang, longest, power, now, then)
-                while part := list(islice(rows, 64)):
-                    buckets, sizes, packed = zip(*part)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(buckets, pa.int64()), pa.array([lang] * len(part)), pa.array(sizes, pa.int32()), pa.array(packed, pa.binary())],
-                        ["bucket", "lang", "size", "packed"],
-                    )
-            runs.clear()
+        def counted(lang: str) -> Iterator[pa.RecordBatch]:
+            rows = runs.pop(lang).counts(lang, longest, power, now, then)
+            while part := list(islice(rows, 64)):
+                buckets, sizes, packed = zip(*part)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(buckets, pa.int64()), pa.array([lang] * len(part)), pa.array(sizes, pa.int32()), pa.array(packed, pa.binary())],
+                    ["bucket", "lang", "size", "packed"],
+                )
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 body = text.as_py()
-                if held and held + len(body) > RUN_BYTES:
-                    yield from flush()
-                    held = 0
+                while held and held + len(body) > HELD_BYTES:
+                    most = max(runs, key=lambda k: runs[k].size)
+                    held -= runs[most].size
+                    yield from counted(most)
                 runs.setdefault(lang, _Run()).add(body)
                 held += len(body)
-        yield from flush()
+        for lang in list(runs):
+            yield from counted(lang)
 
     def add_up(table: pa.Table) -> pa.Table:
         of: dict[tuple[str, int], list[pa.Table]] = {}

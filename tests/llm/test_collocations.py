@@ -67,7 +67,7 @@ def texts(spark):
 
 @pytest.mark.parametrize("least, longest, top, covered", [(2, 3, 2000, 50), (3, 4, 5, 90), (1, 2, 3, 50), (10, 3, 2000, 50), (4, 5, 100, 101)])
 def test_against_plain_counts(spark, texts, monkeypatch, least, longest, top, covered):
-    monkeypatch.setattr(collocations, "RUN_BYTES", 60)
+    monkeypatch.setattr(collocations, "HELD_BYTES", 60)
     got = collocations.collocations(texts, least=least, longest=longest, top=top, covered=covered)
     assert sorted(map(tuple, got.collect())) == plain(TEXTS * 3, least, longest, top, covered)
 

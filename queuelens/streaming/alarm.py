@@ -1,11 +1,11 @@
 """Dead-letter alarm on a stream of gauge samples."""
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from queuelens.operators.alarm import PERIOD, THRESHOLD, alarm_rows
+from queuelens.streaming.store import BatchStore
 
 ALARM = "queue string, window_start timestamp_ntz, window_end timestamp_ntz, total bigint, alarm boolean"
 
@@ -17,12 +17,15 @@ def dlq_alarm_stream(
 
     Sums are state until the watermark passes the period, so samples later than
     ``lateness`` are dropped. ``read_alarms`` gives the latest row of each period, also of
-    those the watermark has not passed. A replayed micro-batch replaces its own folder.
+    those the watermark has not passed. A replayed micro-batch replaces its own folder; those of earlier ones are
+    put together.
     """
     timed = samples.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", lateness)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/alarms/batch_id={batch_id}")
+        store = _store(batch.sparkSession, path)
+        store.write(batch, batch_id)
+        store.compact(before=batch_id)
 
     writer = alarm_rows(timed, F.col("at"), period, threshold).writeStream.outputMode("update").foreachBatch(write)
     return writer.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
@@ -30,14 +33,13 @@ def dlq_alarm_stream(
 
 def read_alarms(spark: SparkSession, path: str) -> DataFrame:
     """The alarm of every period: of its rows the one of the latest micro-batch."""
-    schema = f"{ALARM}, batch_id bigint"
-    try:
-        rows = spark.read.schema(schema).parquet(f"{path}/alarms")
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
-        rows = spark.createDataFrame([], schema)
-    latest = rows.groupBy("queue", "window_start", "window_end").agg(
-        F.max(F.struct("batch_id", "total", "alarm")).alias("r")
-    )
-    return latest.select("queue", "window_start", "window_end", "r.total", "r.alarm")
+    return _latest(_store(spark, path).read()).drop("batch_id")
+
+
+def _latest(rows: DataFrame) -> DataFrame:
+    found = rows.groupBy("queue", "window_start", "window_end").agg(F.max(F.struct("batch_id", "total", "alarm")).alias("r"))
+    return found.select("queue", "window_start", "window_end", "r.total", "r.alarm", "r.batch_id")
+
+
+def _store(spark: SparkSession, path: str) -> BatchStore:
+    return BatchStore(spark, f"{path}/alarms", ALARM, _latest)

@@ -2,13 +2,13 @@
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from queuelens.operators.lifecycle import MESSAGE
+from queuelens.streaming.store import BatchStore
 
 FIRSTS = "message_id bigint, queue string, bucket bigint, first struct<received_at:timestamp_ntz,receipt_handle:string>, last timestamp_ntz"
 
@@ -30,11 +30,13 @@ def dedup_messages(stream: DataFrame, path: str, within_s: int) -> StreamingQuer
     """Writes below ``path`` what ``first_deliveries`` needs, from all data available now.
 
     A micro-batch is thinned to a row per message and bucket of time; a replayed one
-    replaces its own folder. There is no state to keep and no order to rely on.
+    replaces its own folder, and those of earlier ones are put together. There is no state to keep and no order to rely on.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        _thinned(batch, within_s).write.mode("overwrite").parquet(f"{path}/firsts/batch_id={batch_id}")
+        store = _store(batch.sparkSession, path)
+        store.write(_thinned(batch, within_s), batch_id)
+        store.compact(before=batch_id)
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint")
     return writer.trigger(availableNow=True).start()
@@ -47,14 +49,18 @@ def first_deliveries(spark: SparkSession, path: str, within_s: int) -> DataFrame
     came in. One that comes later than that is a first delivery again. First means the least
     (``received_at``, ``receipt_handle``).
     """
-    try:
-        rows = spark.read.schema(FIRSTS).parquet(f"{path}/firsts")
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
-        rows = spark.createDataFrame([], FIRSTS)
-    buckets = rows.groupBy(*MESSAGE, "bucket").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    buckets = _joined(_store(spark, path).read())
     before = W.partitionBy(*MESSAGE).orderBy("bucket")
     since = F.unix_micros(F.col("first.received_at").cast("timestamp")) - F.unix_micros(F.lag("last").over(before).cast("timestamp"))
     new = buckets.withColumn("new", F.coalesce(since > within_s * 1_000_000, F.lit(True)))
     return new.filter("new").select("queue", "message_id", "first.received_at", "first.receipt_handle")
+
+
+def _joined(rows: DataFrame) -> DataFrame:
+    """One row per message and bucket out of those of several micro-batches."""
+    found = rows.groupBy(*MESSAGE, "bucket").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("batch_id").alias("batch_id"))
+    return found.select(*MESSAGE, "bucket", "first", "last", "batch_id")
+
+
+def _store(spark: SparkSession, path: str) -> BatchStore:
+    return BatchStore(spark, f"{path}/firsts", FIRSTS, _joined)

@@ -12,7 +12,6 @@ A huge message is a few summaries; within a stretch its receives are ordered ove
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -23,6 +22,7 @@ from queuelens.operators.ordered import Ordered
 from queuelens.operators.retention import MESSAGE_RETENTION
 from queuelens.operators.skew import ROWS_PER_TASK, hot_groups
 from queuelens.session import stored
+from queuelens.streaming.store import BatchStore
 
 #: Length of a stretch of time.
 STRETCH_S = 86_400
@@ -30,6 +30,7 @@ STRETCH_S = 86_400
 MESSAGE = ["message_id", "queue"]
 PLACE = [*MESSAGE, "stretch"]
 IN_ORDER = ["received_at", "receipt_handle"]
+DECIDED = ["queue", "message_id", "receipt_handle", "received_at"]
 RECEIVE = "message_id bigint, queue string, receipt_handle string, received_at timestamp_ntz, success boolean, stretch bigint"
 SUMMARY = (
     "message_id bigint, queue string, stretch bigint, first_at timestamp_ntz, last_at timestamp_ntz, "
@@ -38,16 +39,20 @@ SUMMARY = (
 DECISION = "queue string, message_id bigint, receipt_handle string, received_at timestamp_ntz, receive_count int, route string"
 
 
-def _read(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
-    """Rows of all micro-batches, or of those ``before`` one, with their ``batch_id``."""
-    whole = f"{schema}, batch_id bigint"
-    try:
-        rows = spark.read.schema(whole).parquet(path)
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
-        rows = spark.createDataFrame([], whole)
-    return rows if before is None else rows.filter(F.col("batch_id") < before)
+def _newest(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Of the rows of a key that of the latest micro-batch."""
+    others = [c for c in rows.columns if c not in [*key, "batch_id"]]
+    found = rows.groupBy(*key).agg(F.max_by(F.struct("batch_id", *others), "batch_id").alias("r"))
+    return found.select(*[F.col(c) if c in key else F.col(f"r.{c}").alias(c) for c in rows.columns])
+
+
+def _stores(spark: SparkSession, path: str) -> tuple[BatchStore, BatchStore, BatchStore]:
+    """Receives, summaries and decisions."""
+    return (
+        BatchStore(spark, f"{path}/receives", RECEIVE),
+        BatchStore(spark, f"{path}/summaries", SUMMARY, lambda rows: _newest(rows, PLACE)),
+        BatchStore(spark, f"{path}/decisions", DECISION, lambda rows: _newest(rows, DECIDED)),
+    )
 
 
 def _gap(later: Column, earlier: Column, ttl_s: int) -> Column:
@@ -121,38 +126,33 @@ def retry_sink(
 ) -> Callable[[DataFrame, int], None]:
     """Function for ``foreachBatch``: decides on failed receives, and again on those that new ones put in another light.
 
-    Layout ``path/receives``, ``path/summaries`` and ``path/decisions``, a folder per micro-batch in each. A replayed
+    Layout ``path/receives``, ``path/summaries`` and ``path/decisions``, a ``BatchStore`` each. A replayed
     micro-batch reads what the ones before have left and replaces its own folders only.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         stretch = int_div(epoch_micros(F.col("received_at")), stretch_s * 1_000_000).alias("stretch")
-        own = f"batch_id={batch_id}"
-        batch.select(*MESSAGE, *reversed(IN_ORDER), F.coalesce("success", F.lit(False)).alias("success"), stretch).write.mode(
-            "overwrite"
-        ).parquet(f"{path}/receives/{own}")
-        new = spark.read.schema(RECEIVE).parquet(f"{path}/receives/{own}")
-        known = _read(spark, f"{path}/receives", RECEIVE, batch_id).drop("batch_id").unionByName(new)
+        receives, found, decisions = _stores(spark, path)
+        receives.write(
+            batch.select(*MESSAGE, *reversed(IN_ORDER), F.coalesce("success", F.lit(False)).alias("success"), stretch), batch_id
+        )
+        known = receives.read(before=batch_id + 1)
+        new = known.filter(F.col("batch_id") == batch_id)
+        known = known.drop("batch_id")
         touched = stored(new.select(*PLACE).distinct(), "touched")
 
         there = stored(known.join(touched, PLACE, "left_semi"), "receives")
         # One look for huge messages; without any, plain windows do.
         limit = rows_per_task if hot_groups(there, MESSAGE, rows_per_task) else None
         again = stored(numbered(there, ttl_s, limit), "numbered")
-        summaries(again).write.mode("overwrite").parquet(f"{path}/summaries/{own}")
+        found.write(summaries(again), batch_id)
 
         # Carries before and after, of the messages in question.
         messages = touched.select(*MESSAGE).distinct()
-        of = _read(spark, f"{path}/summaries", SUMMARY).filter(F.col("batch_id") <= batch_id).join(messages, MESSAGE, "left_semi")
-        fields = [F.col(c) for c in ("batch_id", "first_at", "last_at", "broken", "tail")]
-
-        def latest(rows: DataFrame) -> DataFrame:
-            newest = rows.groupBy(*PLACE).agg(F.max_by(F.struct(*fields), "batch_id").alias("s"))
-            return newest.select(*PLACE, "s.first_at", "s.last_at", "s.broken", "s.tail")
-
-        after = stored(carries(latest(of), ttl_s, limit), "carries")
-        before = carries(latest(of.filter(F.col("batch_id") < batch_id)), ttl_s, limit)
+        of = found.read(before=batch_id + 1).join(messages, MESSAGE, "left_semi")
+        after = stored(carries(_newest(of, PLACE), ttl_s, limit), "carries")
+        before = carries(_newest(of.filter(F.col("batch_id") < batch_id), PLACE), ttl_s, limit)
         old = before.withColumnRenamed("carry", "_carry")
         shifted = after.join(old, PLACE).filter("carry <> _carry").select(*PLACE).join(touched, PLACE, "left_anti")
         shifted = stored(shifted, "shifted")
@@ -163,14 +163,10 @@ def retry_sink(
         failed = again.filter(~F.col("success")).join(after, PLACE)
         total = F.col("number") + F.when(F.col("run") == 0, F.col("carry")).otherwise(0)
         count = (F.pmod(total - 1, F.lit(max_receive_count)) + 1).cast("int")
-        failed.select(
-            "queue",
-            "message_id",
-            "receipt_handle",
-            "received_at",
-            count.alias("receive_count"),
-            F.when(count == max_receive_count, "dead").otherwise("retry").alias("route"),
-        ).write.mode("overwrite").parquet(f"{path}/decisions/{own}")
+        route = F.when(count == max_receive_count, "dead").otherwise("retry").alias("route")
+        decisions.write(failed.select(*DECIDED, count.alias("receive_count"), route), batch_id)
+        for store in (receives, found, decisions):
+            store.compact(before=batch_id)
 
     return write
 
@@ -198,8 +194,4 @@ def retry_in_any_order(
 
 def latest_decisions(spark: SparkSession, path: str) -> DataFrame:
     """The decision on every failed receive, corrections counted in."""
-    rows = _read(spark, f"{path}/decisions", DECISION)
-    newest = rows.groupBy("queue", "message_id", "receipt_handle", "received_at").agg(
-        F.max(F.struct("batch_id", "receive_count", "route")).alias("d")
-    )
-    return newest.select("queue", "message_id", "receipt_handle", "received_at", "d.receive_count", "d.route")
+    return _newest(_stores(spark, path)[2].read(), DECIDED).drop("batch_id")

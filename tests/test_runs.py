@@ -71,7 +71,7 @@ def test_a_late_success_corrects_later_stretches(spark):
     assert [decided(spark, out)["q", 1, f"h{k}"] for k in range(4)] == [(1, "retry"), (2, "retry"), (3, "dead"), (1, "retry")]
     sink(spark.createDataFrame([("q", 1, "late", DAY + timedelta(hours=1), True)], SCHEMA), 1)
     assert [decided(spark, out)["q", 1, f"h{k}"] for k in range(4)] == [(1, "retry"), (1, "retry"), (2, "retry"), (3, "dead")]
-    changed = spark.read.parquet(f"{out}/decisions/batch_id=1").collect()
+    changed = spark.read.parquet(f"{out}/decisions/batches/batch_id=1").collect()
     assert {r["receipt_handle"] for r in changed} == {"h0", "h1", "h2", "h3"}
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from queuelens.llm.common import chunks, fits_broadcast, fresh, stored, whole_text
 from queuelens.llm.components import components
+from queuelens.operators.skew import join_unique
 
 #: Splits after which a bucket is compared whatever its size.
 DEPTH = 4
@@ -84,7 +85,7 @@ def _sketches(n: int, width: int):
                     starts = np.cumsum(sizes[full]) - sizes[full]
                     for k, factor in enumerate(factors):
                         least[full, k] = np.minimum.reduceat((every * factor) >> np.uint64(32), starts).astype(np.uint32).view(np.int32)
-                keys = [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                keys = list(map(set_key, sets))
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(at, len(texts)),
@@ -98,6 +99,11 @@ def _sketches(n: int, width: int):
     return run
 
 
+def set_key(shingled: np.ndarray) -> bytes | None:
+    """Digest of a set of n-grams; none for the empty set."""
+    return blake2b(shingled.tobytes(), digest_size=16).digest() if len(shingled) else None
+
+
 def _least_labels(linked: np.ndarray) -> np.ndarray:
     """For each row of a symmetric relation the least row it is connected to."""
     n = len(linked)
@@ -235,24 +241,32 @@ def near_duplicates(
     sketches = stored(
         named.mapInArrow(_sketches(n, runs * DEPTH), "doc_id bigint, set_key binary, sketch array<int>"), "join-sketches"
     )
-    reps = stored(
+    sets = (
         sketches.filter("set_key is not null and doc_id is not null")
         .groupBy("set_key")
-        .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch")),
-        "join-sets",
+        .agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"))
     )
+    # A set is known by the least id that has it; where ids repeat, two sets may share that, and each gets a number of its own.
+    repeats = _repeats(sketches)
+    reps = stored(sets.withColumn("rep", F.monotonically_increasing_id() if repeats else F.col("low")), "join-sets")
     ties = components(_candidates(reps.select("rep", "sketch"), runs, threshold - SLACK)).select(
         F.col("node").alias("rep"), F.col("least").alias("tie")
     )
     ties = stored(ties, "join-ties")
     sizes = ties.groupBy("tie").agg(F.count(F.lit(1)).alias("size"))
-    tied = stored(ties.join(sizes, "tie").join(reps.select("rep", "copies"), "rep"), "join-tied")
+    tied = stored(ties.join(sizes, "tie").join(reps.select("rep", "low", "set_key", "copies"), "rep"), "join-tied")
     side = F.broadcast(tied) if fits_broadcast(tied, BROADCAST_ROWS) else tied
-    texts = named.dropDuplicates(["doc_id"]) if _repeats(sketches) else named
+    if repeats:
+        # One text of each set; which set the text of a repeated id has must be asked again.
+        own = named.join(side.select(F.col("low").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        texts = own.mapInArrow(_with_key(n), "key binary, text string").dropDuplicates(["key"])
+        same = F.col("key") == F.col("set_key")
+    else:
+        texts, same = named, F.col("doc_id") == F.col("rep")
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     blocks = (
-        texts.join(side, texts["doc_id"] == side["rep"])
+        texts.join(side, same)
         .select("tie", "rep", "copies", "text", parts.cast("long").alias("parts"))
         .withColumn("block", F.pmod(F.xxhash64("rep"), "parts"))
         .select("*", other.alias("other"))
@@ -269,9 +283,13 @@ def near_duplicates(
     wide = verified.filter("parts > 1 and rep != label").select(F.col("rep").alias("u"), F.col("label").alias("v"))
     joined = components(wide).withColumnRenamed("node", "rep")  # only classes larger than a block need this
     found = found.join(joined, "rep", "left").select("rep", F.coalesce("least", "label").alias("label"), "links")
-    classes = reps.select("set_key", "rep", "copies").join(found, "rep", "left")
+    if repeats:  # a class is named by the least id in it
+        lows = found.join(reps.select("rep", "low"), "rep")
+        least = lows.groupBy("label").agg(F.min("low").alias("least"))
+        found = join_unique(lows, least, ["label"], "left").select("rep", F.col("least").alias("label"), "links")
+    classes = reps.select("set_key", "rep", "low", "copies").join(found, "rep", "left")
     classes = classes.select(
-        "set_key", F.coalesce("label", "rep").alias("label"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")
+        "set_key", F.coalesce("label", "low").alias("label"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")
     )
     return (
         sketches.select("doc_id", "set_key")
@@ -284,6 +302,18 @@ def near_duplicates(
     )
 
 
+def _with_key(n: int):
+    """set_key and text of every row with a word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in chunks(t.as_py() for t in batch.column(1)):
+                keys = [set_key(shingles(t, n)) for t in texts]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(texts, pa.string())], ["key", "text"])
+
+    return run
+
+
 def _repeats(sketches: DataFrame) -> bool:
     """Whether an id occurs more than once."""
     ids = sketches.select("doc_id").dropna()

@@ -44,15 +44,15 @@ class Tokens:
 
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
-        added = {x["content"] for x in model.get("added_tokens", [])}
+        added = {x["content"]: x["id"] for x in model.get("added_tokens", [])}
         byte = byte_symbols()
         ranks = {bytes(byte[c] for c in word): i for word, i in model["model"]["vocab"].items() if word not in added}
         self.path, self.slow = path, None
-        self.fast = tiktoken.Encoding("pieces", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        self.fast = tiktoken.Encoding("pieces", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=added)
 
     def encode(self, text: str) -> np.ndarray:
         try:
-            return self.fast.encode_to_numpy(text, disallowed_special=())
+            return self.fast.encode_to_numpy(text, allowed_special="all")  # added tokens stand for themselves
         except BaseException as error:  # the engine's panics are no Exceptions
             if isinstance(error, KeyboardInterrupt | SystemExit | MemoryError):
                 raise
@@ -60,7 +60,6 @@ class Tokens:
                 from tokenizers import Tokenizer
 
                 self.slow = Tokenizer.from_file(self.path)
-                self.slow.encode_special_tokens = True
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 

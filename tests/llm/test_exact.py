@@ -133,8 +133,7 @@ def test_packing_against_the_tokenizers_library(spark):
 
     path = vocabulary("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
-    texts = ["", "Hello world", "naïve café\n\n  x", "<|endoftext|> it's 123", "é" * 3_000, "a " * 5_000, " " * 40_000]
+    texts = ["", "Hello world", "naïve café\n\n  x", "<|endoftext|> it's 123", "hello <|endoftext|> world<|endoftext|><|endoftext", "<|endoftext|>", "é" * 3_000, "a " * 5_000, " " * 40_000]
     rows = [(i, t) for i, t in enumerate(texts * 3)]
     got = packing.pack(spark.createDataFrame(rows, SCHEMA).repartition(4), path).collect()
     whole = defaultdict(list)
@@ -187,3 +186,17 @@ def test_forgetting_changes_nothing(library, monkeypatch):
     texts = ["one two three", "four five six seven eight nine ten eleven", "one two", ""]
     for _ in range(2):
         assert [unpacked(x).tolist() for x in merger.encode(texts)] == library.encode(texts, add_bos=True, add_eos=True)
+
+
+def test_near_copies_with_repeated_ids(spark):
+    """Ids that stand for different texts: every row counts, and each text keeps its own links."""
+    a, b = "one two three four five six seven eight nine ten " * 4, "red green blue black white grey pink brown gold lilac " * 4
+    a, b = a + "alpha beta", b + "gamma delta"
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, "nothing like it at all here"), (1, a)]
+    out = ngram_join.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    got = sorted(map(tuple, out.collect()))
+    sets = [ngram_join.shingles(t, 5) for _, t in rows]
+    near = lambda i, j: len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.8
+    links = [sum(near(i, j) for j in range(len(rows)) if i != j) for i in range(len(rows))]
+    assert links == [2, 1, 2, 1, 0, 2]
+    assert got == sorted((r[0], 4 if r[0] == 4 else 1, n) for r, n in zip(rows, links))

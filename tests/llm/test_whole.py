@@ -67,6 +67,9 @@ def said(page):
         *((f"<p>One</p><{n}>Two</{n}><p>Three", "One Two Three") for n in ("object", "audio", "video")),
         ("<div><object><p>One</p></div><p>Two", "One Two"),
         ("<p>One<script>no<p>no", "One"),
+        ("<article><p title=\"x>One</p></article>", "One"),
+        ("<article><p>One</p><p title=\"x", "One"),
+        ("<article><p>1 < 2 and 3 > 2</p></article>", "1 < 2 and 3 > 2"),
     ],
 )
 def test_pages_that_leave_out_end_tags(page, text):

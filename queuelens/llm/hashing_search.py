@@ -4,31 +4,36 @@ Vectors get 64-bit codes by a rotation learned on a bounded sample (principal ax
 then iterative quantisation). A code is split into eight substrings, each indexed by
 its value. If two codes differ in at most r bits, some substring differs in at most
 r / 8, so probing the values that close in each index finds every code within r; the
-float vectors of those rank them. The radius is what ``RECALL`` of the true
-neighbours within the sample need.
+float vectors of those rank them.
 
-Every vector is indexed. Equal vectors are indexed once, with as many of their ids as
-a result can hold.
+Each query has its own radius: the least that takes in its best vectors of the sample.
+All of those are indexed, so no query finds fewer than it asks for, and what is nearer than
+they are is rarely further away in bits. A table no larger than the sample is searched exactly.
+
+Every vector is indexed, in blocks of like codes. A block is known by the values each substring takes in it; a
+query goes only to the blocks that can hold a code within its radius. Equal vectors are indexed
+once, with as many of their ids as a result can hold.
 """
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from queuelens.llm.common import least_places, stored
 
 BITS, PARTS = 64, 8
-#: Vectors the rotation and the radius are learned from at most, and queries among them.
-FIT_VECTORS, FIT_QUERIES = 20_000, 400
-#: Share of the sample's true neighbours the radius takes in.
-RECALL = 0.985
-#: Distinct vectors in one index, and distinct queries put to it at once.
-INDEX_ROWS, QUERY_ROWS = 16_384, 4_096
+#: Vectors the rotation is learned from, and that set the radius of each query, at most.
+FIT_VECTORS = 20_000
+#: Distinct vectors in one block of the index about, distinct queries put to it at once, blocks looked through at once.
+INDEX_ROWS, QUERY_ROWS, BLOCKS = 16_384, 4_096, 4_096
+#: Queries compared with the sample at once.
+_AIMED = 128
 
 _NEAR = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
 
@@ -40,7 +45,6 @@ class Codes:
     norm: float
     center: np.ndarray
     rotation: np.ndarray
-    radius: int = BITS
 
     def of_items(self, x: np.ndarray) -> np.ndarray:
         rest = np.sqrt(np.maximum(self.norm**2 - (x**2).sum(1), 0))
@@ -54,8 +58,8 @@ class Codes:
         return np.packbits((x - self.center) @ self.rotation > 0, axis=1)
 
 
-def learn(sample: np.ndarray, norm: float, k: int) -> Codes:
-    """Rotation and radius from sampled vectors."""
+def learn(sample: np.ndarray, norm: float) -> Codes:
+    """Rotation from sampled vectors."""
     items = np.column_stack((sample, np.sqrt(np.maximum(norm**2 - (sample**2).sum(1), 0))))
     center = items.mean(0)
     axes = np.linalg.eigh(np.cov((items - center).T, bias=True) if len(items) > 1 else np.eye(items.shape[1]))[1][:, ::-1]
@@ -67,14 +71,19 @@ def learn(sample: np.ndarray, norm: float, k: int) -> Codes:
             left, _, right = np.linalg.svd(np.sign(turned @ turn).T @ turned)
             turn = (left @ right).T
         columns.append(axes @ turn)
-    codes = Codes(norm, center, np.column_stack(columns)[:, :BITS])
-    asked = sample[:: max(1, len(sample) // FIT_QUERIES)][:FIT_QUERIES]
-    scores = asked @ sample.T
-    nearest = np.argsort(-scores, 1)[:, : k + 1]
-    words, own = codes.of_items(sample), codes.of_queries(asked)
-    away = np.bitwise_count(words[nearest] ^ own[:, None, :]).sum(2)
-    codes.radius = int(np.quantile(away, RECALL, method="higher"))
-    return codes
+    return Codes(norm, center, np.column_stack(columns)[:, :BITS])
+
+
+def radii(asked: np.ndarray, own: np.ndarray, sample: np.ndarray, words: np.ndarray, most: int) -> np.ndarray:
+    """For each query the bits by which the ``most`` best vectors of the sample differ from it at most."""
+    most = min(most, len(sample))
+    best = np.argpartition(-(asked @ sample.T), most - 1, axis=1)[:, :most]
+    return np.bitwise_count(words[best] ^ own[:, None, :]).sum(2).max(1)
+
+
+def _probe(radius: int, part: int) -> int:
+    """How far substring ``part`` is probed. Were every substring further away, the codes were beyond the radius."""
+    return radius // PARTS - (part > radius % PARTS)
 
 
 class MultiIndex:
@@ -89,7 +98,9 @@ class MultiIndex:
         """All rows whose code is at most ``radius`` bits away."""
         hit = np.zeros(len(self.codes), bool)
         for p in range(PARTS):
-            values = np.flatnonzero(_NEAR[code[p]] <= radius // PARTS)
+            values = np.flatnonzero(_NEAR[code[p]] <= _probe(radius, p))
+            if not len(values):
+                continue
             first, size = self.starts[p][values], self.starts[p][values + 1] - self.starts[p][values]
             ends = np.cumsum(size)
             hit[self.rows[p][np.repeat(first - ends + size, size) + np.arange(ends[-1])]] = True
@@ -97,11 +108,37 @@ class MultiIndex:
         return rows[np.bitwise_count(self.codes[rows] ^ code).sum(1) <= radius]
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks()
+def may_hold(present: list[list[np.ndarray]], codes: np.ndarray, radii: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of query and block such that the block can hold a code within the radius.
+
+    ``present`` has for each substring and block the values it takes there. The distance to the nearest of
+    them spreads over the 256 values bit by bit; summed over the substrings it is a bound from below.
+    """
+    bound = np.zeros((len(codes), len(present[0])), np.int64)
+    for p, blocks in enumerate(present):
+        away = np.full((len(blocks), 256), BITS, np.int64)
+        for row, values in enumerate(blocks):
+            away[row, values] = 0
+        for bit in range(8):
+            away = np.minimum(away, away[:, np.arange(256) ^ (1 << bit)] + 1)
+        bound += away[:, codes[:, p]].T
+    return np.nonzero(bound <= radii[:, None])
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
+def _bytes(column: pa.ChunkedArray) -> np.ndarray:
+    """Codes kept as longs, as rows of eight bytes, the lowest first."""
+    return column.to_numpy().astype("<i8").view(np.uint8).reshape(-1, PARTS)
+
+
+def _longs(codes: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(codes).view("<i8").ravel(), pa.int64())
+
+
 def nearest(
     vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
@@ -111,7 +148,8 @@ def nearest(
     product in double precision, ties go to the smaller id. Vectors that are null, zero,
     of another length than most, or hold a null, NaN or infinite component take no part, nor do
     rows with a null id; so an empty or unusable table gives no rows. Rows with a
-    repeated id count as often as they occur. Other columns are not read.
+    repeated id count as often as they occur. Other columns are not read. A query gets ``k`` rows
+    wherever there are as many candidates.
     """
     spark = vectors.sparkSession
 
@@ -148,33 +186,85 @@ def nearest(
     wanted = wanted.select(F.col("class").alias("asking"), F.col("vector").alias("question"))
     places = distinct.select("class", "vector", F.xxhash64("class").alias("place"))
     sample = least_places(places, "place", FIT_VECTORS, "class").select("vector").collect()
-    codes = learn(np.array([row["vector"] for row in sample]), float(np.sqrt(most["square"])), k)
+    sample = np.array([row["vector"] for row in sample])
+    learned = learn(sample, float(np.sqrt(most["square"])))
+    shared = spark.sparkContext.broadcast((learned.norm, learned.center, learned.rotation))
+    # Single precision: it only chooses a radius.
+    aims = spark.sparkContext.broadcast((sample.astype(np.float32), learned.of_items(sample)))
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes(*shared.value)
+        for batch in batches:
+            words = codes.of_items(_matrix(batch["vector"])) if batch.num_rows else np.zeros((0, PARTS), np.uint8)
+            yield pa.RecordBatch.from_arrays([batch["class"], batch["vector"], _longs(words)], ["class", "vector", "code"])
+
+    def aimed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes(*shared.value)
+        for whole in batches:
+            for start in range(0, whole.num_rows, _AIMED):
+                batch = whole.slice(start, _AIMED)
+                asked = _matrix(batch["question"])
+                own = codes.of_queries(asked)
+                far = radii(asked.astype(np.float32), own, *aims.value, k + 1)
+                yield pa.RecordBatch.from_arrays(
+                    [batch["asking"], batch["question"], _longs(own), pa.array(far, pa.int32())], ["asking", "question", "code", "radius"]
+                )
+
+    # Blocks are fixed by writing them; many vectors of one code fall into several.
+    items = distinct.select("class", "vector").mapInArrow(coded, "class bigint, vector array<double>, code bigint")
     indexes = ceil(distinct.count() / INDEX_ROWS)
-    rounds = max(1, ceil(wanted.count() / QUERY_ROWS))
-    shared = spark.sparkContext.broadcast(codes)
+    items = stored(
+        items.repartitionByRange(indexes, "code", F.xxhash64("class")).withColumn("block", F.spark_partition_id().cast("long")), "search-index"
+    )
+    wanted = stored(
+        wanted.mapInArrow(aimed, "asking bigint, question array<double>, code bigint, radius int"), "search-questions"
+    )
+    values = [F.collect_set(F.shiftrightunsigned("code", 8 * p).bitwiseAND(255)).alias(f"part{p}") for p in range(PARTS)]
+    rounds, groups = max(1, ceil(wanted.count() / QUERY_ROWS)), ceil(indexes / BLOCKS)
+
+    def meet(summaries: pa.Table, questions: pa.Table) -> pa.Table:
+        asking, blocks = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if summaries.num_rows and questions.num_rows:
+            present = [[np.array(v, np.int64) for v in summaries[f"part{p}"].to_pylist()] for p in range(PARTS)]
+            rows, places = may_hold(present, _bytes(questions["code"]), questions["radius"].to_numpy())
+            asking, blocks = questions["asking"].to_numpy()[rows], summaries["block"].to_numpy()[places]
+        return pa.table([pa.array(asking, pa.int64()), pa.array(blocks, pa.int64())], ["asking", "block"])
+
+    def each(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    summaries = items.groupBy("block").agg(*values).withColumn("many", F.floor(F.col("block") / BLOCKS)).select("*", each(rounds).alias("round"))
+    turn = F.pmod(F.xxhash64("asking"), F.lit(rounds)).alias("to_round")
+    met = stored(
+        summaries.groupBy("many", "round")
+        .cogroup(wanted.select("asking", "code", "radius", turn, each(groups).alias("to_many")).groupBy("to_many", "to_round"))
+        .applyInArrow(meet, "asking bigint, block bigint"),
+        "search-meetings",
+    )
 
     def search(index: pa.Table, questions: pa.Table) -> pa.Table:
         found: list[tuple[int, int, float]] = []
         if index.num_rows and questions.num_rows:
-            items, own = _matrix(index["vector"]), _matrix(questions["question"])
-            table = MultiIndex(shared.value.of_items(items))
+            vectors, own = _matrix(index["vector"]), _matrix(questions["question"])
+            table = MultiIndex(_bytes(index["code"]))
             names = index["class"].to_numpy()
-            for name, vector, code in zip(questions["asking"].to_pylist(), own, shared.value.of_queries(own)):
-                rows = table.within(code, shared.value.radius)
-                scores = items[rows] @ vector
+            radius = questions["radius"].to_pylist()
+            for name, vector, code, far in zip(questions["asking"].to_pylist(), own, _bytes(questions["code"]), radius):
+                rows = table.within(code, far)
+                scores = vectors[rows] @ vector
                 best = np.lexsort((names[rows], -scores))[: k + 1]
                 found += zip([name] * len(best), names[rows[best]].tolist(), scores[best].tolist())
         asking, classes, scores = zip(*found) if found else ((), (), ())
         return pa.table([pa.array(asking, pa.int64()), pa.array(classes, pa.int64()), pa.array(scores, pa.float64())], ["asking", "class", "score"])
 
-    # Each index meets each block of queries; only the k + 1 best of each leave the task.
-    own = F.pmod(F.xxhash64("class"), F.lit(indexes)).alias("index")
-    turn = F.pmod(F.xxhash64("asking", F.lit(1)), F.lit(rounds)).alias("to_round")
-    index = distinct.select("class", "vector", own, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rounds - 1).cast("long"))).alias("round"))
-    blocks = wanted.select("asking", "question", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(indexes - 1).cast("long"))).alias("to_index"), turn)
+    # A block meets its queries in as many rounds as they fill; only the k + 1 best of each leave the task.
+    turns = met.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).alias("rounds"))
+    index = items.join(turns, "block").select("class", "vector", "code", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rounds") - 1)).alias("round"))
+    blocks = met.join(turns, "block").join(wanted, "asking")
+    blocks = blocks.select("asking", "question", "code", "radius", F.col("block").alias("to_block"), F.pmod(F.xxhash64("asking", F.lit(1)), F.col("rounds")).alias("to_round"))
     found = (
-        index.groupBy("index", "round")
-        .cogroup(blocks.groupBy("to_index", "to_round"))
+        index.groupBy("block", "round")
+        .cogroup(blocks.groupBy("to_block", "to_round"))
         .applyInArrow(search, "asking bigint, class bigint, score double")
     )
     best = W.partitionBy("asking").orderBy(F.desc("score"), "vec_id")

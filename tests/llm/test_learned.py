@@ -132,6 +132,38 @@ def test_every_code_within_the_radius_is_found():
             assert index.within(code, radius).tolist() == np.flatnonzero(away <= radius).tolist()
 
 
+def test_queries_far_from_all_others_find_as_many(spark, monkeypatch):
+    monkeypatch.setattr(hashing_search, "FIT_VECTORS", 600)
+    monkeypatch.setattr(hashing_search, "INDEX_ROWS", 150)
+    monkeypatch.setattr(hashing_search, "QUERY_ROWS", 20)
+    monkeypatch.setattr(hashing_search, "BLOCKS", 4)
+    r = np.random.default_rng(10)
+    near = r.normal(size=24) + 0.05 * r.normal(size=(2_000, 24))
+    spread = r.normal(size=(120, 24)) * 0.4
+    second = 2 * r.normal(size=24) + 0.2 * r.normal(size=(400, 24))
+    x = np.concatenate((near, spread, second))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>").repartition(4)
+    asked = [*range(0, 2_000, 100), *range(2_000, 2_120, 2), *range(2_120, 2_520, 20)]
+    got = {}
+    for q in hashing_search.nearest(df, df.filter(df.vec_id.isin(asked))).collect():
+        got.setdefault(q["query_id"], set()).add(q["vec_id"])
+    assert {i: len(v) for i, v in got.items()} == dict.fromkeys(asked, 20)
+    for kind in (range(2_000), range(2_000, 2_120), range(2_120, 2_520)):
+        hits = [len(got[i] & set((np.argsort(-(x @ x[i] - 1e9 * (np.arange(len(x)) == i)), kind="stable")[:20]).tolist())) for i in asked if i in kind]
+        assert np.mean(hits) >= 0.9 * 20
+
+
+def test_blocks_left_out_hold_no_code_within_the_radius():
+    r = np.random.default_rng(11)
+    blocks = [r.integers(0, 256, 8) ^ (r.random((40, 8, 8)) < 0.06) @ (1 << np.arange(8)) for _ in range(30)]
+    codes = np.concatenate([b[:2] for b in blocks]) ^ (r.random((60, 8, 8)) < 0.05) @ (1 << np.arange(8))
+    radii = r.integers(0, 24, 60)
+    present = [[np.unique(b[:, p]) for b in blocks] for p in range(8)]
+    met = set(zip(*(v.tolist() for v in hashing_search.may_hold(present, codes, radii))))
+    holding = {(i, j) for i, c in enumerate(codes) for j, b in enumerate(blocks) if (np.bitwise_count(b ^ c).sum(1) <= radii[i]).any()}
+    assert holding <= met and len(met) < 60 * 30 / 2
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><a href=/>Site</a></header>
 <nav><ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul></nav><div class="cookie-notice">We use cookies.</div>
 <article><h1>Fish &amp; chips</h1><p>First <b>bold</b>

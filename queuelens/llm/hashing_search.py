@@ -32,6 +32,8 @@ BITS, PARTS = 64, 8
 FIT_VECTORS = 20_000
 #: Distinct vectors in one block of the index about, distinct queries put to it at once, blocks looked through at once.
 INDEX_ROWS, QUERY_ROWS, BLOCKS = 16_384, 4_096, 4_096
+#: Ranges of codes the blocks are cut by at most; beyond, each range is dealt into several blocks.
+RANGES = 512
 #: Queries compared with the sample at once.
 _AIMED = 128
 
@@ -192,11 +194,22 @@ def nearest(
     # Single precision: it only chooses a radius.
     aims = spark.sparkContext.broadcast((sample.astype(np.float32), learned.of_items(sample)))
 
+    # Ends of equal shares of the sample's codes. A code that is several ends falls into the blocks between them.
+    indexes = ceil(distinct.count() / INDEX_ROWS)
+    ranges = min(indexes, RANGES)
+    deals = ceil(indexes / ranges)
+    ordered = np.sort(aims.value[1].view("<i8").ravel())
+    ends = ordered[len(ordered) * np.arange(1, ranges) // ranges]
+
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes(*shared.value)
         for batch in batches:
             words = codes.of_items(_matrix(batch["vector"])) if batch.num_rows else np.zeros((0, PARTS), np.uint8)
-            yield pa.RecordBatch.from_arrays([batch["class"], batch["vector"], _longs(words)], ["class", "vector", "code"])
+            longs, deal = np.ascontiguousarray(words).view("<i8").ravel(), batch["deal"].to_numpy()
+            first, last = np.searchsorted(ends, longs, "left"), np.searchsorted(ends, longs, "right")
+            block = (first + deal % (last - first + 1)) * deals + deal // 65_536 % deals
+            columns = [batch["class"], batch["vector"], pa.array(longs, pa.int64()), pa.array(block, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["class", "vector", "code", "block"])
 
     def aimed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes(*shared.value)
@@ -210,17 +223,14 @@ def nearest(
                     [batch["asking"], batch["question"], _longs(own), pa.array(far, pa.int32())], ["asking", "question", "code", "radius"]
                 )
 
-    # Blocks are fixed by writing them; many vectors of one code fall into several.
-    items = distinct.select("class", "vector").mapInArrow(coded, "class bigint, vector array<double>, code bigint")
-    indexes = ceil(distinct.count() / INDEX_ROWS)
-    items = stored(
-        items.repartitionByRange(indexes, "code", F.xxhash64("class")).withColumn("block", F.spark_partition_id().cast("long")), "search-index"
-    )
+    deal = F.pmod(F.xxhash64("class", F.lit(2)), F.lit(2**40)).alias("deal")
+    shape = "class bigint, vector array<double>, code bigint, block bigint"
+    items = stored(distinct.select("class", "vector", deal).mapInArrow(coded, shape), "search-index")
     wanted = stored(
         wanted.mapInArrow(aimed, "asking bigint, question array<double>, code bigint, radius int"), "search-questions"
     )
     values = [F.collect_set(F.shiftrightunsigned("code", 8 * p).bitwiseAND(255)).alias(f"part{p}") for p in range(PARTS)]
-    rounds, groups = max(1, ceil(wanted.count() / QUERY_ROWS)), ceil(indexes / BLOCKS)
+    rounds, groups = max(1, ceil(wanted.count() / QUERY_ROWS)), ceil(ranges * deals / BLOCKS)
 
     def meet(summaries: pa.Table, questions: pa.Table) -> pa.Table:
         asking, blocks = np.zeros(0, np.int64), np.zeros(0, np.int64)

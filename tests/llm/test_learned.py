@@ -273,3 +273,29 @@ def test_licence_scan_against_the_plain_version(spark, sf_dir):
 def test_unknown_licences_are_not_named(spark, line):
     docs = spark.createDataFrame([(1, line)], "doc_id bigint, text string")
     assert {r["family"] for r in licenses.scan(docs, licenses.train(docs)).collect()} <= {"unknown"}
+
+
+STATED = {
+    "MIT licence": "mit",
+    "Permission is hereby granted, free of charge, to any person": "mit",
+    "CC Attribution-NoDerivatives 4.0": "cc-by-nd",
+    "Licensed under CC BY-NC 4.0.": "cc-by-nc",
+    "CC BY-SA 4.0": "cc-by-sa",
+    "Redistributions in binary form must reproduce the above copyright notice": "bsd",
+    "Copyright 2019 X. All rights reserved.": "proprietary",
+    "This file is licensed under the Apache License, Version 2.0": "apache-2.0",
+    "This work is licensed under the GNU General Public License, version 3.": "gpl-3.0",
+    "Licensed under the Foo Bar License 2.1.": "unknown",
+    "Released under the EUPL, version 1.2": "unknown",
+}
+UNSTATED = ["Of.", "The.", "To.", "As.", "Was.", "Mit und.", "This is.", "You may.", "A driver needs a license to drive.", "Under the bridge.", "Any person.", ""]
+
+
+def test_licence_lines_by_hand(spark, sf_dir):
+    """Lines written apart from the templates, one text each, and all in one text."""
+    model = licenses.train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    lines = [*STATED, *UNSTATED]
+    docs = spark.createDataFrame([*enumerate(lines), (100, "\n".join(lines))], "doc_id bigint, text string")
+    found = {(r["doc_id"], r["paragraph"]): r["family"] for r in licenses.scan(docs, model).collect()}
+    want = dict(enumerate(STATED.values()))
+    assert found == {(i, 0): f for i, f in want.items()} | {(100, i): f for i, f in want.items()}

@@ -292,7 +292,7 @@ UNSTATED = ["Of.", "The.", "To.", "As.", "Was.", "Mit und.", "This is.", "You ma
 
 
 def test_licence_lines_by_hand(spark, sf_dir):
-    """Lines written apart from the templates, one text each, and all in one text."""
+    """Lines by hand, one text each, and all in one text. Several are templates or ordinary examples themselves, so this is no held-out precision."""
     model = licenses.train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     lines = [*STATED, *UNSTATED]
     docs = spark.createDataFrame([*enumerate(lines), (100, "\n".join(lines))], "doc_id bigint, text string")

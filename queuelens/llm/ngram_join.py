@@ -24,11 +24,11 @@ from queuelens.operators.skew import join_unique
 
 #: Splits after which a bucket is compared whatever its size.
 DEPTH = 4
-#: Sets in a bucket that is not split further; larger ones at full depth are compared in parts of this size.
+#: Sets in a bucket that is not split further; larger ones at full depth are compared in parts of this size first.
 SMALL = 64
 #: A pair goes on to exact comparison if this share of its sketch agrees; 0.8 is 4 deviations away.
 SLACK = 0.2
-#: Texts compared with as many others in one task.
+#: Texts, or sketches of a crowded bucket, compared with as many others in one task.
 BLOCK = 512
 #: Columns of the comparison held at once.
 WIDTH = 4096
@@ -161,7 +161,6 @@ def _tied(least: float):
 
 def _candidates(reps: DataFrame, runs: int, least: float) -> DataFrame:
     """u, v: links that tie together, per bucket, whatever its sketches bring together."""
-    spark = reps.sparkSession
     rows = reps.select("rep", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"), "sketch").select(
         "rep", "run", F.slice("sketch", F.col("run") * DEPTH + 1, DEPTH).alias("tokens")
     )
@@ -173,22 +172,58 @@ def _candidates(reps: DataFrame, runs: int, least: float) -> DataFrame:
         leaf = rows if depth == DEPTH else rows.filter(F.col("n") <= SMALL)
         leaf = leaf.select("path", "rep", "n", "low", "high")
         leaves = leaf if leaves is None else leaves.union(leaf)
-        rows = rows.filter(F.col("n") > SMALL).select("rep", "run", "tokens")
+        rows = rows.filter(F.col("n") > SMALL).select("rep", "run", "tokens", "path")
     # A bucket too large at full depth is dealt out; its two pivots go to every part.
     parts = F.ceil(F.col("n") / SMALL).cast("int")
     own = F.array(F.pmod(F.xxhash64("rep", "path"), parts).cast("int"))
     part = F.when(F.col("rep").isin(F.col("low"), F.col("high")), F.sequence(F.lit(0), parts - 1)).otherwise(own)
-    leaves = leaves.select("path", "rep", F.explode(part).alias("part"))
     sketches = reps.select("rep", "sketch")
-    buckets = leaves.join(sketches, "rep").select("path", "part", "rep", "sketch")
+    found = _links(leaves.select("path", "rep", F.explode(part).alias("part")), sketches, least)
+    crowded = rows.select("path", "rep")
+    if crowded.isEmpty():
+        return found
+    known = stored(components(found).select(F.col("node").alias("u"), F.col("least").alias("v")), "join-known")
+    return known.union(_links(_untied(crowded, known), sketches, least))
+
+
+def _links(members: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """u, v: spanning links within each part of each bucket (path, rep, part), all of its sketches compared."""
     return (
-        buckets.repartition("path", "part")
+        members.join(sketches, "rep")
+        .select("path", "part", "rep", "sketch")
+        .repartition("path", "part")
         .sortWithinPartitions("path", "part", "rep")
         .mapInArrow(_tied(least), "u bigint, v bigint")
         .distinct()
     )
 
 
+def _untied(crowded: DataFrame, known: DataFrame) -> DataFrame:
+    """path, rep, part: every two sets of a bucket that ``known`` (u, v: a set and its class) does not tie meet in a part.
+
+    What most of a bucket is tied to needs no comparison within. Those sets are dealt into blocks, the others
+    into further blocks, and each of the latter meets all. So a bucket of near copies costs its size
+    times the few that stand apart; only one whose sets are all apart costs the square of its size, over many tasks.
+    """
+    label = F.coalesce("v", "rep").alias("label")
+    labelled = stored(crowded.join(known, crowded["rep"] == known["u"], "left").select("path", "rep", label), "crowded")
+    sizes = labelled.groupBy("path", "label").agg(F.count(F.lit(1)).alias("size"))
+    largest = F.max(F.struct("size", "label")).alias("largest")
+    buckets = sizes.groupBy("path").agg(F.sum("size").alias("n"), largest).filter("n > largest.size")
+    buckets = stored(buckets.select("path", F.col("largest.label").alias("most"), "n", "largest.size"), "crowded-sizes")
+    side = F.broadcast(buckets) if fits_broadcast(buckets, BROADCAST_ROWS) else buckets
+    blocks = {"together": F.ceil(F.col("size") / BLOCK), "apart": F.ceil((F.col("n") - F.col("size")) / BLOCK)}
+    tied, place = F.col("label") == F.col("most"), F.xxhash64("rep", "path")
+    block = F.when(tied, F.pmod(place, "together")).otherwise(F.col("together") + F.pmod(place, "apart"))
+    others = F.sequence(F.when(tied, F.col("together")).otherwise(F.lit(0).cast("long")), F.col("together") + F.col("apart") - 1)
+    return (
+        labelled.join(side, "path")
+        .withColumns(blocks)
+        .select("path", "rep", block.alias("block"), F.explode(others).alias("other"))
+        .select("path", "rep", (F.shiftleft(F.least("block", "other"), 32) + F.greatest("block", "other")).alias("part"))
+    )
+
+
 def jaccard(sets: list[np.ndarray]) -> np.ndarray:
     """Exact Jaccard similarity of all pairs, by products of blocks of shared columns."""
     sizes = np.array([len(s) for s in sets])

@@ -200,3 +200,18 @@ def test_near_copies_with_repeated_ids(spark):
     links = [sum(near(i, j) for j in range(len(rows)) if i != j) for i in range(len(rows))]
     assert links == [2, 1, 2, 1, 0, 2]
     assert got == sorted((r[0], 4 if r[0] == 4 else 1, n) for r, n in zip(rows, links))
+
+
+@pytest.mark.parametrize("block", [8, 512])
+def test_crowded_buckets_lose_no_pair(spark, monkeypatch, block):
+    """Sets that share a full path, in pairs that agree elsewhere too: no pivot and no common part tells of them."""
+    monkeypatch.setattr(ngram_join, "SMALL", 4)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rows, runs = [], 2
+    for i in range(120):
+        pair = i // 2 if i < 80 else 1_000  # and one class of forty
+        rows.append((i, [1, 2, 3, 4] + [10_000 + i] + [pair * 10 + k for k in range(3)]))
+    reps = spark.createDataFrame(rows, "rep bigint, sketch array<int>")
+    links = ngram_join._candidates(reps, runs, 0.6)
+    got = {r["node"]: r["least"] for r in components(links).collect()}
+    assert got == {i: i // 2 * 2 if i < 80 else 80 for i in range(120)}

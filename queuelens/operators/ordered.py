@@ -121,6 +121,16 @@ class Ordered:
 
         return self._add(name, lambda window: top.over(window.rowsBetween(*_SO_FAR)), segmented)
 
+    def running_min(self, name: str, value: Column) -> "Ordered":
+        least = F.min(value)
+
+        def segmented(window):
+            here = least.over(window.rowsBetween(*_SO_FAR))
+            carried = self._with_carry(least, lambda before: F.min("_carry").over(before))
+            return carried.withColumn(name, F.least(here, "_carry"))
+
+        return self._add(name, lambda window: least.over(window.rowsBetween(*_SO_FAR)), segmented)
+
     def trailing(self, name: str, aggregate: Column, at: str, span: int) -> "Ordered":
         """``aggregate`` over the rows of the group whose ``at`` lies up to ``span`` before, and those of equal ``at``.
 

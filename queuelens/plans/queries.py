@@ -12,7 +12,7 @@ from queuelens.operators import addresses, alarm, depth, lifecycle, limits, logs
 from queuelens.operators.skew import ROWS_PER_TASK
 from queuelens.plans import tables as t
 from queuelens.schemas import ENVELOPE
-from queuelens.session import configure, scratch, stored
+from queuelens.session import configure, is_small, scratch, stored
 from queuelens.sources import generator, log_store, sinks
 from queuelens.sources.messages import read_log, read_messages, stream_messages
 from queuelens.sources.polls import MOST_PER_POLL, POLLED, stream_polls
@@ -233,14 +233,15 @@ def constraint_check(spark, sf_dir):
 @query
 def address_ranges(spark, sf_dir):
     """Blocks of customers: whether they are valid, and how many allowed ranges they overlap and lie within."""
-    checked = rules.check_rows(t.address_blocks(spark, sf_dir), [addresses.valid_block("block")])
+    checked = rules.check_rows(t.address_blocks(spark, sf_dir).repartition("c_custkey"), [addresses.valid_block("block")])
     found = checked.withColumn("range", addresses.address_range(F.col("block"))).select("c_custkey", "block", "is_valid", "range.low", "range.high")
-    met = addresses.overlaps(found.filter("is_valid").select("c_custkey", "low", "high"), t.allowed_ranges(spark, sf_dir))
-    counts = met.groupBy("c_custkey").agg(
-        F.count("*").alias("overlapping"), F.count_if("contained").alias("containing"), F.min("range_s_suppkey").alias("first_range")
-    )
+    found = stored(found, "blocks")
+    counts = addresses.overlap_counts(found.filter("is_valid"), t.allowed_ranges(spark, sf_dir), "s_suppkey")
+    counts = counts.withColumnRenamed("first", "first_range").withColumn("is_valid", F.lit(True))
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("overlapping", "containing")}
-    return found.drop("low", "high").join(counts, "c_custkey", "left").withColumns(zero)
+    side = F.broadcast(counts) if is_small(counts, addresses.BROADCAST_ROWS) else counts
+    same = ["is_valid", "low", "high"]
+    return found.join(side, same, "left").select("c_custkey", "block", "is_valid", "overlapping", "containing", "first_range").withColumns(zero)
 
 
 @query

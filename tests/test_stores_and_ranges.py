@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from queuelens.functions import handlers
 from queuelens.operators import addresses, logs, retention, rules
 from queuelens.operators.retention import RetentionRule
@@ -148,6 +149,41 @@ def test_overlaps_against_all_pairs(spark, monkeypatch, broadcast_rows):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("rows_per_task", [None, 20])
+def test_overlap_counts_against_all_pairs(spark, rows_per_task):
+    rng = random.Random(9)
+
+    def some(n):
+        lows = [rng.choice([0, 2**32 - 1, 2**31, rng.randrange(2**32), rng.randrange(2**12)]) for _ in range(n)]
+        return [(k, a, min(2**32 - 1, a + rng.choice([0, 1, 255, rng.randrange(2 ** rng.randint(1, 32))]))) for k, a in enumerate(lows)]
+
+    rows, table = some(60) + [(60, 0, 2**32 - 1)], some(50) + [(50, 0, 2**32 - 1), (51, 5, 5), (51, 5, 5), (None, 5, 9)]
+    odd = [(500, None, 3), (501, 9, 3), (502, -1, 3), (503, 0, 2**32)]
+    df = spark.createDataFrame(rows + rows[:5] + odd, "id int, low bigint, high bigint")
+    ranges = spark.createDataFrame(table + odd, "id int, low bigint, high bigint")
+    want = set()
+    for _, a, b in rows:
+        met = [(k, c, d) for k, c, d in table if a <= d and c <= b]
+        if met:
+            first = min((k for k, _, _ in met if k is not None), default=None)
+            want.add((a, b, len(met), sum(c <= a and b <= d for _, c, d in met), first))
+    got = addresses.overlap_counts(df, ranges, "id", rows_per_task).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_address_ranges_makes_no_pairs(spark, tmp_path):
+    """All blocks and all ranges meet: what the query writes down grows with their number, not with its square."""
+    written = []
+    for n in (200, 800):
+        spark.range(50, 50 * n + 1, 50).withColumnRenamed("id", "c_custkey").write.parquet(f"{tmp_path}/{n}/customer.parquet")
+        spark.range(n).withColumnRenamed("id", "s_suppkey").write.parquet(f"{tmp_path}/{n}/supplier.parquet")
+        plan = queries()["address_ranges"](spark, f"{tmp_path}/{n}")
+        assert plan.count() == n
+        assert "_bin" not in plan._jdf.queryExecution().toString()
+        written.append(plan.agg(F.sum("overlapping")).first()[0])
+    assert written[1] > 8 * written[0]  # so many pairs there would be
+
+
 def deep(n, problem):
     if n:
         deep(n - 1, problem)

@@ -536,9 +536,9 @@ def queue_names(spark, sf_dir):
 
 @query
 def bounded_polls(spark, sf_dir):
-    """Every message by polls of ten; ``bounded`` tells that its poll held no more."""
+    """Every message by polls of ten, a hundred by each consumer in a micro-batch; ``bounded`` tells that its poll held no more."""
     src, out = _stored_envelopes(spark, sf_dir), scratch(spark, "polled")
-    stream = stream_polls(spark, src, MOST_PER_POLL, consumers=1_000)
+    stream = stream_polls(spark, src, MOST_PER_POLL, consumers=1_000, rounds=100)
     query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "checkpoint")).start()
     try:
         query.processAllAvailable()

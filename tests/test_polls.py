@@ -78,6 +78,31 @@ def test_a_micro_batch_that_was_not_committed_replays_exactly(spark):
     assert max(map(len, seen.values())) == 2
 
 
+def test_rounds_make_fewer_micro_batches_of_the_same_polls(spark):
+    src = scratch(spark, "src")
+    put(spark, src, 0, 23)
+    put(spark, src, 23, 9)
+    seen = []
+    for rounds, want in ((1, [6, 6, 6, 5, 6, 3]), (3, [18, 14]), (50, [32])):
+        out = scratch(spark, "out")
+        assert ran(stream_polls(spark, src, 3, 2, rounds), out, scratch(spark, "checkpoint")) == want
+        seen.append(Counter((r["message_id"], r["poll"].split(":")[1], r["place"]) for r in spark.read.parquet(out).collect()))
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == 32
+
+
+def test_planning_takes_no_longer_for_more_polls(monkeypatch):
+    """A backlog of a thousand million messages is a handful of parts, each told by two numbers."""
+    monkeypatch.setattr(PollReader, "_behind", lambda self, start: [(1, "a"), (2, "b")])
+    monkeypatch.setattr(PollReader, "_length", lambda self, path: 10**9)
+    reader = PollReader({"path": "/nowhere", "messagesperpoll": "10", "consumers": "1000", "rounds": "150000", "tasks": "4"})
+    start, end = reader.initialOffset(), reader.latestOffset()
+    assert end == {"time": 2, "file": "b", "row": 5 * 10**8}
+    parts = reader.partitions(start, end)
+    assert [(p.path, p.first, p.last) for p in parts] == [("a", k, min(k + 375 * 10**6, 10**9)) for k in range(0, 10**9, 375 * 10**6)] + [
+        ("b", 0, 375 * 10**6), ("b", 375 * 10**6, 5 * 10**8)
+    ]
+
+
 def test_only_1_to_10_messages(spark):
     for n, consumers in ((0, 1), (11, 1), (3, 0)):
         with pytest.raises(ValueError):

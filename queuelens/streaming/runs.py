@@ -79,27 +79,21 @@ def numbered(receives: DataFrame, ttl_s: int, rows_per_task: int | None) -> Data
 
 
 def summaries(rows: DataFrame) -> DataFrame:
-    """One summary per message and stretch, from ``numbered`` rows. Two reductions, partial first."""
-    runs = rows.groupBy(*PLACE, "run").agg(
-        F.min("received_at").alias("first_at"),
-        F.max("received_at").alias("last_at"),
-        F.max("number").alias("failures"),
-        F.max("success").alias("closed"),
-    )
-    last = F.max(F.struct("run", "failures", "closed"))
+    """One summary per message and stretch, from ``numbered`` rows. A success is the last of its run, so the last run ends in the greatest row."""
+    last = F.max(F.struct("run", "number", "success"))
     return (
-        runs.groupBy(*PLACE)
+        rows.groupBy(*PLACE)
         .agg(
-            F.min("first_at").alias("first_at"),
-            F.max("last_at").alias("last_at"),
+            F.min("received_at").alias("first_at"),
+            F.max("received_at").alias("last_at"),
             last.alias("_last"),
         )
         .select(
             *PLACE,
             "first_at",
             "last_at",
-            ((F.col("_last.run") > 0) | F.col("_last.closed")).alias("broken"),
-            F.when(F.col("_last.closed"), 0).otherwise(F.col("_last.failures")).cast("bigint").alias("tail"),
+            ((F.col("_last.run") > 0) | F.col("_last.success")).alias("broken"),
+            F.when(F.col("_last.success"), 0).otherwise(F.col("_last.number")).cast("bigint").alias("tail"),
         )
     )
 
@@ -140,17 +134,20 @@ def retry_sink(
         known = receives.read(before=batch_id + 1)
         new = known.filter(F.col("batch_id") == batch_id)
         known = known.drop("batch_id")
-        touched = stored(new.select(*PLACE).distinct(), "touched")
+        touched = new.select(*PLACE).distinct()
 
-        there = stored(known.join(touched, PLACE, "left_semi"), "receives")
         # One look for huge messages; without any, plain windows do.
-        limit = rows_per_task if hot_groups(there, MESSAGE, rows_per_task) else None
+        limit = rows_per_task if hot_groups(known, MESSAGE, rows_per_task) else None
+        there = known.join(touched, PLACE, "left_semi")
+        there = stored(there, "receives") if limit else there  # several passes then
         again = stored(numbered(there, ttl_s, limit), "numbered")
         found.write(summaries(again), batch_id)
 
-        # Carries before and after, of the messages in question.
-        messages = touched.select(*MESSAGE).distinct()
-        of = found.read(before=batch_id + 1).join(messages, MESSAGE, "left_semi")
+        # Carries before and after, of the messages in question. One within a single stretch carries nothing.
+        of = found.read(before=batch_id + 1)
+        long = of.groupBy(*MESSAGE).agg(F.min("stretch").alias("first"), F.max("stretch").alias("last")).filter("first < last")
+        long = stored(long.select(*MESSAGE).join(touched.select(*MESSAGE).distinct(), MESSAGE, "left_semi"), "long")
+        of = of.join(long, MESSAGE, "left_semi")
         after = stored(carries(_newest(of, PLACE), ttl_s, limit), "carries")
         before = carries(_newest(of.filter(F.col("batch_id") < batch_id), PLACE), ttl_s, limit)
         old = before.withColumnRenamed("carry", "_carry")
@@ -160,8 +157,8 @@ def retry_sink(
             # Only the run a stretch begins with takes anything over.
             more = numbered(known.join(shifted, PLACE, "left_semi"), ttl_s, rows_per_task)  # other stretches: looked at anew
             again = again.unionByName(more.filter("run = 0"))
-        failed = again.filter(~F.col("success")).join(after, PLACE)
-        total = F.col("number") + F.when(F.col("run") == 0, F.col("carry")).otherwise(0)
+        failed = again.filter(~F.col("success")).join(after, PLACE, "left")
+        total = F.col("number") + F.when(F.col("run") == 0, F.coalesce("carry", F.lit(0))).otherwise(0)
         count = (F.pmod(total - 1, F.lit(max_receive_count)) + 1).cast("int")
         route = F.when(count == max_receive_count, "dead").otherwise("retry").alias("route")
         decisions.write(failed.select(*DECIDED, count.alias("receive_count"), route), batch_id)

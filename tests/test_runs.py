@@ -90,3 +90,22 @@ def test_nothing_received(spark):
     assert runs.latest_decisions(spark, out).collect() == []
     runs.retry_sink(out)(spark.createDataFrame([], SCHEMA), 0)
     assert runs.latest_decisions(spark, out).collect() == []
+
+
+def test_only_messages_in_several_stretches_are_carried(spark, monkeypatch):
+    """What most messages never need is not worked out for them; the decisions are the same."""
+    carried, plain = [], runs.carries
+
+    def counted(found, ttl_s, rows_per_task):
+        carried.append({r["message_id"] for r in found.collect()})
+        return plain(found, ttl_s, rows_per_task)
+
+    monkeypatch.setattr(runs, "carries", counted)
+    rows = [("q", k // 2, f"h{k}", DAY + timedelta(minutes=k % 2), k % 5 == 0) for k in range(60)]
+    rows += [("q", 7, f"late{k}", DAY + timedelta(hours=5 * k), False) for k in (1, 2)]
+    out = scratch(spark, "runs")
+    sink = runs.retry_sink(out, 3, 86_400, stretch_s=4 * 3600)
+    for number in (0, 1):
+        sink(spark.createDataFrame(rows[number::2], SCHEMA), number)
+    assert decided(spark, out) == looped(rows, 3, 86_400)
+    assert set().union(*carried) <= {7}

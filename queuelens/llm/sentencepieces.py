@@ -86,7 +86,7 @@ class Merger(Pieces):
         self.matches = ahocorasick.Automaton()
         for piece in self.rank:
             if len(piece) > 1:  # a single character always matches itself
-                self.matches.add_word(piece, len(piece))
+                self.matches.add_word(piece, (len(piece) - 1, 1 << len(piece)))
         self.matches.make_automaton()
         self.single = frozenset(p for p in self.rank if len(p) == 1)
         self.inside = {p[k : k + 2] for p in self.rank for k in range(len(p) - 1)}
@@ -181,29 +181,27 @@ class Merger(Pieces):
             else:
                 return True
 
-    def _choices(self, text: str) -> list[list[int] | None]:
-        """By position, the sizes of the pieces that start there, shortest first."""
-        choices: list[list[int] | None] = [None] * len(text)  # None: the character alone
-        for last, size in self.matches.iter(text):
-            at = last - size + 1
-            if choices[at] is None:
-                choices[at] = [1, size]
-            else:
-                choices[at].append(size)
+    def _choices(self, text: str) -> list[int]:
+        """By position, the sizes of the pieces that start there, as bits; the character alone is always one."""
+        choices = [2] * len(text)
+        for last, (back, bit) in self.matches.iter(text):
+            choices[last - back] |= bit
         return choices
 
-    def backtrack(self, text: str, choices: list[list[int]]) -> list[str]:
-        """Pieces of a text of known characters. Uses up ``choices``."""
+    def backtrack(self, text: str, choices: list[int]) -> list[str]:
+        """Pieces of a text of known characters."""
         n = len(text)
         agreed = self.agreed
         failed = bytearray(n // 8 + 1)
         pieces: list[str] = []
         at, left = 0, ""
-        sizes = choices[0] or [1]
-        open_: list[list[int]] = []  # by depth, what is left to try at its position
+        sizes = choices[0]
+        open_: list[int] = []  # by depth, what is left to try at its position
         while True:
             while sizes:
-                to = at + sizes.pop()
+                size = sizes.bit_length() - 1
+                sizes ^= 1 << size
+                to = at + size
                 if failed[to >> 3] >> (to & 7) & 1:
                     continue
                 right = text[at:to]
@@ -224,7 +222,7 @@ class Merger(Pieces):
             if to == n:
                 return pieces
             open_.append(sizes)
-            at, left, sizes = to, right, choices[to].copy() if choices[to] else [1]
+            at, left, sizes = to, right, choices[to]
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of stretches each of which merges with nothing around it; one pass of the automaton finds all pieces."""
@@ -253,7 +251,7 @@ class Merger(Pieces):
             at += len(word) + 1
         return out
 
-    def _known(self, text: str, choices: list[list[int]]) -> list[int]:
+    def _known(self, text: str, choices: list[int]) -> list[int]:
         if len(text) == 1:
             return [self.rank[text][1]]
         return [self.rank[p][1] for p in self.backtrack(text, choices)]

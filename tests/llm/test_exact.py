@@ -215,3 +215,12 @@ def test_crowded_buckets_lose_no_pair(spark, monkeypatch, block):
     links = ngram_join._candidates(reps, runs, 0.6)
     got = {r["node"]: r["least"] for r in components(links).collect()}
     assert got == {i: i // 2 * 2 if i < 80 else 80 for i in range(120)}
+
+
+def test_sizes_of_pieces_are_bits():
+    merger = sentencepieces.Merger(vocabulary("piece_bpe_32k.model"))
+    text = f"{sentencepieces.BLANK}the Übergang of straße\n12,000 \0 的是"
+    got = merger._choices(text)
+    for at in range(len(text)):
+        sizes = {k for k in range(2, len(text) - at + 1) if text[at : at + k] in merger.rank} | {1}
+        assert got[at] == sum(1 << k for k in sizes)

@@ -1,16 +1,18 @@
 """Helpers shared by the operators of this subpackage."""
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from queuelens.session import stored
 
-__all__ = ["chunks", "documents", "fits_broadcast", "fresh", "least_places", "per_process", "stored", "table", "whole_text"]
+__all__ = ["chunks", "documents", "fits_broadcast", "fresh", "give_back", "lean", "least_places", "per_process", "stored", "table", "whole_text"]
 
 #: Characters handed to the numeric code at once; a longer text is a chunk of its own.
 CHUNK_CHARS = 500_000
@@ -62,6 +64,27 @@ def per_process(key: Any, build: Callable[[], Any]) -> Any:
     return kept[key]
 
 
+def give_back() -> None:
+    """Hand memory that this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := per_process("malloc-trim", lambda: getattr(ctypes.CDLL(None), "malloc_trim", None)):  # the C library of Linux has it
+        trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over the batches of a task, without what the worker keeps of memory freed before and by it.
+
+    Worker processes live on from task to task; else each keeps as much as its largest task took.
+    """
+
+    def within(batches: Iterator) -> Iterator:
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return within
+
+
 def chunks(texts: Iterable[str | None], most: int = CHUNK_CHARS) -> Iterator[list[str]]:
     """Runs of whole texts with about ``most`` characters; null becomes empty."""
     run, size = [], 0

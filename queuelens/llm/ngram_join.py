@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queuelens.llm.common import chunks, fits_broadcast, fresh, stored, whole_text
+from queuelens.llm.common import chunks, fits_broadcast, fresh, lean, stored, whole_text
 from queuelens.llm.components import components
 from queuelens.operators.skew import join_unique
 
@@ -96,7 +96,7 @@ def _sketches(n: int, width: int):
                 )
                 at += len(texts)
 
-    return run
+    return lean(run)
 
 
 def set_key(shingled: np.ndarray) -> bytes | None:
@@ -156,7 +156,7 @@ def _tied(least: float):
                 us, vs = [], []
         yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
-    return run
+    return lean(run)
 
 
 def _candidates(reps: DataFrame, runs: int, least: float) -> DataFrame:
@@ -346,7 +346,7 @@ def _with_key(n: int):
                 keys = [set_key(shingles(t, n)) for t in texts]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(texts, pa.string())], ["key", "text"])
 
-    return run
+    return lean(run)
 
 
 def _repeats(sketches: DataFrame) -> bool:

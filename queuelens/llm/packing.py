@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from queuelens.llm.common import chunks, fits_broadcast, per_process, stored
+from queuelens.llm.common import chunks, fits_broadcast, lean, per_process, stored
 
 #: Rows of (task, length, first number) up to which they go to every task.
 BROADCAST_ROWS = 500_000
@@ -91,7 +91,7 @@ def _pieces(path: str, end_id: int, capacity: int):
                     at += 1
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
 
-    return run
+    return lean(run)
 
 
 class Plan:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queuelens.llm.common import chunks, fresh, least_places, whole_text
+from queuelens.llm.common import chunks, fresh, give_back, least_places, whole_text
 from queuelens.llm.tagger import Tagger, codes_of
 
 KINDS = ("email", "ip", "card", "phone")
@@ -306,9 +306,11 @@ def masked(docs: DataFrame, tagger: Tagger, text_col: str = "text") -> DataFrame
 
     @F.arrow_udf("string")
     def mask(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        give_back()
         for batch in batches:
             found = (x for texts in chunks(t.as_py() for t in batch) for x in zip(texts, all_spans(shared.value, texts)))
             yield pa.array([_masked(text, spans) for text, (_, spans) in found], pa.string())
+        give_back()
 
     name = fresh(docs, "masked")
     out = docs.withColumn(name, mask(whole_text(text_col)))
